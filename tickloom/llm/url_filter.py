@@ -128,7 +128,7 @@ def url_filter(pages: DataFrame, rules: dict[str, str], default: str = "allow",
         return _joined(pages, listed, keys, default)
     found = F.lit(None).cast("string")
     for verdict, cascade in cascades.items():
-        member = F.get(F.filter(F.col(keys), lambda k, c=cascade: c.contains(k)), F.lit(0))
+        member = F.get(F.filter(F.col(keys), cascade.contains), F.lit(0))
         found = F.when(F.coalesce(F.length(member), F.lit(0)) > F.coalesce(F.length(found), F.lit(0)), member).otherwise(found)
     pages = pages.withColumn("rule", found)
     verdict = F.lit(default)
