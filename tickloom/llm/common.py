@@ -185,3 +185,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return labels
+
+
+def with_arrow_columns(df: DataFrame, ddl: str, compute, text: str) -> DataFrame:
+    """df and the columns of ddl, which replace columns of the same names.
+
+    compute: (batch) -> one array for each new column, over a slice of whole rows with about
+    SLICE_BYTES of text; it runs in the tasks, over Arrow batches, without a shuffle.
+    """
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
+    taken = {f.name.lower() for f in new}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    schema = T.StructType([*df.schema.fields, *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, text):
+                arrays = [*part.columns, *compute(part, data, offsets)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .curriculum import curriculum
+from .decontaminate import contaminated, find_benchmark
+from .language_id import held_out, identify_language, train
+from .token_counts import count_tokens, read_vocabulary
 from .url_filter import url_filter
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -18,14 +21,41 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("first_position"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/word_bpe_49k.json") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, read_vocabulary(vocabulary)).select("doc_id", "n_words", "n_tokens")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    samples = train(docs.where(~fold))
+    found = identify_language(docs.select("doc_id", "text"), samples)
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_benchmark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
@@ -46,4 +76,23 @@ ORACLES = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE best = 1
     """,
+    "op10_decontaminate": r"""
+        WITH w AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item_id, least(13, len(ws)) AS m, array_to_string(list_slice(ws, i, i + least(13, len(ws)) - 1), ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+        ), ms AS (SELECT DISTINCT m FROM bw),
+        dw AS (
+            SELECT r, i, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS win
+            FROM (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, ms WHERE len(ws) >= m)
+        ), hits AS (SELECT r, i, m, item_id FROM dw JOIN bw USING (m, win)),
+        words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM hits) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+    """,
 }

@@ -95,7 +95,8 @@ class Cascade:
         if 1.5 * n * (-math.log2(rate) + 3) / 64 > MAX_WORDS:
             return None
         self._add(listed, n, rate)
-        own, other = listed, universe.where(self.passes(F.col("key"), 0)).join(listed, "key", "left_anti")
+        marked = universe.where(self.passes(F.col("key"), 0)).select("key", F.lit(0).alias("is_listed")).union(listed.select("key", F.lit(1)))
+        own, other = listed, marked.groupBy("key").agg(F.max("is_listed").alias("is_listed")).where("is_listed = 0").select("key")
         while True:
             other = saved(other)
             n = other.count()
