@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 from .curriculum import curriculum
 from .decontaminate import contaminated, find_benchmark
 from .language_id import held_out, identify_language, train
+from .simhash import grouped, with_fingerprint
 from .token_counts import count_tokens, read_vocabulary
 from .url_filter import url_filter
 
@@ -21,6 +22,12 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("first_position"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = saved(with_fingerprint(docs).select("doc_id", "fingerprint"))
+    return grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/word_bpe_49k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, read_vocabulary(vocabulary)).select("doc_id", "n_words", "n_tokens")
@@ -52,6 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
