@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .curriculum import curriculum
 from .decontaminate import contaminated, find_benchmark
+from .embeddings import near_duplicates as near_vectors
 from .language_id import held_out, identify_language, train
 from .simhash import grouped, with_fingerprint
 from .token_counts import count_tokens, read_vocabulary
@@ -16,6 +17,11 @@ from .url_filter import url_filter
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = curriculum(docs)
@@ -58,6 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
@@ -67,6 +74,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach(u, r) AS (
+            SELECT vec_id, vec_id FROM v UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.r
+        )
+        SELECT vec_id, coalesce((SELECT count(*) FROM links WHERE u = vec_id), 0) AS n_links,
+               coalesce((SELECT min(r) FROM reach WHERE u = vec_id), vec_id) AS component_id,
+               coalesce((SELECT min(r) FROM reach WHERE u = vec_id), vec_id) = vec_id AS kept
+        FROM embeddings
+    """,
     "op9_url_filter": r"""
         WITH parts AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
