@@ -11,6 +11,7 @@ from .decontaminate import contaminated, find_benchmark
 from .embeddings import near_duplicates as near_vectors
 from .language_id import held_out, identify_language, train
 from .simhash import grouped, with_fingerprint
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens, read_vocabulary
 from .url_filter import url_filter
 
@@ -28,6 +29,11 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("first_position"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(with_fingerprint(docs).select("doc_id", "fingerprint"))
@@ -66,6 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
@@ -124,4 +131,18 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
     """,
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+        starts AS (
+            SELECT r, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS win
+            FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+        ), again AS (SELECT r, i FROM starts WHERE win IN (SELECT win FROM starts GROUP BY win HAVING count(*) > 1)),
+        marked AS (
+            SELECT r, i, word, coalesce(max(CASE WHEN again.i IS NOT NULL THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+            FROM w LEFT JOIN again USING (r, i)
+        ), kept AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY r)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
 }
