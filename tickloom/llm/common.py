@@ -58,8 +58,11 @@ def with_row_key(df: DataFrame, *names: str) -> list[str]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column; null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Bytes and offsets of a string or binary column; null counts as empty."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
+    else:
+        column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -12,6 +12,7 @@ from .embeddings import near_duplicates as near_vectors
 from .language_id import held_out, identify_language, train
 from .simhash import grouped, with_fingerprint
 from .substring_dedup import remove_repeats
+from .suffix_index import remove_long_repeats
 from .token_counts import count_tokens, read_vocabulary
 from .url_filter import url_filter
 
@@ -34,6 +35,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = remove_long_repeats(docs, keep_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(with_fingerprint(docs).select("doc_id", "fingerprint"))
@@ -73,6 +80,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_index": op4_suffix_index,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
