@@ -40,10 +40,10 @@ def texts(seed=1):
 
 
 def test_equals_brute_force(spark):
-    for window in (35, 8):
+    for window, group_windows in ((35, 500_000), (8, 500_000), (8, 40)):
         rows = texts()
         docs = spark.createDataFrame([(i % 30 if i else None, t, "z") for i, t in enumerate(rows)], "doc_id long, text string, r string")
-        got = remove_repeats(docs, window).collect()
+        got = remove_repeats(docs, window, group_windows=group_windows).collect()
         assert all(r.r == "z" for r in got)
         expected = brute(rows, window)
         assert Counter((r.text, r.n_words, r.n_removed, r.kept_text, r.kept_sha256) for r in got) == Counter(

@@ -6,6 +6,7 @@ Python code here runs inside Spark tasks over bounded slices of Arrow batches.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder, so that later jobs do not compute it again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written once as a table in the shared folder, so that later jobs do not compute it again,
+    also after executors were lost. The shuffle files of the job that writes it are removed after."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_column(text) -> F.Column:

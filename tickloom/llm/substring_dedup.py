@@ -22,8 +22,9 @@ from .common import IS_SPACE, Rolling, mix, saved, slices, spans, with_row_key
 #: Rounds of naming runs and pairs. A symbol must be settled within a window: further rounds leave
 #: fewer symbols that are, and so more anchors.
 ROUNDS = 2
-_words, _symbols = Rolling(11), Rolling(12)
-_spans_of, _windows = Rolling(13), Rolling(14)
+#: Windows of one anchor's different ranges that one task compares.
+GROUP_WINDOWS = 500_000
+_words, _spans_of, _windows = Rolling(11), Rolling(13), Rolling(14)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,15 +129,16 @@ def anchored(hashes: np.ndarray, first: np.ndarray, window: int, rounds: int = R
     return keys[begin], row[begin], begin - upto[row[begin]], n
 
 
-def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[str, str] = ("r", "q")) -> DataFrame:
+def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[str, str] = ("r", "q"), group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """(r, q, start, n): ranges of windows, by first word, whose words also stand elsewhere.
 
     docs: has a two-part row key, which is alike only for rows that are.
 
     Each document gives its ranges with a common anchor, with a hash of the range's whole words.
     An anchor that comes up once is dropped. Where all ranges of an anchor are equal, all their
-    windows repeat. Else equal ranges are folded into one, and the windows of the different ranges
-    are compared one by one; only these few texts are read again.
+    windows repeat. Else equal ranges are folded into one, and the windows of an anchor's different
+    ranges are compared one by one: in one task, or, if the anchor has over group_windows of them,
+    as rows that are counted by window.
     """
     r, q = row
 
@@ -162,8 +164,15 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
     mixed = shared.where("not alike").select("key", "span", "r", "q", "start", "n")
     ranges = saved(mixed.groupBy("key", "span").agg(F.count("*").alias("times"), F.min(F.struct("r", "q", "start", "n")).alias("one")))
     marks = marks.union(mixed.join(ranges.where("times > 1").select("key", "span"), ["key", "span"]).select("r", "q", "start", "n"))
-    wanted = ranges.select("one.*", (F.col("times") == 1).alias("open")).groupBy("r", "q").agg(F.collect_list(F.struct("start", "n", "open")).alias("wanted"))
-    texts = docs.join(wanted.withColumnsRenamed({"r": "r_wanted", "q": "q_wanted"}), (F.col(r) == F.col("r_wanted")) & (F.col(q) == F.col("q_wanted")))
+    sizes = ranges.groupBy("key").agg(F.sum("one.n").alias("size"))
+    large = saved(sizes.where(F.col("size") > group_windows).select("key", F.lit(True).alias("large")))
+    wanted = (
+        ranges.join(large, "key", "left")
+        .select(F.col("one.r").alias("wr"), F.col("one.q").alias("wq"), "key", "one.start", "one.n",
+                (F.col("times") == 1).alias("open"), F.coalesce("large", F.lit(False)).alias("large"))
+        .groupBy("wr", "wq").agg(F.collect_list(F.struct("key", "start", "n", "open", "large")).alias("wanted"))
+    )
+    texts = docs.join(wanted, (F.col(r) == F.col("wr")) & (F.col(q) == F.col("wq")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,27 +180,73 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
                 _, _, hashes, first = word_hashes(data, offsets)
                 lists = part.column("wanted")
                 at = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                items = lists.flatten()
-                start, n, is_open = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                one = np.repeat(np.arange(len(n)), n)
-                begin = (first[at] + start)[one] + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
-                a = _spans_of.of(_spans_of.prefix(hashes), begin, begin + window)
-                b = _windows.of(_windows.prefix(hashes), begin, begin + window)
-                rows = pa.array(at[one])
+                items, rows = lists.flatten(), pa.array(at)
+                start, n = items.field(1).to_numpy(), items.field(2).to_numpy()
+                ends = np.cumsum(n)
+                begin = np.repeat(first[at] + start, n) + np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+                own = _windows.of(_windows.prefix(hashes), begin, begin + window)
+                upto = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column(r).take(rows), part.column(q).take(rows),
-                     pa.array((begin - first[at[one]]).astype(np.int32)), pa.array(is_open[one])],
-                    names=["a", "b", "r", "q", "start", "open"],
+                    [items.field(0), part.column(r).take(rows), part.column(q).take(rows), items.field(1), items.field(3), items.field(4),
+                     pa.ListArray.from_arrays(upto, pa.array(own.view(np.int64)))],
+                    names=["key", "r", "q", "start", "open", "large", "windows"],
                 )
 
-    single = texts.mapInArrow(windows, "a long, b long, r long, q int, start int, open boolean")
-    single = saved(single)
-    again = single.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1").select("a", "b")
-    marks_of_windows = single.where("open").join(again, ["a", "b"]).select("r", "q", "start", F.lit(1).alias("n"))
-    return marks.union(marks_of_windows)
-
-
-def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_text: bool = True) -> DataFrame:
+    cuts = texts.mapInArrow(windows, "key long, r long, q int, start int, open boolean, large boolean, windows array<long>")
+    again = not large.isEmpty()
+    if again:
+        cuts = saved(cuts)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; whole keys are gathered."""
+        names = ["key", "r", "q", "start", "open", "windows"]
+        held: list[pa.RecordBatch] = []
+
+        def matches() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists = rows.column("windows").combine_chunks()
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            one = np.repeat(np.arange(len(n)), n)
+            own = mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(rows.column("key").to_numpy().view(np.uint64))[one])
+            _, inverse, times = np.unique(own, return_inverse=True, return_counts=True)
+            hit = np.flatnonzero((times[inverse] > 1) & rows.column("open").to_numpy(zero_copy_only=False)[one])
+            place = rows.column("start").to_numpy()[one[hit]] + hit - (np.cumsum(n) - n)[one[hit]]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(one[hit]) > 0)])) if len(hit) else hit
+            take = pa.array(one[hit[new]])
+            return pa.RecordBatch.from_arrays(
+                [rows.column("r").combine_chunks().take(take), rows.column("q").combine_chunks().take(take), pa.array(place[new].astype(np.int32)),
+                 pa.array(np.diff(np.concatenate([new, [len(hit)]])).astype(np.int32))],
+                names=["r", "q", "start", "n"],
+            )
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if held and size > group_windows and (last or held[-1].column(0)[-1].as_py() != key[0]):
+                held.append(batch.slice(0, last))
+                yield matches()
+                held, size, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            size += len(batch.column(names.index("windows")).flatten())
+        if held:
+            yield matches()
+
+    columns = ["key", "r", "q", "start", "open", "windows"]
+    small = (cuts.where("not large") if again else cuts).select(*columns)
+    marks = marks.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "r long, q int, start int, n int"))
+    if again:
+        single = saved(cuts.where("large").select("key", "r", "q", "start", "open", F.posexplode("windows").alias("place", "own")))
+        twice = single.groupBy("key", "own").agg(F.count("*").alias("times")).where("times > 1").select("key", "own")
+        marks = marks.union(
+            single.where("open").join(twice, ["key", "own"]).select("r", "q", (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("n"))
+        )
+    return marks
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_text: bool = True, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """docs with n_words, n_removed, removed_spans, kept_sha256 and (keep_text) kept_text.
 
     Words are runs of all but white space. Every word is removed that a window of ``window``
@@ -210,7 +265,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
     r, q, marks = with_row_key(docs, "r", "q", "marks")
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
     keyed = docs.withColumns({r: F.xxhash64(*hashed), q: F.hash(F.reverse(F.col(text)))})
-    found = repeated(keyed, window, text, (r, q)).groupBy(F.col("r").alias(f"{r}_m"), F.col("q").alias(f"{q}_m")).agg(
+    found = repeated(keyed, window, text, (r, q), group_windows).groupBy(F.col("r").alias(f"{r}_m"), F.col("q").alias(f"{q}_m")).agg(
         F.collect_list(F.struct("start", "n")).alias(marks)
     )
     joined = keyed.join(found, (F.col(r) == F.col(f"{r}_m")) & (F.col(q) == F.col(f"{q}_m")), "left").drop(f"{r}_m", f"{q}_m")
