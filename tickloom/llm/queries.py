@@ -14,6 +14,7 @@ from .simhash import grouped, with_fingerprint
 from .substring_dedup import remove_repeats
 from .suffix_index import remove_long_repeats
 from .token_counts import count_tokens, read_vocabulary
+from .toxicity import fit, labelled_sample, score_toxicity
 from .url_filter import url_filter
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -41,6 +42,13 @@ def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    fold = F.coalesce(held_out(F.col("doc_id"), 5, 0), F.lit(False))
+    scored = score_toxicity(docs, fit(*labelled_sample(docs, labels.where(~fold))))
+    return scored.select("doc_id", fold.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(with_fingerprint(docs).select("doc_id", "fingerprint"))
@@ -81,6 +89,7 @@ QUERIES = {
     "op2_curriculum_mix": op2_curriculum_mix,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_index": op4_suffix_index,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
