@@ -134,9 +134,8 @@ def links(prints: DataFrame, radius: int = 3, shard: int = SHARD, levels: int =
     (two members at most radius apart also agree on one of those), up to ``levels`` times; members
     of the shards then left differ in 20 of the 64 bits at most, and each has one tree.
     """
-    rows = prints.select("fp")
     tables = [(list(range(64)), [])]
-    todo, out = rows.select("fp", F.lit(0).alias("t")), None
+    todo, out = prints.select("fp", F.lit(0).alias("t")), None
     for level in range(levels):
         cut = [_masks([left], 1, radius) for left, _ in tables]
         n = radius + 1
@@ -145,29 +144,32 @@ def links(prints: DataFrame, radius: int = 3, shard: int = SHARD, levels: int =
         masks = F.array(*[F.lit(_signed(m)).cast("long") for m in fixed])
         shards = todo.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
             "fp", (F.col("t") * n + F.col("b")).alias("t")
-        ).withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("t"))))
-        sizes = shards.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = saved(sizes)
-        large = sizes.where(F.col("n") > shard)
-        last = level == levels - 1 or large.isEmpty()
-        small = shards.join(sizes if last else sizes.where(F.col("n") <= shard), ["t", "key"]).select("t", "key", "fp")
-        found = _search(small, radius)
-        out = found if out is None else out.union(found)
-        if last:
+        ).withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("t")))).select("t", "key", "fp")
+        last = level == levels - 1
+        found = saved(_search(shards, radius, None if last else shard))
+        own = found.where("t < 0").select("u", "v")
+        out = own if out is None else out.union(own)
+        todo = found.where("t >= 0").select(F.col("u").alias("fp"), "t")
+        if last or todo.isEmpty():
             return out
-        todo = saved(shards.join(large, ["t", "key"]).select("fp", "t"))
         tables = list(zip(left, fixed, strict=True))
     return out
 
 
-def _search(shards: DataFrame, radius: int) -> DataFrame:
+def _search(shards: DataFrame, radius: int, most: int | None) -> DataFrame:
+    """(t, u, v): links of the shards, with t -1, and in u the members of those of over ``most``, with their table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, size = None, [], 0
+
+        def rows(t: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(u), pa.array(v)], names=["t", "u", "v"])
 
-        def found(values: np.ndarray) -> pa.RecordBatch:
+        def found() -> pa.RecordBatch:
+            values = np.concatenate(held)
             to = linked(values, radius)
             keep = to != np.arange(len(values))
-            return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(values[to[keep]])], names=["u", "v"])
+            return rows(-1, values[keep], values[to[keep]])
 
         for batch in batches:
             if not batch.num_rows:
@@ -176,14 +178,19 @@ def _search(shards: DataFrame, radius: int) -> DataFrame:
             new = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
             for a, b in zip([0, *new], [*new, len(t)], strict=True):
                 if (t[a], k[a]) != key:
-                    if held:
-                        yield found(np.concatenate(held))
-                    key, held = (t[a], k[a]), []
+                    if size > 1 and held:
+                        yield found()
+                    key, held, size = (t[a], k[a]), [], 0
                 held.append(fp[a:b])
-        if held:
-            yield found(np.concatenate(held))
-
-    return shards.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "u long, v long")
+                size += b - a
+                if most and size > most:  # what is held, and all that follows, goes on to be cut
+                    for part in held:
+                        yield rows(t[a], part, part)
+                    held = []
+        if size > 1 and held:
+            yield found()
+
+    return shards.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "t int, u long, v long")
 
 
 def near_duplicates(
