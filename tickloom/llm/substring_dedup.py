@@ -6,6 +6,7 @@ its name, so all tasks name alike, with no dictionary. What a round does with a
 it and its neighbours only: every symbol has a stretch of words that settles it (its dependency),
 and wherever these words stand, the same symbol comes up. So each window of words has among the
 symbols that it settles one of the highest level, its anchor, and equal windows have equal anchors.
+Windows with one anchor are then verified by their words.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import IS_SPACE, Rolling, mix, saved, slices, spans, with_row_key
 ROUNDS = 2
 #: Windows of one anchor's different ranges that one task compares.
 GROUP_WINDOWS = 500_000
-_words, _spans_of, _windows = Rolling(11), Rolling(13), Rolling(14)
+_words, _contexts, _spans_of, _windows = Rolling(11), Rolling(12), Rolling(13), Rolling(14)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +96,10 @@ def first_least(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> n
 
 def anchored(hashes: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS):
     """Ranges of windows that share an anchor: its key, the row, the first window's word (within
-    the row) and the number of windows. first: each row's offsets in hashes."""
+    the row) and the number of windows. first: each row's offsets in hashes.
+
+    The key also takes half of the window's other words, on the side of the anchor where more of
+    them are: equal windows agree on these, while a short anchor alone comes up by chance."""
     n_rows = len(first) - 1
     n_words = np.diff(first)
     total = int(first[-1]) + n_rows + 1
@@ -110,7 +114,7 @@ def anchored(hashes: np.ndarray, first: np.ndarray, window: int, rounds: int = R
     np.cumsum(starts, out=upto[1:])
     row = np.repeat(np.arange(n_rows), starts)
     place = np.arange(int(upto[-1])) - upto[row] + first[row] + row + 1  # of each window's first word, borders counted
-    keys, anchor = np.empty(len(place), np.uint64), np.empty(len(place), np.int64)
+    keys, anchor, end = np.empty(len(place), np.uint64), np.empty(len(place), np.int64), np.empty(len(place), np.int64)
     todo = np.arange(len(place))
     for key, low, high in reversed(list(levels(name, border, window, rounds))):
         if not len(todo):
@@ -119,10 +123,14 @@ def anchored(hashes: np.ndarray, first: np.ndarray, window: int, rounds: int = R
         ok = lo < hi
         one, lo, hi = todo[ok], lo[ok], hi[ok]
         least = first_least(key, lo, hi, window)
-        keys[one], anchor[one] = key[least], low[least]
+        keys[one], anchor[one], end[one] = key[least], low[least], high[least]
         todo = todo[~ok]
     if not len(place):
         return keys, row, anchor, anchor
+    half = (window - end + anchor) // 2
+    right = place + window - end >= anchor - place
+    context = np.where(right, end, anchor - half)
+    keys = mix(keys ^ mix(_contexts.of(_contexts.prefix(name), context, context + half) + right))
     new = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (keys[1:] != keys[:-1])])
     begin = np.flatnonzero(new)
     n = np.diff(np.concatenate([begin, [len(place)]]))
