@@ -1,0 +1,47 @@
+"""Every query of the core library against its SQL, over the smallest tables."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from tickloom.plans.oracles import ORACLES
+from tickloom.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF}/{name}')")
+    return con
+
+
+def rows(records):
+    def plain(x):
+        if x is None or isinstance(x, float) and math.isnan(x):
+            return "null"
+        return f"{x:.9g}" if isinstance(x, float) else str(x)
+
+    return sorted(tuple(map(plain, r)) for r in records)
+
+
+def test_each_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query_equals_sql(spark, sql, name):
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    expected = sql.sql(ORACLES[name]).project(", ".join(columns)).fetchall()
+    assert rows(tuple(r) for r in got.select(*columns).collect()) == rows(expected)
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).columns == ["ticker", "side", "n_orders"]
