@@ -23,11 +23,13 @@ from .common import LOWER, Rolling, spans, with_arrow_columns
 WINDOW, STRIDE = 32, 24
 #: States of each direction, numbers of a vector, and rows of the word and n-gram tables (by hash).
 HIDDEN, WIDTH, ROWS = 8, 6, 1 << 17
-GRAMS = (3, 5)
+GRAMS = (3, 4, 5)
 #: Labelled documents of either label that training looks at, and bytes that they have at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1_000, 2_000, 6_000
 #: Windows that go through the recurrence at once.
 CHUNK = 8_192
+#: What word and n-gram vectors lose in a step of training.
+DECAY = 0.02
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = True
 IS_WORD[128:] = True
@@ -211,23 +213,25 @@ def places_of(place: np.ndarray, start: np.ndarray, end: np.ndarray, after: int)
     return np.where(at < end[:, None], place[np.minimum(at, len(place) - 1)], after).astype(np.int32)
 
 
-def log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of label 1 for each table row, by the documents that have it."""
+def log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int, weight: float = 8.0) -> np.ndarray:
+    """Log-odds of label 1 for each table row, by the documents that have it, against all documents';
+    ``weight`` documents of the sample's mix are added, so a row that few have says little."""
     pairs = np.unique(doc.astype(np.int64) * size + rows)
     seen = [np.bincount(pairs[label[pairs // size] == k] % size, minlength=size) for k in (0, 1)]
-    return np.log((seen[1] + 2) / (label.sum() + 4)) - np.log((seen[0] + 2) / ((1 - label).sum() + 4))
+    share = label.mean()
+    return np.log((seen[1] + weight * share) / (seen[0] + weight * (1 - share))) - np.log(share / (1 - share))
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 200, batch: int = 100, rate: float = 0.01, seed: int = 5) -> Network:
     """A network trained on whole labelled texts, by so many steps of Adam, in whole epochs.
 
-    A text counts by its window with the highest score, and in the first epoch by the one with the
-    highest log-odds. Without texts of both labels all scores are the share of label 1."""
+    A text counts by its window with the highest score, and in the first half of the steps by the one
+    with the highest log-odds. Without texts of both labels all scores are the share of label 1."""
     net = Network(seed)
     label = np.array(labels, np.int64)
     net.prior = min(0.49, float((label.sum() + 0.5) / (len(label) + 5)))
     net.p["shift"][:] = np.log(net.prior / (1 - net.prior))
-    if label.min(initial=1) == label.max(initial=0):
+    if not 0 < label.sum() < len(label):
         net.p["out"][:] = 0
         return net
     raw = [t.encode() for t in texts]
@@ -243,6 +247,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, batch: int = 100,
     row, start, end = windows_of(w.first)
     of_row = np.searchsorted(row, np.arange(len(label) + 1))
     full = np.flatnonzero(np.diff(of_row))
+    full = np.concatenate([full, *[full[label[full] == 1]] * max(0, round(len(full) / (3 * max(1, label.sum()))) - 1)])  # a third has label 1
     rng = np.random.default_rng(seed)
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step, epochs = 0, -(-steps // max(1, -(-len(full) // batch)))
@@ -258,7 +263,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, batch: int = 100,
             local = local.reshape(places.shape).astype(np.int32)
             if some[-1] == len(w.word):
                 some = some[:-1]
-            if epoch:
+            if 2 * epoch >= epochs:
                 score = net.logits(net.gates(net.vectors(w, some)[0]), local)
             else:
                 score = np.append(odds, -np.inf)[places].max(1)
@@ -269,6 +274,8 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, batch: int = 100,
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
                 net.p[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+            for k in ("word", "gram"):  # vectors of what few texts have stay near zero
+                net.p[k] *= 1 - DECAY
     return net
 
 

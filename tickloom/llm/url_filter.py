@@ -54,7 +54,7 @@ class Cascade:
 
     def passes(self, key: Column, level: int) -> Column:
         words, bits, hashes = self.levels[level]
-        held = F.lit(words)
+        held = F.lit(words).cast("array<bigint>")
         hit = F.lit(True)
         for place in self._places(key, level, bits, hashes):
             word = F.get(held, F.shiftright(place, 6).cast("int"))
