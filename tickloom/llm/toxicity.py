@@ -26,6 +26,8 @@ HIDDEN, WIDTH, ROWS = 8, 6, 1 << 17
 GRAMS = (3, 4, 5)
 #: Labelled documents of either label that training looks at, and bytes that they have at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1_000, 2_000, 6_000
+#: Bytes of whole texts hashed at once, and training documents whose n-grams are counted at once.
+PIECE, COUNTED = 500_000, 100
 #: Windows that go through the recurrence at once.
 CHUNK = 8_192
 #: What word and n-gram vectors lose in a step of training.
@@ -51,7 +53,11 @@ class Words:
     def read(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
         low = LOWER[data]
         starts, ends = spans(IS_WORD[low], offsets)
-        hashes = _hash.of(_hash.prefix(low), starts, ends)
+        hashes = np.empty(len(starts), np.uint64)
+        borders = np.unique(np.append(offsets[np.searchsorted(offsets, np.arange(0, len(data), PIECE))], len(data)))
+        for a, b in zip(borders[:-1], borders[1:], strict=True):  # hashing takes many times the memory of the text
+            i, j = np.searchsorted(starts, (a, b))
+            hashes[i:j] = _hash.of(_hash.prefix(low[a:b]), starts[i:j] - a, ends[i:j] - a)
         distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
         first_word = np.searchsorted(starts, offsets)
         starts, length = starts[at], ends[at] - starts[at]
@@ -213,13 +219,17 @@ def places_of(place: np.ndarray, start: np.ndarray, end: np.ndarray, after: int)
     return np.where(at < end[:, None], place[np.minimum(at, len(place) - 1)], after).astype(np.int32)
 
 
-def log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int, weight: float = 8.0) -> np.ndarray:
+def seen_in(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+    """For either label, the number of documents that have each table row."""
+    pairs = np.unique(doc.astype(np.int64) * size + rows)
+    return np.stack([np.bincount(pairs[label[pairs // size] == k] % size, minlength=size) for k in (0, 1)])
+
+
+def log_odds(seen: np.ndarray, label: np.ndarray, weight: float = 8.0) -> np.ndarray:
     """Log-odds of label 1 for each table row, by the documents that have it, against all documents';
     ``weight`` documents of the sample's mix are added, so a row that few have says little."""
-    pairs = np.unique(doc.astype(np.int64) * size + rows)
-    seen = [np.bincount(pairs[label[pairs // size] == k] % size, minlength=size) for k in (0, 1)]
     share = label.mean()
-    return np.log((seen[1] + weight * share) / (seen[0] + weight * (1 - share))) - np.log(share / (1 - share))
+    return (np.log((seen[1] + weight * share) / (seen[0] + weight * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 200, batch: int = 100, rate: float = 0.01, seed: int = 5) -> Network:
@@ -238,11 +248,15 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, batch: int = 100,
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
     w = Words.read(np.frombuffer(b"".join(raw), np.uint8), offsets)
     doc = np.repeat(np.arange(len(label)), np.diff(w.first))
-    net.word_odds = log_odds(w.word[w.place], doc, label, ROWS).astype(np.float32)
-    used = np.unique(doc * np.int64(len(w.word)) + w.place)
-    n = (w.gram_first[1:] - w.gram_first[:-1])[used % len(w.word)]
-    grams = w.gram[np.repeat(w.gram_first[used % len(w.word)] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-    net.gram_odds = log_odds(grams, np.repeat(used // len(w.word), n), label, ROWS).astype(np.float32)
+    net.word_odds = log_odds(seen_in(w.word[w.place], doc, label, ROWS), label)
+    used, seen = np.unique(doc * np.int64(len(w.word)) + w.place), np.zeros((2, ROWS), np.int64)
+    cuts = np.searchsorted(used // len(w.word), np.arange(0, len(label) + COUNTED, COUNTED))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        word = used[lo:hi] % len(w.word)
+        n = w.gram_first[word + 1] - w.gram_first[word]
+        grams = w.gram[np.repeat(w.gram_first[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        seen += seen_in(grams, np.repeat(used[lo:hi] // len(w.word), n), label, ROWS)
+    net.gram_odds = log_odds(seen, label)
     odds = np.maximum(net.word_odds[w.word], np.maximum.reduceat(net.gram_odds[w.gram], w.gram_first[:-1]))
     row, start, end = windows_of(w.first)
     of_row = np.searchsorted(row, np.arange(len(label) + 1))
