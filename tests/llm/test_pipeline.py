@@ -93,3 +93,13 @@ def test_empty_and_repeated_rows(spark, results):
     text = " ".join(rng.choice("abcdef") for _ in range(60))
     same = spark.createDataFrame([(None, text, "en", "s", 1)] * 3, results[0].schema)
     assert corpus_pipeline.STAGES[1][1](spark, same, SF).count() == 1
+
+
+def test_unlike_texts_without_or_under_one_id_all_stay(spark, results):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, t, "en", "s", 1) for t in texts[:3]] + [(7, t, "en", "s", 1) for t in texts[3:5]]
+    rows += [(None, texts[3], "en", "s", 1), (7, texts[0], "en", "s", 1), (8, texts[5], None, "s", 1), (8, texts[5], "s", None, 1)]
+    got = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows * 2, results[0].schema), SF).collect()
+    expected = [(7, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(expected)

@@ -209,13 +209,14 @@ def near_duplicates(
     return grouped(with_fingerprint(docs, shingle, text), radius, doc_id, shard)
 
 
-def grouped(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", shard: int = SHARD) -> DataFrame:
-    """docs, which have fingerprint, and component_id, as near_duplicates gives it."""
+def grouped(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", shard: int = SHARD, group: str | None = None) -> DataFrame:
+    """docs, which have fingerprint, and component_id, as near_duplicates gives it; with ``group``
+    also a column of this name that is alike just for linked documents, whatever their ids."""
     docs = docs.drop("component_id")
     node, = with_row_key(docs, "node")
     prints = saved(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(doc_id).alias("least")))
     found = components(links(prints, radius, shard))
     classes = prints.join(found, prints.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "c").select(F.col("fp").alias(node), "component_id")
+    named = classes.join(least, "c").select(F.col("fp").alias(node), "component_id", *([F.col("c").alias(group)] if group else []))
     return docs.join(named, F.col("fingerprint") == F.col(node)).drop(node)
