@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm.common import saved
+from tickloom.llm.common import components, saved
+from tickloom.llm.simhash import similar_links, with_shingles
 
 from .test_curriculum import check
 from .test_decontaminate import brute as benchmark_hits
@@ -103,3 +104,33 @@ def test_unlike_texts_without_or_under_one_id_all_stay(spark, results):
     got = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows * 2, results[0].schema), SF).collect()
     expected = [(7, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])]
     assert Counter((r.doc_id, r.text) for r in got) == Counter(expected)
+
+
+def test_documents_with_a_jaccard_of_four_fifths_are_near_copies(spark, results):
+    rng = random.Random(2)
+    line = [f"menu{i}" for i in range(9)]
+    texts = []
+    for n in [3, 5, 9, 40, 100, 200]:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for changed in [0, 0, 1, 1, 2, 2, 3, 4, 5, 6]:
+            words = list(base)
+            for k in range(min(changed, n)):
+                words[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words + line[: 9 * (changed % 2)]))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 15 < len(set(root)) < len(texts) - 15
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], results[0].schema)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()} == set(root)
+    prints = [r.fp for r in with_shingles(docs).orderBy("doc_id").collect()]
+    got = {r.node: r.component for r in components(similar_links(with_shingles(docs), 0.8, few=3, common=4)).collect()}
+    ours = [got.get(p, p) for p in prints]
+    assert len(set(zip(ours, root, strict=True))) == len(set(ours)) == len(set(root))

@@ -16,10 +16,13 @@ from .common import IS_SPACE, LOWER, components, local_components, saved, spans,
 #: Fingerprints of one shard that a tree holds; larger shards are cut by further bits.
 SHARD = 512
 SEED = 42
+#: Sets of a key that give all their pairs at once; sets with a hash from which on it comes last;
+#: sets of a larger group that one task compares with as many others; keys that two similar sets share.
+FEW, COMMON, TILE, SHARED = 32, 32, 1024, 8
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = SEED) -> np.ndarray:
-    """A 64-bit fingerprint for each row of text bytes."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all rows of text bytes, and where each row's begin in them."""
     low = LOWER[data]
     inside = ~IS_SPACE[low]
     starts, ends = spans(inside, offsets)
@@ -40,15 +43,23 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int
     first = np.zeros(len(n_words) + 1, np.int64)
     np.cumsum(n_shingles, out=first[1:])
     total = int(first[-1])
-    out = np.zeros(len(n_words), np.uint64)
     if not total:
-        return out
+        return np.zeros(0, np.uint64), first
     word = np.arange(total) - np.repeat(first[:-1] - first_word[:-1], n_shingles)
     last = np.minimum(word + shingle, np.repeat(first_word[1:], n_shingles))
     begin, end = places[word].tolist(), (places[last] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(raw[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, total), first
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = SEED) -> np.ndarray:
+    """A 64-bit fingerprint for each row of text bytes."""
+    hashes, first = shingle_hashes(data, offsets, shingle, seed)
+    n_shingles = np.diff(first)
     full = np.flatnonzero(n_shingles)
-    hashes = np.fromiter((digest(raw[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, total)
+    out = np.zeros(len(n_shingles), np.uint64)
+    if not len(full):
+        return out
     ones = np.empty((len(full), 64), np.int32)
     for byte in range(8):  # bits of one byte at a time: an eighth of the memory
         bits = np.unpackbits((hashes >> np.uint64(8 * byte)).astype(np.uint8)[:, None], axis=1, bitorder="little")
@@ -209,14 +220,184 @@ def near_duplicates(
     return grouped(with_fingerprint(docs, shingle, text), radius, doc_id, shard)
 
 
-def grouped(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", shard: int = SHARD, group: str | None = None) -> DataFrame:
-    """docs, which have fingerprint, and component_id, as near_duplicates gives it; with ``group``
-    also a column of this name that is alike just for linked documents, whatever their ids."""
+def grouped(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", shard: int = SHARD) -> DataFrame:
+    """docs, which have fingerprint, and component_id, as near_duplicates gives it."""
     docs = docs.drop("component_id")
     node, = with_row_key(docs, "node")
     prints = saved(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(doc_id).alias("least")))
     found = components(links(prints, radius, shard))
     classes = prints.join(found, prints.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "c").select(F.col("fp").alias(node), "component_id", *([F.col("c").alias(group)] if group else []))
+    named = classes.join(least, "c").select(F.col("fp").alias(node), "component_id")
     return docs.join(named, F.col("fingerprint") == F.col(node)).drop(node)
+
+
+def with_shingles(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
+    """docs with ``shingles``, the sorted distinct hashes of each text's shingles (words and shingles
+    as with_fingerprint has them), and ``fp``, a 64-bit hash of this set."""
+
+    def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        hashes, first = shingle_hashes(data, offsets, shingle)
+        hashes, row = hashes.view(np.int64), np.repeat(np.arange(len(first) - 1), np.diff(first))
+        order = np.lexsort((hashes, row))
+        hashes = hashes[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+        hashes = hashes[new]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=part.num_rows))]).astype(np.int32)
+        raw, digest = hashes.tobytes(), xxhash.xxh64_intdigest
+        fp = np.fromiter((digest(raw[8 * a : 8 * b], SEED) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.uint64, part.num_rows)
+        return [pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
+
+    return with_arrow_columns(docs, "fp long, shingles array<long>", compute, text)
+
+
+def similar_links(sets: DataFrame, threshold: float = 0.8, few: int = FEW, common: int = COMMON) -> DataFrame:
+    """(u, v): links of distinct ``fp`` that connect just those connected by pairs of ``shingles`` with
+    a Jaccard similarity of at least threshold, counted over the whole sets.
+
+    In any one order of all hashes, two such sets of which one has n hashes share SHARED (if they share
+    so many at all) of its first n - ceil(threshold * n) + SHARED: those are the keys, and sets that share
+    so many keys, or one large one, are candidates, so none is missed. In the order, hashes found in over ``common`` sets come last. Keys with up to ``few`` sets
+    give all pairs. The sets of larger ones, with all that these are joined to by further large keys, are
+    compared in pairs of tiles, each pair of sets once, however many keys it shares.
+    """
+    spark = sets.sparkSession
+
+    def prefixes(share: float, more: int, last: np.ndarray) -> DataFrame:
+        held = spark.sparkContext.broadcast(last)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            late = held.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    key, n = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+                    row, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                    if len(late):
+                        place = np.minimum(np.searchsorted(late, key), len(late) - 1)
+                        key = key[np.lexsort((key, late[place] == key, row))]
+                    most = np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more)
+                    take = np.arange(len(key)) - begin[row] < most[row]
+                    rows = pa.array(row[take])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[take]), batch.column(0).take(rows), pa.array(n[row[take]].astype(np.int32))], names=["key", "fp", "n"]
+                    )
+
+        return sets.select("fp", "shingles").mapInArrow(run, "key long, fp long, n int")
+
+    # a longer prefix is counted, as the hashes that move up when others come last can be common too
+    counted = prefixes(1.5 * (1 - threshold), SHARED + 4, np.zeros(0, np.int64)).groupBy("key").agg(F.count("*").alias("times"))
+    often = counted.where(F.col("times") > common).orderBy(F.desc("times"), "key").limit(1_000_000).select("key").toArrow()
+    keys = prefixes(1 - threshold, SHARED, np.sort(often.column(0).to_numpy()))
+    found = saved(_pairs(keys, threshold, few))
+    links = _verified(sets, found.where("need > 0").groupBy("u", "v", "need").count().where("count >= need").select("u", "v"), threshold)
+    large = found.where("need = 0").select("u", "v")
+    return links if large.isEmpty() else links.union(_compared(sets, components(large), threshold))
+
+
+def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
+    """(u, v, need): pairs of sets of one key whose sizes allow the threshold, and the keys that such a
+    pair shares at least. The sets of a key with over ``few`` are only named as one group, by links to
+    the first of them with need 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(u: np.ndarray, v: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need.astype(np.int32))], names=["u", "v", "need"])
+
+        def found(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            fp, n = np.concatenate(parts, axis=1)
+            new = np.concatenate([[True], fp[1:] != fp[:-1]])  # sorted: sets that many rows have come once
+            fp, n = fp[new], n[new]
+            if len(fp) > few:
+                yield rows(np.full(len(fp) - 1, fp[0]), fp[1:], np.zeros(len(fp) - 1))
+            elif len(fp) > 1:
+                i, j = np.triu_indices(len(fp), 1)
+                least = np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
+                fits = np.minimum(n[i], n[j]) >= least
+                yield rows(fp[i[fits]], fp[j[fits]], np.minimum(SHARED, least[fits]))
+
+        def groups() -> Iterator[list[np.ndarray]]:
+            last, parts = None, []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key = batch.column(0).to_numpy()
+                body = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2)])
+                cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+                begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+                # keys of one row, but for the first and last of a batch, have no pair
+                stay = end - begin > 1
+                stay[[0, -1]] = True
+                for a, b in zip(begin[stay].tolist(), end[stay].tolist(), strict=True):
+                    if key[a] != last or not parts:
+                        if parts:
+                            yield parts
+                        last, parts = key[a], []
+                    parts.append(body[:, a:b])
+            if parts:
+                yield parts
+
+        held, size = [], 0
+        for parts in groups():
+            for out in found(parts):
+                held.append(out)
+                size += out.num_rows
+                if size > 50_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, need int")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of at least threshold."""
+    pairs = saved(pairs)
+    nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    own = saved(sets.select("fp", "shingles").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
+    both = pairs.join(own.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    both = both.join(own.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared) - F.lit(1e-9)
+    return saved(both.where(alike).select("u", "v"))
+
+
+def _compared(sets: DataFrame, clusters: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """(u, v): links of the sets within each component of clusters (node, component)."""
+    clusters = saved(clusters)
+    tiles = clusters.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    own = sets.select("fp", "shingles").join(clusters.select(F.col("node").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"])
+    members = saved(clusters.join(tiles, "component").join(own, F.col("node") == F.col("fp")).select(
+        "component", "fp", "shingles", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")
+    ))
+    # a member goes to every pair of tiles that has its own
+    paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fp", "shingles"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        a, b = (table.column(c)[0].as_py() for c in "ab")
+        fp, of_tile = table.column("fp").to_numpy(), table.column("tile").to_numpy()
+        lists = table.column("shingles").chunk(0)
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        _, col, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(n)), n), times > 1
+        row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        left, right = np.flatnonzero(of_tile == a), np.flatnonzero(of_tile == b)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(shared.sum()), 2048):
+            part = slice(*np.searchsorted(col, [lo, lo + 2048]))
+            has = np.zeros((len(n), 2048), np.float32)
+            has[row[part], col[part] - lo] = 1
+            both += has[left] @ has[right].T
+        i, j = np.nonzero(both >= threshold * (n[left][:, None] + n[right][None, :] - both) - 1e-9)
+        label = local_components(len(n), left[i], right[j])
+        keep = label != np.arange(len(n))
+        return pa.table({"u": fp[keep], "v": fp[label[keep]]})
+
+    return saved(paired.groupBy("component", "a", "b").applyInArrow(compare, "u long, v long"))
