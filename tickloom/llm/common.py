@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder. Where none is set: a temporary one on a local master, as in
+    tests; on a cluster, whose executors could not see that, an error."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and sc.getCheckpointDir() is None and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return shared or sc.getCheckpointDir()
@@ -48,7 +51,16 @@ def saved(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of saved() from the shared folder: those that only saved tables were made of."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_column(text) -> F.Column:
@@ -107,6 +119,21 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def union_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the maximal runs that spans of rows cover; touching spans are one run."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    # ends so far within a row: rows are told apart by a step that no end reaches
+    step = np.int64(int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + row * step) - row * step
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return row[first], start[first], reach[np.concatenate([first[1:] - 1, [len(row) - 1]])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -194,8 +221,10 @@ def components(edges: DataFrame) -> DataFrame:
                 "node", "was", F.least("component", F.coalesce("above", "component")).alias("component")
             )
         )
-        labels = new.select("node", "component")
+        discard(labels if hasattr(labels, "saved_path") else last)
+        labels, last = new.select("node", "component"), new
         if new.where("was <> component").isEmpty():
+            discard(links)
             return labels
 
 
