@@ -45,7 +45,10 @@ def test_targets_and_taken_words(spark):
     source = {r.doc_id: r.source for r in docs.collect()}
     got = curriculum(docs).collect()
     check(docs.collect(), got)
-    again = {r.doc_id: r for r in op2_curriculum_mix(spark, SF).collect()}
+    rows = op2_curriculum_mix(spark, SF).collect()
+    when = [r.first_position for r in rows if r.first_position is not None]
+    assert when == sorted(when) and all(r.first_position is None for r in rows[len(when) :])
+    again = {r.doc_id: r for r in rows}
     assert len(again) == len(source) == len(got)
     assert all(again[r.doc_id].taken == r.taken for r in op2_curriculum_mix(spark, SF).collect())
 

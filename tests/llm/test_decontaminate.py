@@ -48,13 +48,20 @@ def test_equals_brute_force(spark, window, block_bytes):
     by = {r.doc_id: r for r in got}
     assert len(got) == len(texts) + 1
     for i, (n, hit, found) in enumerate(brute([*texts, texts[5]], known, window)):
-        assert (by[i].n_words, by[i].n_hit, by[i].item_ids) == (n, hit, found)
+        assert (by[i].n_words, by[i].n_hit, by[i].item_ids) == (n, hit, sorted(map(str, found)))
         assert sum(s.end - s.start for s in by[i].hit_spans) == hit
     none = spark.createDataFrame(items, "item_id long, text string").limit(0)
     assert all(r.n_hit == 0 for r in find_benchmark(docs, none).collect())
     assert find_benchmark(docs.limit(0), none).count() == 0
 
 
+def test_string_ids_and_several_benchmarks_in_one_session(spark):
+    docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    for text, ids in (("two three", ["b-10", "b-9"]), ("four five", []), ("One Two", ["b-10", "b-9"])):
+        items = spark.createDataFrame([("b-9", text), ("b-10", text)], "item_id string, text string")
+        assert find_benchmark(docs, items).first().item_ids == ids
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.embeddings import near_duplicates
+from tickloom.llm.embeddings import near_duplicates, partners
 
 
 def brute(rows, threshold=0.95):
@@ -53,3 +54,18 @@ def test_copies_are_counted_and_rows_stay(spark):
     assert {r.n_links for r in got if r.vec_id != 99} == {19}
     assert {r.component_id for r in got if r.vec_id != 99} == {0}
     assert [r.kept for r in got if r.vec_id == 99] == [True]
+
+
+@pytest.mark.parametrize(("n", "common"), [(300, 0.0), (6000, 0.0), (6000, 2.0)])
+def test_recall_just_above_the_threshold(spark, n, common):
+    """Pairs at a cosine of 0.951, among vectors with and without a strong common mean."""
+    rng = np.random.default_rng(n)
+    base = rng.standard_normal((n, 48)) + common
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    near = partners(unit[: n // 4], 0.951, seed=9)
+    rows = list(enumerate(np.vstack([unit, near]).tolist()))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    exact = brute(rows)
+    links = sum(k for k, _ in exact.values())
+    assert links >= n // 2 and sum(k for k, _ in got.values()) >= 0.97 * links
+    assert all(got[i][0] <= exact[i][0] for i in got)

@@ -49,6 +49,33 @@ def test_phrase_counts_equal_brute_force():
     assert isinstance(model.parsers[0], CrossParser)
 
 
+def test_scores_do_not_depend_on_neighbours(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    samples = train(docs)
+    assert all(40_000 < len(text) <= 48_000 for _, text in samples[:1])
+    found = [identify_language(d, samples).select("doc_id", "lang_pred", "lang_score").collect() for d in (docs, docs.repartition(7), docs.repartition(40, "text"))]
+    assert sorted(found[0]) == sorted(found[1]) == sorted(found[2])
+
+
+def test_query_equals_brute_force(spark):
+    """Costs from a plain parser over each text alone, on the smallest table."""
+    import numpy as np
+
+    from tickloom.llm.language_id import held_out, normalised
+
+    small = SF.replace("0.01", "0.001")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    samples = train(docs.where(~F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False))))
+    got = {r.doc_id: r for r in op8_language_id(spark, small).collect()}
+    for r in docs.where("doc_id % 10 = 0").collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        data, _ = normalised(raw, np.array([0, len(raw)])) if len(raw) else (raw, None)
+        cost = [phrases(data.tobytes(), learnt) * np.log2(len(learnt) + 2) for _, learnt in samples]
+        best, second = sorted(cost)[:2]
+        if re.search(r"[^\W\d_]", r.text or ""):
+            assert got[r.doc_id].lang_pred == samples[cost.index(best)][0] and abs(got[r.doc_id].score - (1 - best / second)) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     got = op8_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)

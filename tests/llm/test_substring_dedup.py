@@ -52,6 +52,26 @@ def test_equals_brute_force(spark):
         assert all(sum(s.end - s.start for s in r.removed_spans) == r.n_removed for r in got)
 
 
+def test_many_equal_rows(spark):
+    rng = random.Random(4)
+    free = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(n))
+    a, b = free(90), free(40)
+    near = " ".join([*a.split()[:30], b])
+    docs = spark.createDataFrame([(1, a)] * 3000 + [(2, near), (3, b + " " + " ".join(a.split()[40:]))], "doc_id long, text string")
+    for group_windows in (500_000, 20):
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(docs, 8, group_windows=group_windows).collect())
+        own, _, other, last = brute([a, a, near, b + " " + " ".join(a.split()[40:])], 8)
+        assert got == Counter({(1, *own): 3000, (2, *other): 1, (3, *last): 1})
+
+
+def test_long_words(spark):
+    """Words that a sum modulo 2**64 can't tell apart are told apart."""
+    word = lambda n, flip: "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+    rows = [" ".join([word(4096, k)] + [f"x{i}" for i in range(5)]) for k in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r.n_removed for r in remove_repeats(docs, 6).collect()] == [0, 0]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(0)
     assert remove_repeats(docs).withColumn("x", F.lit(1)).count() == 0

@@ -8,12 +8,11 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def greedy(word, pieces):
-    """Longest piece first over the word and its end; one token where no piece fits."""
-    symbols = [*word, "end"]
-    spelt = {(*piece, "end") if whole else tuple(piece) for piece, whole in pieces}
+    """Longest piece first; the word's end belongs to its last byte. One token where no piece fits."""
     at, n = 0, 0
-    while at < len(symbols):
-        size = next((k for k in range(min(len(symbols) - at, 200), 0, -1) if tuple(symbols[at : at + k]) in spelt), 0)
+    while at < len(word):
+        sizes = range(min(len(word) - at, 200), 0, -1)
+        size = next((k for k in sizes if (word[at : at + k], at + k == len(word)) in pieces), 0)
         if not size:
             return 1
         at, n = at + size, n + 1
@@ -47,6 +46,21 @@ def test_public_vocabulary_and_bad_rows(spark):
     assert count_tokens(docs.limit(0), pieces).count() == 0
 
 
+def test_words_that_pieces_spell_are_not_unknown():
+    pieces = read_vocabulary(VOCABULARY)
+    known, automaton = set(pieces), LongestMatch(pieces)
+    for word in ("thre", "f\u00fcr", "\u00e7"):
+        raw = word.encode()
+        assert (raw, True) not in known and automaton.count(raw) == greedy(raw, known) > 1
+
+
+def test_vocabularies_of_one_size_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
+    pieces = [(bytes([c]), e) for c in range(97, 123) for e in (False, True)]
+    more = [*pieces, (b"zz", True)], [*pieces, (b"ab", True)]
+    assert [count_tokens(docs, sorted(p)).first().n_tokens for p in more] == [2, 1]
+
+
 @pytest.mark.parametrize("word", [b"a", b"hello", b"!!!", "é".encode()])
 def test_each_word_has_a_token(word):
     assert LongestMatch(read_vocabulary(VOCABULARY)).count(word) >= 1

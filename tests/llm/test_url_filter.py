@@ -1,8 +1,8 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import url_filter as module
 from tickloom.llm.url_filter import Cascade, url_filter
 
 
@@ -32,15 +32,15 @@ def urls():
     return [*out, None, "", "no scheme", "http:/example.net/", "http://" + "a." * 5_000 + "net/" + "x" * 50_000, "a://b://example.net/", out[0]]
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    for words in (1_000_000, 0):  # by filters, and by the join for long lists
-        monkeypatch.setattr(module, "MAX_WORDS", words)
-        pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls())], "page_id long, url string, keys string").withColumn("rule", F.lit("old"))
-        got = {r.page_id: r for r in url_filter(pages, RULES).collect()}
-        assert len(got) == len(urls()) and all(r["keys"] == "z" for r in got.values())
-        for i, u in enumerate(urls()):
-            assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == judge(u, RULES), u
+def test_equals_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls())], "page_id long, url string, keys string").withColumn("rule", F.lit("old"))
+    got = {r.page_id: r for r in url_filter(pages, RULES).collect()}
+    assert len(got) == len(urls()) and all(r["keys"] == "z" for r in got.values())
+    for i, u in enumerate(urls()):
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == judge(u, RULES), u
     assert url_filter(pages.limit(0), RULES).count() == 0
+    with pytest.raises(ValueError, match="max_words"):
+        url_filter(pages, RULES, max_words=0)
 
 
 def test_cascade_is_exact(spark):

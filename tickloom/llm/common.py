@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def words_column(text) -> F.Column:
-    """Array of words; empty for null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def word_count(text) -> F.Column:
+    """Number of words; 0 for null. Each word becomes one letter, so no array of words is built."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def with_row_key(df: DataFrame, *names: str) -> list[str]:
@@ -175,6 +176,14 @@ class Rolling:
         return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(rolling: Rolling, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes. Long ones, for which sums modulo 2**64 can be made to agree, by XXH64."""
+    out = rolling.of(rolling.prefix(data), starts, ends)
+    for i in np.flatnonzero(ends - starts > 400):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest node index reachable from each of n nodes over the links (u, v)."""
     label = np.arange(n)

@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_row_key, words_column
+from .common import saved, with_row_key, word_count
 
-#: Buckets, by hash, into which a source's queue is cut for running sums.
-BUCKETS = 1024
+#: Leading hex digits of the order that name the buckets into which a source's queue is cut for running sums.
+BUCKET_DIGITS = 3
 #: (time, weight) knots of the shapes that sources take in turn: falling, level, rising.
 SHAPES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.4), (0.4, 1.0), (1.0, 1.5)))
 
@@ -70,37 +70,33 @@ def position_at(share: Column, ordinal: Column, shapes: Sequence[Sequence[tuple[
 
 def curriculum(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
-    text: str = "text", source: str = "source",
+    text: str = "text", source: str = "source", order: Column | None = None,
 ) -> DataFrame:
-    """docs with size, source_size, target, taken and passes (array of pass, words, position).
+    """docs, less their text, with size, source_size, target, taken and passes (array of pass, words, position).
 
-    A source's documents queue in the order of a hash of their contents. Its target is a whole
-    number of passes over the queue and a last pass that stops at the target, within a document if
-    need be, so its taken words are the rounded target. ``passes`` lists when each pass trains on the document
-    and on how many of its words.
+    A source's documents queue by ``order``, 16 or more lowercase hex digits (else those of a hash of
+    their contents). Its target is a whole number of passes over the queue and a last pass that
+    stops at the target, within a document if need be, so its taken words are the rounded target.
+    ``passes`` lists when each pass trains on the document and on how many of its words.
 
-    The queue's running sums are taken within hash buckets and then over bucket totals, so a
-    source with most rows is spread over BUCKETS groups.
+    Texts are read once, for sizes and hashes, and are not shuffled; training_order sorts the rows. The
+    queue's running sums are taken within buckets of the order and then over bucket totals, so a
+    source with most rows is spread over 16 ** BUCKET_DIGITS groups.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, ordered last.
     Repeated rows are separate documents; empty table: empty result; other columns are kept, but
     size, source_size, target, taken and passes replace columns of these names.
     """
     docs = docs.drop("size", "source_size", "target", "taken", "passes")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    order, bucket, before, row, total = with_row_key(docs, "order", "bucket", "before", "row", "total")
-    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
-    # the size's words are counted once, before anything is shuffled
-    rows = docs.withColumns({
-        "size": F.size(words_column(F.col(text))).cast("long"), order: F.xxhash64(*hashed),
-    }).withColumn(bucket, F.pmod(F.shiftrightunsigned(order, 40), F.lit(BUCKETS)))
-    queue = Window.partitionBy(source, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(row, F.coalesce(F.sum("size").over(queue), F.lit(0)))
-
-    sums = docs.select(
-        F.col(source).alias("source"), F.size(words_column(F.col(text))).cast("long").alias("size"),
-        F.pmod(F.shiftrightunsigned(F.xxhash64(*hashed), 40), F.lit(BUCKETS)).alias("bucket"),
-    ).groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    queued, bucket, before, row, total = with_row_key(docs, "queued", "bucket", "before", "row", "total")
+    if order is None:
+        order = F.lower(F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])), 16, "0"))
+    rows = docs.select(*own, word_count(F.col(text)).alias("size"), order.alias(queued))
+    rows = saved(rows.withColumn(bucket, F.conv(F.substring(queued, 1, BUCKET_DIGITS), 16, 10).cast("int")))
+    queue = Window.partitionBy(source, bucket).orderBy(queued).rowsBetween(Window.unboundedPreceding, -1)
+
+    sums = rows.groupBy(F.col(source).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum("size").alias("size"))
     buckets = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("size").over(buckets), F.lit(0)))
     targets = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -108,6 +104,7 @@ def curriculum(
         F.col("s.source").alias(f"{before}_source"), F.col("bucket").alias(f"{before}_bucket"), F.col("before").alias(before),
         "source_size", "target", F.col("ordinal").alias(f"{before}_ordinal"),
     )
+    rows = rows.withColumn(row, F.coalesce(F.sum("size").over(queue), F.lit(0)))
     rows = rows.join(plan, F.col(f"`{source}`").eqNullSafe(F.col(f"{before}_source")) & (F.col(bucket) == F.col(f"{before}_bucket")))
     rows = rows.withColumn(before, F.col(before) + F.col(row)).withColumn(total, F.round("target").cast("long"))
 
@@ -128,7 +125,17 @@ def curriculum(
     return rows.select(*own, "size", "source_size", "target", "taken", "passes")
 
 
+def in_training_order(mixed: DataFrame) -> DataFrame:
+    """One row for each document, with first_position, when it is first trained on, and range-sorted
+    by it; documents that are not trained on have null and come last. mixed is written once, as a
+    range sort looks at its input twice."""
+    mixed = saved(mixed.withColumn("first_position", F.get("passes", F.lit(0))["position"]))
+    by = F.coalesce("first_position", F.lit(float("inf")))
+    return mixed.repartitionByRange(by).sortWithinPartitions(by)
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each pass over a document (columns pass, words, position), range-sorted by position."""
     one = mixed.withColumn("passes", F.explode("passes")).withColumns({k: F.col(f"passes.{k}") for k in ("pass", "words", "position")})
-    return one.drop("passes").repartitionByRange("position").sortWithinPartitions("position")
+    one = saved(one.drop("passes"))
+    return one.repartitionByRange("position").sortWithinPartitions("position")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -14,7 +15,7 @@ from .common import with_arrow_columns, with_row_key
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes of benchmark texts that one pass over the documents broadcasts at most.
 BLOCK_BYTES = 4_000_000
-_tables: dict[tuple, list] = {}
+_tables: dict[tuple[str, int], list] = {}
 
 
 class Patterns:
@@ -27,7 +28,7 @@ class Patterns:
         self.shift: dict[tuple, int] = {}
         self.buckets: dict[tuple, dict[tuple, dict[tuple, set]]] = {}
 
-    def add(self, pattern: tuple, item: int) -> None:
+    def add(self, pattern: tuple, item: str) -> None:
         b = self.block
         same = self.buckets.setdefault(pattern[-b:], {}).setdefault(pattern[:b], {})
         if pattern not in same:
@@ -54,7 +55,7 @@ class Patterns:
             at += 1
 
 
-def tables_of(block: list[tuple[int, bytes]], window: int) -> list[Patterns]:
+def tables_of(block: list[tuple[str, bytes]], window: int) -> list[Patterns]:
     by_length: dict[int, Patterns] = {}
     for item, text in block:
         words = WORDS.findall(text.lower())
@@ -70,7 +71,7 @@ def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """docs with n_words, n_hit, item_ids (sorted) and hit_spans (word offsets of maximal hit runs).
+    """docs with n_words, n_hit, item_ids (strings, sorted as such) and hit_spans (word offsets of maximal hit runs).
 
     Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Every run of
     ``window`` words of an item is searched in every whole text; an item of fewer words is searched
@@ -89,15 +90,18 @@ def find_benchmark(
     items = items.withColumn(key, F.pmod(F.xxhash64(item), F.lit(n_blocks)))
     out = docs.drop("n_words", "n_hit", "item_ids", "hit_spans")
     for k in range(n_blocks):
-        rows = [(int(r[0]), r[1].encode()) for r in items.where(F.col(key) == k).select(F.col(item).cast("long"), item_text).collect()]
+        rows = [(r[0], r[1].encode()) for r in items.where(F.col(key) == k).select(F.col(item).cast("string"), item_text).collect()]
         if rows or not k:
-            out = _search(out, spark.sparkContext.broadcast(sorted(rows)), window, text, bool(k))
+            out = _search(out, sorted(rows), window, text, bool(k))
     return out
 
 
-def _search(docs: DataFrame, block, window: int, text: str, more: bool) -> DataFrame:
+def _search(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, text: str, more: bool) -> DataFrame:
+    block = docs.sparkSession.sparkContext.broadcast(rows)
+    cached = hashlib.sha256(repr(rows).encode()).hexdigest(), window
+
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        if (cached := (block._jbroadcast_id if hasattr(block, "_jbroadcast_id") else id(block), window)) not in _tables:
+        if cached not in _tables:
             _tables.clear()
             _tables[cached] = tables_of(block.value, window)
         raw = data.tobytes().lower()
@@ -117,11 +121,11 @@ def _search(docs: DataFrame, block, window: int, text: str, more: bool) -> DataF
             ids.append(sorted(items))
             found_spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(found_spans, span)]
+        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(found_spans, span)]
 
     if not more:
-        return with_arrow_columns(docs, "n_words long, n_hit long, item_ids array<long>, hit_spans array<struct<start:int,end:int>>", compute, text)
-    ddl = "more_words long, more_hit long, more_ids array<long>, more_spans array<struct<start:int,end:int>>"
+        return with_arrow_columns(docs, "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>", compute, text)
+    ddl = "more_words long, more_hit long, more_ids array<string>, more_spans array<struct<start:int,end:int>>"
     out = with_arrow_columns(docs, ddl, compute, text).drop("n_words", "n_hit", "item_ids", "hit_spans")
     return out.withColumnsRenamed({"more_words": "n_words", "more_hit": "n_hit", "more_ids": "item_ids", "more_spans": "hit_spans"})
 

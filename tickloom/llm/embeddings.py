@@ -14,8 +14,12 @@ from .common import components, local_components, saved, with_row_key
 
 #: Vectors, chosen by hash, that the rotation is learnt from.
 SAMPLE = 4096
+#: Vectors, repeated ones among them if there are fewer, that get made-up partners.
+LEAST = 1024
 #: Members of a bucket whose pairs one task compares at once; larger buckets are compared in tiles.
 TILE = 1024
+#: Hash tables at most.
+TABLES = 200
 
 
 class Quantiser:
@@ -39,8 +43,12 @@ class Quantiser:
         self.project = np.hstack(parts)[:, :bits]
         self.offset = self.mean @ self.project
 
-    def projections(self, unit: np.ndarray) -> np.ndarray:
-        return unit @ self.project - self.offset
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        p = unit @ self.project - self.offset
+        code = np.zeros(len(p), np.uint64)
+        for b in range(p.shape[1]):
+            code |= (p[:, b] >= 0).astype(np.uint64) << np.uint64(b)
+        return code
 
 
 def usable(vector: Column) -> Column:
@@ -58,23 +66,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def table_masks(n: int, bits: int, seed: int = 1, missed: float = 0.01, flip: float = 0.1) -> list[int]:
+def partners(unit: np.ndarray, threshold: float, seed: int = 1) -> np.ndarray:
+    """For each unit vector one at exactly the threshold, in a random direction."""
+    aside = np.random.default_rng(seed).standard_normal(unit.shape)
+    aside -= (aside * unit).sum(1, keepdims=True) * unit
+    aside /= np.maximum(np.sqrt((aside * aside).sum(1, keepdims=True)), 1e-12)
+    return _unit(threshold * unit + math.sqrt(1 - threshold**2) * aside)
+
+
+def table_masks(n: int, bits: int, changed: np.ndarray, missed: float = 0.01, most: int = TABLES, seed: int = 1) -> list[int]:
     """Bits of the code that each table's key takes, for n vectors.
 
     Keys have about log2(n) - 5 bits, so that buckets of unrelated vectors keep their size as n
-    grows; there are enough tables that a pair whose bits differ with probability ``flip`` (about
-    a cosine of 0.95) agrees on no key with probability ``missed``.
+    grows. Tables are added until no more than ``missed`` of the pairs whose codes differ in the bits
+    ``changed`` agree on no key; as these are whole codes, tables that fail together are counted so.
+    At ``most`` tables are made: beyond some 1e9 vectors a lower recall is taken for that.
     """
-    if n <= 256:  # one bucket, compared whole
-        return [0]
-    width = min(bits, max(4, min(24, math.ceil(math.log2(n)) - 5)))
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - flip) ** width))
-    rng, out = np.random.default_rng(seed), []
+    width = min(bits, max(1, math.ceil(math.log2(max(2, n))) - 5))
+    rng, out, left = np.random.default_rng(seed), [], changed
     order: list[int] = list(range(bits))
-    while len(out) < tables:
-        out += [sum(1 << b for b in order[i : i + width]) for i in range(0, bits - width + 1, width)]
+    while not out or (len(left) > missed * len(changed) and len(out) < most):
+        for i in range(0, bits - width + 1, width):
+            out.append(sum(1 << b for b in order[i : i + width]))
+            left = left[(left & np.uint64(out[-1])) != 0]
+            if len(left) <= missed * len(changed) or len(out) >= most:
+                break
         order = rng.permutation(bits).tolist()
-    return out[:tables]
+    return out
 
 
 def signed(mask: int) -> int:
@@ -83,15 +101,17 @@ def signed(mask: int) -> int:
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-    bits: int = 64, radius: float = 0.25, sample: int = SAMPLE, tile: int = TILE,
+    bits: int = 64, missed: float = 0.01, sample: int = SAMPLE, tile: int = TILE,
 ) -> DataFrame:
     """vectors with n_links, component_id and kept.
 
     Two vectors link if their cosine, in double precision, is at least threshold. Candidates agree
-    on the key of at least one table (table_masks) and differ in at most radius * bits of their
-    codes; every candidate pair is reranked by the original vectors, so no pair below the
-    threshold links. A pair counts in the first table only in which it meets. Equal vectors are
-    one node with a count. The rotation is learnt from ``sample`` vectors; all are indexed.
+    on the key of at least one table (table_masks), and their codes differ in no more bits than 999 of
+    1000 pairs at the threshold do; every candidate pair is reranked by the original vectors, so no
+    pair below the threshold links. A pair counts in the first table only in which it meets. Equal
+    vectors, told by 96 bits of hash, are one node with a count. The rotation, and the number of tables
+    that misses a share ``missed`` of pairs at the threshold, are learnt from ``sample`` vectors and made-up
+    partners of theirs; all vectors are indexed, at any number in the same way.
 
     Buckets of over ``tile`` vectors are cut into tiles, and each pair of tiles is one group, so a
     bucket with many of all rows is spread. A bucket gives one row a member, not its pairs.
@@ -103,34 +123,36 @@ def near_duplicates(
     """
     spark = vectors.sparkSession
     vectors = vectors.drop("n_links", "component_id", "kept")
-    node, = with_row_key(vectors, "node")
+    ha, hb = with_row_key(vectors, "ha", "hb")
     e = F.col(embedding).cast("array<double>")
     ok = usable(e)
+    keys = {ha: F.when(ok, F.xxhash64(e)), hb: F.when(ok, F.hash(e))}
     nodes = saved(
-        vectors.where(ok).select(e.alias("v"), F.col(vec_id).alias("id"))
-        .groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+        vectors.withColumns(keys).where(ok).groupBy(F.col(ha).alias("ha"), F.col(hb).alias("hb"))
+        .agg(F.count("*").alias("copies"), F.min(vec_id).alias("least"), F.first(e).alias("v"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    dims = [r.d for r in nodes.select(F.size("v").alias("d")).distinct().collect()]
-    n_nodes = nodes.count()
-    masks = table_masks(n_nodes, bits)
-    counts = edges = None
-    for d in sorted(dims):
+    lengths = nodes.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()
+    counts, edges = nodes.limit(0).select("node", F.lit(0).cast("long").alias("n")), nodes.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v"))
+    for d, n_nodes in lengths:
         own = nodes.where(F.size("v") == d)
-        drawn = own.orderBy(F.xxhash64("v")).limit(sample).select("v").toArrow().column(0).combine_chunks()
-        quantiser = Quantiser(_unit(_matrix(drawn)), bits)
-        c, s = _links(spark, own, quantiser, threshold, masks, bits if masks == [0] else int(radius * bits), tile)
-        counts, edges = (c, s) if counts is None else (counts.union(c), edges.union(s))
-    if counts is None:
-        return vectors.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col(vec_id), "kept": F.lit(True)})
+        drawn = _unit(_matrix(own.orderBy("ha", "hb").limit(sample).select("v").toArrow().column(0).combine_chunks()))
+        drawn = np.resize(drawn, (max(LEAST, len(drawn)), d))
+        beside = partners(drawn, threshold)
+        quantiser = Quantiser(np.vstack([drawn, beside]), bits)
+        changed = quantiser.codes(drawn) ^ quantiser.codes(beside)
+        radius = int(np.quantile(np.bitwise_count(changed), 0.999, method="higher"))
+        c, s = _links(spark, own, quantiser, threshold, table_masks(n_nodes, bits, changed, missed), radius, tile)
+        counts, edges = counts.union(c), edges.union(s)
     found = components(edges)
     counts = counts.groupBy("node").agg(F.sum("n").alias("n"))
     full = nodes.join(counts, "node", "left").join(found, "node", "left").select(
-        "v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")
+        "ha", "hb", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")
     )
     least = full.groupBy("c").agg(F.min("least").alias("component_id"))
-    full = full.join(least, "c").select(F.col("v").alias(node), "n_links", "component_id")
-    out = vectors.join(full, F.when(ok, e) == F.col(node), "left").drop(node)
+    full = full.join(least, "c").select(F.col("ha").alias(f"{ha}_n"), F.col("hb").alias(f"{hb}_n"), "n_links", "component_id")
+    out = vectors.withColumns(keys)
+    out = out.join(full, (F.col(ha) == F.col(f"{ha}_n")) & (F.col(hb) == F.col(f"{hb}_n")), "left").drop(ha, hb, f"{ha}_n", f"{hb}_n")
     out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component_id": F.coalesce("component_id", F.col(vec_id))})
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(vec_id), F.lit(True)))
 
@@ -141,10 +163,7 @@ def _links(spark, nodes: DataFrame, quantiser: Quantiser, threshold: float, mask
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.projections(_unit(_matrix(batch.column(1)))) if batch.num_rows else np.zeros((0, 1))
-            code = np.zeros(len(p), np.uint64)
-            for b in range(p.shape[1]):
-                code |= (p[:, b] >= 0).astype(np.uint64) << np.uint64(b)
+            code = shared.value.codes(_unit(_matrix(batch.column(1)))) if batch.num_rows else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.view(np.int64))], names=["node", "code"])
 
     codes = saved(nodes.select("node", "v").mapInArrow(encode, "node long, code long"))

@@ -13,7 +13,7 @@ from .common import with_arrow_columns
 
 #: Labelled documents of a language, and bytes of each, that are looked at; bytes of normalised text kept.
 SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_BYTES = 200, 1_000, 48_000
-#: Phrases end at the borders of blocks of so many symbols, so that blocks are parsed side by side.
+#: Phrases end at the borders of blocks of so many symbols of a text, so that blocks are parsed side by side.
 BLOCK = 512
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = True
@@ -82,14 +82,14 @@ class CrossParser:
                 self.table[(state + 1) * n_classes + classes[c]] = (to + 1) * n_classes
         self.weight = float(np.log2(len(text) + 2))
 
-    def phrase_starts(self, lanes: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """lanes: symbols, one block a column; fresh: where a text begins."""
+    def phrase_starts(self, lanes: np.ndarray) -> np.ndarray:
+        """lanes: symbols, one block a column."""
         out = np.empty(lanes.shape, bool)
         state = np.zeros(lanes.shape[1], np.int32)
         for t in range(len(lanes)):
             symbol = lanes[t]
             onward = self.table[state + symbol]
-            starts = (onward == 0) | fresh[t]
+            starts = onward == 0 if t else np.ones(len(symbol), bool)
             out[t] = starts
             state = np.where(starts, self.table[self.n + symbol], onward)
         return out
@@ -105,29 +105,29 @@ class Model:
         self.parsers = [CrossParser(text, classes, len(seen) + 1) for _, text in samples]
 
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits to name each row's phrases, by language."""
-        n_rows, n = len(offsets) - 1, len(data)
-        lanes = -(-n // BLOCK)
-        if not lanes:
-            return np.zeros((n_rows, len(self.langs)))
-        symbols = np.zeros(lanes * BLOCK, np.int32)
-        symbols[:n] = self.classes[data]
-        fresh = np.zeros(lanes * BLOCK, bool)
-        fresh[offsets[:-1][offsets[:-1] < n]] = True
-        fresh[::BLOCK] = True
-        shape = (lanes, BLOCK)
-        symbols, fresh = np.ascontiguousarray(symbols.reshape(shape).T), np.ascontiguousarray(fresh.reshape(shape).T)
-        out = np.empty((n_rows, len(self.langs)))
+        """Bits to name each row's phrases, by language. Blocks are counted from each row's own start, so
+        a row costs the same whatever rows stand beside it."""
+        size = np.diff(offsets)
+        lanes = -(-size // BLOCK)
+        first = np.concatenate([[0], np.cumsum(lanes)])
+        if not first[-1]:
+            return np.zeros((len(size), len(self.langs)))
+        begin = first[:-1] * BLOCK
+        symbols = np.zeros(int(first[-1]) * BLOCK, np.int32)
+        symbols[np.arange(len(data)) + np.repeat(begin - offsets[:-1], size)] = self.classes[data]
+        symbols = np.ascontiguousarray(symbols.reshape(-1, BLOCK).T)
+        out = np.empty((len(size), len(self.langs)))
         for k, parser in enumerate(self.parsers):
-            starts = np.zeros(n + 1, np.int64)
-            np.cumsum(parser.phrase_starts(symbols, fresh).T.reshape(-1)[:n], out=starts[1:])
-            out[:, k] = (starts[offsets[1:]] - starts[offsets[:-1]]) * parser.weight
+            starts = np.zeros(symbols.size + 1, np.int64)
+            np.cumsum(parser.phrase_starts(symbols).T.reshape(-1), out=starts[1:])
+            out[:, k] = (starts[begin + size] - starts[begin]) * parser.weight
         return out
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """Normalised text of each non-null language, TRAIN_BYTES at most: of SAMPLE_DOCS documents, chosen by a
-    hash of their text, the first SAMPLE_BYTES. Sorted by language; languages without text are left out."""
+    """Normalised text of each non-null language: of SAMPLE_DOCS documents, chosen by a hash of their
+    text, the first SAMPLE_BYTES, or so many that all together have TRAIN_BYTES: the longer ones are
+    cut to one length. Sorted by language; languages without text are left out."""
     snippet = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_BYTES).alias("text")
     )
@@ -137,10 +137,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple
         by_lang.setdefault(row.lang, []).append((row.h, row.text.encode()))
     out = []
     for name, texts in sorted(by_lang.items()):
-        raw = np.frombuffer(b" ".join(t for _, t in sorted(set(texts))), np.uint8)
-        data, _ = normalised(raw, np.array([0, len(raw)]))
-        if LETTERS[data].any():
-            out.append((name, data[:TRAIN_BYTES].tobytes()))
+        parts = []
+        for _, raw in sorted(set(texts)):
+            data, _ = normalised(np.frombuffer(raw + b" ", np.uint8), np.array([0, len(raw) + 1]))
+            parts.append(data.tobytes())
+        sizes = np.sort([len(x) for x in parts])
+        left = TRAIN_BYTES - np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        level = int((left // np.arange(len(sizes), 0, -1))[left >= 0].max(initial=0))
+        text = b"".join(x[:level] for x in parts)
+        if LETTERS[np.frombuffer(text, np.uint8)].any():
+            out.append((name, text))
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .curriculum import curriculum
+from .curriculum import SHAPES, curriculum, in_training_order
 from .decontaminate import contaminated, find_benchmark
 from .embeddings import near_duplicates as near_vectors
 from .language_id import held_out, identify_language, train
@@ -27,8 +27,9 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = curriculum(docs)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("first_position"))
+    order = F.md5(F.concat_ws("|", "doc_id", "source", "text").cast("binary"))
+    mixed = in_training_order(curriculum(docs, order=order))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +77,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_benchmark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
     )
 
@@ -97,7 +97,46 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+
+
+def _position_sql(share: str, knots: tuple[tuple[float, float], ...]) -> str:
+    """SQL for the time at which a schedule's integral reaches a share of its total."""
+    area = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False)]
+    out, done = "CASE", 0.0
+    for (a, b), own in zip(zip(knots, knots[1:], strict=False), area, strict=True):
+        need, slope = f"({share} * {sum(area)!r}::DOUBLE - {done!r}::DOUBLE)", (b[1] - a[1]) / (b[0] - a[0])
+        done += own
+        out += f" WHEN {share} <= {done / sum(area)!r}::DOUBLE THEN {a[0]} + 2 * {need} / ({a[1]} + sqrt(greatest(0.0::DOUBLE, {a[1] ** 2!r}::DOUBLE + {2 * slope!r}::DOUBLE * {need})))"
+    return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {out} ELSE 1.0 END))"
+
+
 ORACLES = {
+    "op2_curriculum_mix": rf"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws('|', doc_id, source, text)) AS h FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ordinal FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CASE ordinal % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s
+        ), f AS (
+            SELECT *, most / weight AS fills_at,
+                   (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+            FROM w WINDOW o AS (ORDER BY most / weight, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT source, source_size, ordinal, coalesce(least((SELECT arg_min(level, (fills_at, ordinal)) FROM f WHERE level <= fills_at) * weight, most), most) AS target FROM f
+        ), q AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, t.ordinal, round(t.target)::BIGINT AS total,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), p AS (
+            SELECT *, list_filter(list_transform([0, 1, 2], lambda k: before + source_size * k), lambda b: least(size, total - b) > 0) AS begins FROM q
+        ), b AS (
+            SELECT *, begins[1]::DOUBLE / total AS x, list_sum(list_transform(begins, lambda b: least(size, total - b))) AS words FROM p
+        )
+        SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken,
+               CASE WHEN len(begins) > 0 THEN CASE ordinal % 3 WHEN 0 THEN {_position_sql("x", SHAPES[0])} WHEN 1 THEN {_position_sql("x", SHAPES[1])} ELSE {_position_sql("x", SHAPES[2])} END END AS first_position
+        FROM b
+    """,
     "op1_embedding_dedup": r"""
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

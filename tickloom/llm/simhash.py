@@ -11,7 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, components, local_components, saved, spans, with_arrow_columns, with_row_key
+from .common import (
+    IS_SPACE, LOWER, Rolling, components, discard, local_components, saved, slices, span_hashes, spans, with_arrow_columns, with_row_key,
+)
 
 #: Fingerprints of one shard that a tree holds; larger shards are cut by further bits.
 SHARD = 512
@@ -19,6 +21,7 @@ SEED = 42
 #: Sets of a key that give all their pairs at once; sets with a hash from which on it comes last;
 #: sets of a larger group that one task compares with as many others; keys that two similar sets share.
 FEW, COMMON, TILE, SHARED = 32, 32, 1024, 8
+_set_words, _set_shingles = Rolling(31), Rolling(32)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -232,131 +235,182 @@ def grouped(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", shard: int
     return docs.join(named, F.col("fingerprint") == F.col(node)).drop(node)
 
 
-def with_shingles(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
-    """docs with ``shingles``, the sorted distinct hashes of each text's shingles (words and shingles
-    as with_fingerprint has them), and ``fp``, a 64-bit hash of this set."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each row's shingles, and where each row's begin in them. Words and
+    shingles are those of with_fingerprint, but hashed all at once from the words' hashes."""
+    low = LOWER[data]
+    starts, ends = spans(~IS_SPACE[low], offsets)
+    words = span_hashes(_set_words, low, starts, ends)
+    first_word = np.searchsorted(starts, offsets)
+    n_words = np.diff(first_word)
+    n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(n)])
+    begin = np.arange(int(first[-1])) + np.repeat(first_word[:-1] - first[:-1], n)
+    hashes = _set_shingles.of(_set_shingles.prefix(words), begin, np.minimum(begin + shingle, np.repeat(first_word[1:], n))).view(np.int64)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[first[:-1][first[:-1] < len(hashes)]] = True
+    upto = np.concatenate([[0], np.cumsum(new)])
+    return hashes[new], upto[first]
+
+
+def _set_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    raw, digest = hashes.tobytes(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(raw[8 * a : 8 * b], SEED) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)), np.uint64, len(first) - 1).view(np.int64)
+
+
+def with_set(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
+    """docs and ``fp``, a 64-bit hash of the set of each text's shingles; null and blank texts have the empty set."""
 
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        hashes, first = shingle_hashes(data, offsets, shingle)
-        hashes, row = hashes.view(np.int64), np.repeat(np.arange(len(first) - 1), np.diff(first))
-        order = np.lexsort((hashes, row))
-        hashes = hashes[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-        hashes = hashes[new]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=part.num_rows))]).astype(np.int32)
-        raw, digest = hashes.tobytes(), xxhash.xxh64_intdigest
-        fp = np.fromiter((digest(raw[8 * a : 8 * b], SEED) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.uint64, part.num_rows)
-        return [pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
+        return [pa.array(_set_hashes(*shingle_sets(data, offsets, shingle)))]
+
+    return with_arrow_columns(docs, "fp long", compute, text)
 
-    return with_arrow_columns(docs, "fp long, shingles array<long>", compute, text)
 
+def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shingle: int = 5, few: int = FEW, common: int = COMMON) -> DataFrame:
+    """(u, v): links of distinct sets (``fp``) that connect just those connected by pairs with a Jaccard
+    similarity of at least threshold, counted over the whole sets.
 
-def similar_links(sets: DataFrame, threshold: float = 0.8, few: int = FEW, common: int = COMMON) -> DataFrame:
-    """(u, v): links of distinct ``fp`` that connect just those connected by pairs of ``shingles`` with
-    a Jaccard similarity of at least threshold, counted over the whole sets.
+    docs: row_a, row_b and text; sets: row_a, row_b and fp, of the same rows, from with_set. Sets of
+    hashes are made from the texts whenever they are needed and never stored for all documents.
 
     In any one order of all hashes, two such sets of which one has n hashes share SHARED (if they share
     so many at all) of its first n - ceil(threshold * n) + SHARED: those are the keys, and sets that share
-    so many keys, or one large one, are candidates, so none is missed. In the order, hashes found in over ``common`` sets come last. Keys with up to ``few`` sets
-    give all pairs. The sets of larger ones, with all that these are joined to by further large keys, are
-    compared in pairs of tiles, each pair of sets once, however many keys it shares.
+    so many keys, or one large one, are candidates, so none is missed. In the order, hashes found in over
+    ``common`` texts come last. Keys with up to ``few`` sets give all pairs. The sets of larger ones, with
+    all that these are joined to by further large keys, are compared in pairs of tiles, each pair of
+    sets once, however many keys it shares.
     """
-    spark = sets.sparkSession
+    spark = docs.sparkSession
 
     def prefixes(share: float, more: int, last: np.ndarray) -> DataFrame:
         held = spark.sparkContext.broadcast(last)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            late = held.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
-                    key, n = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
-                    row, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            late, seen = held.value, set()  # equal sets come once from a task
+            for batch in batches:
+                for _, data, offsets in slices(batch):
+                    key, first = shingle_sets(data, offsets, shingle)
+                    fp, n = _set_hashes(key, first), np.diff(first)
+                    row = np.repeat(np.arange(len(n)), n)
                     if len(late):
                         place = np.minimum(np.searchsorted(late, key), len(late) - 1)
-                        key = key[np.lexsort((key, late[place] == key, row))]
-                    most = np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more)
-                    take = np.arange(len(key)) - begin[row] < most[row]
-                    rows = pa.array(row[take])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[take]), batch.column(0).take(rows), pa.array(n[row[take]].astype(np.int32))], names=["key", "fp", "n"]
-                    )
-
-        return sets.select("fp", "shingles").mapInArrow(run, "key long, fp long, n int")
+                        is_late = late[place] == key
+                        moved = np.flatnonzero(is_late)
+                        if len(moved):  # within each row those that are not late come first
+                            key = key[np.argsort(2 * row + is_late, kind="stable")]
+                    fresh = np.zeros(len(n), bool)
+                    for i, x in enumerate(fp.tolist()):
+                        fresh[i] = x not in seen
+                        seen.add(x)
+                    most = np.where(fresh, np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more), 0)
+                    take = np.arange(len(key)) - first[row] < most[row]
+                    row = row[take]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(fp[row]), pa.array(n[row].astype(np.int32))], names=["key", "fp", "n"])
+
+        return docs.select("text").mapInArrow(run, "key long, fp long, n int")
 
     # a longer prefix is counted, as the hashes that move up when others come last can be common too
-    counted = prefixes(1.5 * (1 - threshold), SHARED + 4, np.zeros(0, np.int64)).groupBy("key").agg(F.count("*").alias("times"))
-    often = counted.where(F.col("times") > common).orderBy(F.desc("times"), "key").limit(1_000_000).select("key").toArrow()
+    counted = prefixes(1.25 * (1 - threshold), SHARED + 2, np.zeros(0, np.int64)).groupBy("key").agg(F.count("*").alias("times"))
+    counted = saved(counted.where(F.col("times") > common))
+    often = counted.orderBy(F.desc("times"), "key").limit(1_000_000).select("key").toArrow()
     keys = prefixes(1 - threshold, SHARED, np.sort(often.column(0).to_numpy()))
     found = saved(_pairs(keys, threshold, few))
-    links = _verified(sets, found.where("need > 0").groupBy("u", "v", "need").count().where("count >= need").select("u", "v"), threshold)
-    large = found.where("need = 0").select("u", "v")
-    return links if large.isEmpty() else links.union(_compared(sets, components(large), threshold))
+    pairs = saved(found.where("need > 0").groupBy("u", "v", "need").count().where("count >= need").select("u", "v"))
+    large = saved(found.where("need = 0").select("u", "v"))
+    discard(counted, found)
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(large.select("u")).union(large.select("v")).distinct()
+    own = _sets_of(docs, sets, nodes, shingle)
+    links = _verified(own, pairs, threshold)
+    if not large.isEmpty():
+        links = links.union(_compared(own, components(large), threshold))
+    discard(own, pairs, large)
+    return links
+
+
+def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(fp, shingles) of the nodes, from one text for each."""
+    one = sets.join(nodes, F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.min(F.struct("row_a", "row_b")).alias("one"))
+    one = one.select(F.col("fp").alias("own"), F.col("one.row_a").alias("own_a"), F.col("one.row_b").alias("own_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = []
+            for fp in batch.column(0).to_pylist():
+                fresh.append(fp not in seen)
+                seen.add(fp)
+            for part, data, offsets in slices(batch.filter(pa.array(fresh, pa.bool_()))):
+                hashes, first = shingle_sets(data, offsets, shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes))], names=["fp", "shingles"])
+
+    texts = docs.select("row_a", "row_b", "text").join(one, (F.col("row_a") == F.col("own_a")) & (F.col("row_b") == F.col("own_b")))
+    return saved(texts.select("own", "text").mapInArrow(run, "fp long, shingles array<long>"))
 
 
 def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
     """(u, v, need): pairs of sets of one key whose sizes allow the threshold, and the keys that such a
     pair shares at least. The sets of a key with over ``few`` are only named as one group, by links to
-    the first of them with need 0."""
+    the first of them with need 0; what a task holds of a key is bounded by ``few``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(u: np.ndarray, v: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need.astype(np.int32))], names=["u", "v", "need"])
-
-        def found(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            fp, n = np.concatenate(parts, axis=1)
-            new = np.concatenate([[True], fp[1:] != fp[:-1]])  # sorted: sets that many rows have come once
-            fp, n = fp[new], n[new]
-            if len(fp) > few:
-                yield rows(np.full(len(fp) - 1, fp[0]), fp[1:], np.zeros(len(fp) - 1))
-            elif len(fp) > 1:
-                i, j = np.triu_indices(len(fp), 1)
-                least = np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
-                fits = np.minimum(n[i], n[j]) >= least
-                yield rows(fp[i[fits]], fp[j[fits]], np.minimum(SHARED, least[fits]))
-
-        def groups() -> Iterator[list[np.ndarray]]:
-            last, parts = None, []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key = batch.column(0).to_numpy()
-                body = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2)])
-                cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-                begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-                # keys of one row, but for the first and last of a batch, have no pair
-                stay = end - begin > 1
-                stay[[0, -1]] = True
-                for a, b in zip(begin[stay].tolist(), end[stay].tolist(), strict=True):
-                    if key[a] != last or not parts:
-                        if parts:
-                            yield parts
-                        last, parts = key[a], []
-                    parts.append(body[:, a:b])
-            if parts:
-                yield parts
-
-        held, size = [], 0
-        for parts in groups():
-            for out in found(parts):
-                held.append(out)
-                size += out.num_rows
-                if size > 50_000:
-                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                    held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        out: list[list[np.ndarray]] = []
+        size = 0
+
+        def emit(u: np.ndarray, v: np.ndarray, need: np.ndarray) -> None:
+            nonlocal size
+            out.append([u, v, need.astype(np.int32)])
+            size += len(u)
+
+        def pairs(fp: np.ndarray, n: np.ndarray) -> None:
+            i, j = np.triu_indices(len(fp), 1)
+            least = np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
+            fits = np.minimum(n[i], n[j]) >= least
+            emit(fp[i[fits]], fp[j[fits]], np.minimum(SHARED, least[fits]))
+
+        last, fps, ns, many = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp, n = (batch.column(i).to_numpy() for i in range(3))
+            # sorted: sets that several tasks have sent come once
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            new[0] = not (key[0] == last and len(fps) and fps[-1] == fp[0])
+            key, fp, n = key[new], fp[new], n[new].astype(np.int64)
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            end = np.concatenate([begin[1:], [len(key)]])
+            # keys of one set, but for the first and last of a batch, have no pair
+            stay = end - begin > 1
+            stay[[0, -1]] = True
+            for a, b in zip(begin[stay].tolist(), end[stay].tolist(), strict=True):
+                if key[a] != last:
+                    if len(fps) > 1 and not many:
+                        pairs(fps, ns)
+                    last, fps, ns, many = key[a], fp[a:b], n[a:b], False
+                else:
+                    fps, ns = np.concatenate([fps, fp[a:b]]), np.concatenate([ns, n[a:b]])
+                if len(fps) > few or many:
+                    emit(np.full(len(fps) - 1, fps[0]), fps[1:], np.zeros(len(fps) - 1))
+                    fps, ns, many = fps[[0, -1]], ns[[0, -1]], True  # the first, and the last to tell repeats
+            if size > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
+                out, size = [], 0
+        if len(fps) > 1 and not many:
+            pairs(fps, ns)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
 
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, need int")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of at least threshold."""
-    pairs = saved(pairs)
-    nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    own = saved(sets.select("fp", "shingles").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
     both = pairs.join(own.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(own.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -364,11 +418,10 @@ def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return saved(both.where(alike).select("u", "v"))
 
 
-def _compared(sets: DataFrame, clusters: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+def _compared(own: DataFrame, clusters: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(u, v): links of the sets within each component of clusters (node, component)."""
     clusters = saved(clusters)
     tiles = clusters.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    own = sets.select("fp", "shingles").join(clusters.select(F.col("node").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"])
     members = saved(clusters.join(tiles, "component").join(own, F.col("node") == F.col("fp")).select(
         "component", "fp", "shingles", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")
     ))

@@ -6,7 +6,8 @@ its name, so all tasks name alike, with no dictionary. What a round does with a
 it and its neighbours only: every symbol has a stretch of words that settles it (its dependency),
 and wherever these words stand, the same symbol comes up. So each window of words has among the
 symbols that it settles one of the highest level, its anchor, and equal windows have equal anchors.
-Windows with one anchor are then verified by their words.
+Windows with one anchor are then verified by a second hash of all their words: a false repeat would
+need both 64-bit hashes to agree.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Rolling, mix, saved, slices, spans, with_row_key
+from .common import IS_SPACE, Rolling, discard, mix, saved, slices, span_hashes, spans, union_spans, with_row_key
 
 #: Rounds of naming runs and pairs. A symbol must be settled within a window: further rounds leave
 #: fewer symbols that are, and so more anchors.
@@ -31,7 +32,7 @@ _words, _contexts, _spans_of, _windows = Rolling(11), Rolling(12), Rolling(13),
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, their hashes, and each row's offsets in these."""
     starts, ends = spans(~IS_SPACE[data], offsets)
-    hashes = _words.of(_words.prefix(data), starts, ends)
+    hashes = span_hashes(_words, data, starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
@@ -164,9 +165,10 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
                     names=["key", "span", "r", "q", "start", "n"],
                 )
 
-    found = docs.select(r, q, text).mapInArrow(occurrences, "key long, span long, r long, q int, start int, n int")
-    anchors = found.groupBy("key").agg(F.count("*").alias("times"), (F.min("span") == F.max("span")).alias("alike")).where("times > 1")
+    found = saved(docs.select(r, q, text).mapInArrow(occurrences, "key long, span long, r long, q int, start int, n int"))
+    anchors = saved(found.groupBy("key").agg(F.count("*").alias("times"), (F.min("span") == F.max("span")).alias("alike")).where("times > 1"))
     shared = saved(found.join(anchors.select("key", "alike"), "key"))
+    discard(found, anchors)
     marks = shared.where("alike").select("r", "q", "start", "n")
 
     mixed = shared.where("not alike").select("key", "span", "r", "q", "start", "n")
@@ -183,8 +185,13 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
     texts = docs.join(wanted, (F.col(r) == F.col("wr")) & (F.col(q) == F.col("wq")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of equal rows one is cut
         for batch in batches:
-            for part, data, offsets in slices(batch, text, 500_000):
+            fresh = []
+            for own in zip(batch.column(r).to_pylist(), batch.column(q).to_pylist(), strict=True):
+                fresh.append(own not in seen)
+                seen.add(own)
+            for part, data, offsets in slices(batch.filter(pa.array(fresh, pa.bool_())), text, 500_000):
                 _, _, hashes, first = word_hashes(data, offsets)
                 lists = part.column("wanted")
                 at = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
@@ -212,6 +219,12 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
 
         def matches() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
+            same = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "r", "q", "start")])
+            order = np.lexsort(same[::-1])
+            once = np.ones(len(order), bool)  # equal rows that several tasks have cut come once
+            once[1:] = (same[:, order[1:]] != same[:, order[:-1]]).any(0)
+            if not once.all():
+                rows = rows.take(pa.array(order[once])).combine_chunks()
             lists = rows.column("windows").combine_chunks()
             n = lists.value_lengths().to_numpy().astype(np.int64)
             one = np.repeat(np.arange(len(n)), n)
@@ -246,12 +259,15 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
     small = (cuts.where("not large") if again else cuts).select(*columns)
     marks = marks.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "r long, q int, start int, n int"))
     if again:
-        single = saved(cuts.where("large").select("key", "r", "q", "start", "open", F.posexplode("windows").alias("place", "own")))
+        one = cuts.where("large").groupBy("key", "r", "q", "start", "open").agg(F.first("windows").alias("windows"))
+        single = saved(one.select("key", "r", "q", "start", "open", F.posexplode("windows").alias("place", "own")))
         twice = single.groupBy("key", "own").agg(F.count("*").alias("times")).where("times > 1").select("key", "own")
         marks = marks.union(
             single.where("open").join(twice, ["key", "own"]).select("r", "q", (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("n"))
         )
-    return marks
+    out = saved(marks)
+    discard(shared, ranges, large, *([cuts, single] if again else []))
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_text: bool = True, group_windows: int = GROUP_WINDOWS) -> DataFrame:
@@ -274,7 +290,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
     keyed = docs.withColumns({r: F.xxhash64(*hashed), q: F.hash(F.reverse(F.col(text)))})
     found = repeated(keyed, window, text, (r, q), group_windows).groupBy(F.col("r").alias(f"{r}_m"), F.col("q").alias(f"{q}_m")).agg(
-        F.collect_list(F.struct("start", "n")).alias(marks)
+        F.collect_set(F.struct("start", "n")).alias(marks)
     )
     joined = keyed.join(found, (F.col(r) == F.col(f"{r}_m")) & (F.col(q) == F.col(f"{q}_m")), "left").drop(f"{r}_m", f"{q}_m")
 
@@ -294,33 +310,25 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
                 lists = part.column(marks).fill_null([])
                 at = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
                 items = lists.flatten()
-                start, n = (items.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                step = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(step, first[at] + start, 1)
-                np.add.at(step, first[at] + start + n + window - 1, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                edge = np.zeros(len(starts) + 1, bool)
-                edge[first] = True
-                raw = data.tobytes()
-                out = {k: [] for k in new}
+                start, n = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+                row, lo, hi = union_spans(at, start, start + n + window - 1)
+                n_removed = np.zeros(part.num_rows, np.int64)
+                np.add.at(n_removed, row, hi - lo)
+                upto = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                raw, kept, digests = data.tobytes(), [], []
                 for i in range(part.num_rows):
-                    lo, hi = first[i], first[i + 1]
-                    own = gone[lo:hi]
-                    cuts = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).reshape(-1, 2)
-                    words = raw[offsets[i] : offsets[i + 1]].split()
-                    kept, done = [], 0
-                    for a, b in cuts:
-                        kept += words[done:a]
+                    words, pieces, done = raw[offsets[i] : offsets[i + 1]].split(), [], 0
+                    for a, b in zip(lo[upto[i] : upto[i + 1]].tolist(), hi[upto[i] : upto[i + 1]].tolist(), strict=True):
+                        pieces += words[done:a]
                         done = b
-                    kept = b" ".join(kept + words[done:])
-                    out["n_words"].append(hi - lo)
-                    out["n_removed"].append(int(own.sum()))
-                    out["removed_spans"].append([{"start": int(a), "end": int(b)} for a, b in cuts])
-                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["kept_text"].append(kept.decode() if keep_text else None)
-                arrays = [pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["removed_spans"], span), pa.array(out["kept_sha256"], pa.string())]
+                    rest = b" ".join(pieces + words[done:])
+                    digests.append(hashlib.sha256(rest).hexdigest())
+                    if keep_text:
+                        kept.append(rest.decode())
+                cuts = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi)], ["start", "end"])).cast(span)
+                arrays = [pa.array(np.diff(first)), pa.array(n_removed), cuts, pa.array(digests, pa.string())]
                 if keep_text:
-                    arrays.append(pa.array(out["kept_text"], pa.string()))
+                    arrays.append(pa.array(kept, pa.string()))
                 own_columns = [part.column(i) for i, f in enumerate(part.schema.names) if f not in (r, q, marks)]
                 yield pa.RecordBatch.from_arrays([*own_columns, *arrays], names=schema.names)
 

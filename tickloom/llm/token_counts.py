@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -12,7 +13,13 @@ from .common import with_arrow_columns
 
 #: Words whose counts a task remembers at most.
 REMEMBERED = 400_000
-END = 256  # the symbol after a word's last byte
+#: A word's last byte is a symbol of its own, which only pieces that end a word have: so no other
+#: piece can take it and leave a word's end without a piece.
+LAST = 256
+
+
+def symbols_of(raw: bytes, ends_word: bool) -> list[int]:
+    return [*raw[:-1], raw[-1] + LAST] if ends_word else list(raw)
 
 
 class LongestMatch:
@@ -20,8 +27,9 @@ class LongestMatch:
 
     The trie's nodes have failure links, and with each link goes the number of pieces that
     following it closes; so a word's count is a sum over links, and no piece is ever built.
-    pieces: bytes, whole_word: whether the piece ends a word. Words that no row of pieces spells
-    count as one (unknown) token.
+    pieces: bytes, not empty, and whether the piece ends a word; those that do are taken at a word's
+    end only, and there no others. Words at which greedy matching gets stuck count as one (unknown)
+    token.
     """
 
     def __init__(self, pieces: list[tuple[bytes, bool]]) -> None:
@@ -29,7 +37,7 @@ class LongestMatch:
         accepts, symbols = [False], [(-1, -1)]
         for piece, whole_word in pieces:
             node = 0
-            for symbol in [*piece, *([END] if whole_word else [])]:
+            for symbol in symbols_of(piece, whole_word):
                 if symbol not in self.next[node]:
                     self.next[node][symbol] = len(self.next)
                     self.next.append({})
@@ -56,7 +64,7 @@ class LongestMatch:
 
     def count(self, word: bytes) -> int:
         node, n = 0, 0
-        for symbol in [*word, END]:
+        for symbol in symbols_of(word, True):
             while symbol not in self.next[node]:
                 if self.link[node] < 0:
                     return 1
@@ -104,7 +112,7 @@ def read_vocabulary(path: str, word_end: str = "</w>") -> list[tuple[bytes, bool
     return sorted(out)
 
 
-_automata: dict[int, Remembered] = {}
+_automata: dict[str, Remembered] = {}
 
 
 def count_tokens(docs: DataFrame, pieces: list[tuple[bytes, bool]], text: str = "text") -> DataFrame:
@@ -117,7 +125,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[bytes, bool]], text: str =
     are kept, but n_words and n_tokens replace columns of these names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = hash(tuple(pieces[:: max(1, len(pieces) // 64)])) ^ len(pieces)
+    key = hashlib.sha256(repr(pieces).encode()).hexdigest()
 
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         if key not in _automata:

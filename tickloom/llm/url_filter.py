@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, with_row_key
 
-#: Filters together may hold this many 64-bit words in a plan (8 MB); larger lists are joined.
+#: 64-bit words (8 MB) that the filters of one list may take, as they are held in the plan.
 MAX_WORDS = 1_000_000
 
 
@@ -83,8 +83,8 @@ class Cascade:
         self.levels.append((words, bits, hashes))
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade | None:
-        """listed, universe: distinct, non-null ``key``. None: the filters would exceed MAX_WORDS."""
+    def build(cls, listed: DataFrame, universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade:
+        """listed, universe: distinct, non-null ``key``. An error if the filters would exceed max_words."""
         self = cls()
         listed = saved(listed)
         n = listed.count()
@@ -92,8 +92,8 @@ class Cascade:
             return self
         others = universe.count()
         rate = min(0.5, math.sqrt(0.5) * n / max(1, others))
-        if 1.5 * n * (-math.log2(rate) + 3) / 64 > MAX_WORDS:
-            return None
+        if (need := 1.5 * n * (-math.log2(rate) + 3) / 64) > max_words:
+            raise ValueError(f"a list of {n} keys takes about {need:.0f} words of filters; max_words is {max_words}")
         self._add(listed, n, rate)
         marked = universe.where(self.passes(F.col("key"), 0)).select("key", F.lit(0).alias("is_listed")).union(listed.select("key", F.lit(1)))
         own, other = listed, marked.groupBy("key").agg(F.max("is_listed").alias("is_listed")).where("is_listed = 0").select("key")
@@ -106,13 +106,13 @@ class Cascade:
             own, other = other, own.where(self.passes(F.col("key"), len(self.levels) - 1))
 
 
-def url_filter(pages: DataFrame, rules: dict[str, str], default: str = "allow", url: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules: dict[str, str], default: str = "allow", url: str = "url", max_words: int = MAX_WORDS) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     rules: ``host/path`` -> verdict. A rule fits its host and all subdomains where the path starts
     with the rule's; the longest that fits gives the verdict, and none gives ``default``. One
     cascade for each verdict is built over all keys that occur in the urls, so membership is exact.
-    If the lists are too long for filters in a plan, the same keys are looked up by a join.
+    The filters are held in the plan: a list that takes over max_words 64-bit words is an error.
 
     Null, empty or malformed urls: empty host and path, null rule, default verdict. Repeated rows
     stay; an empty table gives an empty result; other columns are kept, but host, path, rule and
@@ -124,9 +124,7 @@ def url_filter(pages: DataFrame, rules: dict[str, str], default: str = "allow",
     pages = pages.withColumns({"host": host, "path": path}).withColumn(keys, candidate_keys(F.col("host"), F.col("path"), list(rules)))
     universe = saved(pages.select(F.explode(keys).alias("key")).distinct())
     listed = spark.createDataFrame(sorted(rules.items()), "key string, verdict string")
-    cascades = {v: Cascade.build(listed.where(F.col("verdict") == v).select("key"), universe) for v in sorted(set(rules.values()))}
-    if None in cascades.values():
-        return _joined(pages, listed, keys, default)
+    cascades = {v: Cascade.build(listed.where(F.col("verdict") == v).select("key"), universe, max_words) for v in sorted(set(rules.values()))}
     found = F.lit(None).cast("string")
     for verdict, cascade in cascades.items():
         member = F.get(F.filter(F.col(keys), cascade.contains), F.lit(0))
@@ -136,15 +134,3 @@ def url_filter(pages: DataFrame, rules: dict[str, str], default: str = "allow",
     for name, cascade in cascades.items():
         verdict = F.when(F.col("rule").isNotNull() & cascade.contains(F.col("rule")), F.lit(name)).otherwise(verdict)
     return pages.withColumn("verdict", verdict).drop(keys)
-
-
-def _joined(pages: DataFrame, listed: DataFrame, keys: str, default: str) -> DataFrame:
-    """The same result where a list is too long for filters: each key is looked up by a join."""
-    universe = pages.select(F.explode(keys).alias("key")).distinct().join(listed, "key")
-    sets = pages.select(keys).distinct().withColumn("key", F.explode(keys)).join(universe, "key")
-    best = sets.groupBy(keys).agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("best"))
-    return (
-        pages.drop("rule", "verdict").join(best, keys, "left")
-        .withColumns({"rule": F.col("best.key"), "verdict": F.coalesce("best.verdict", F.lit(default))})
-        .drop(keys, "best")
-    )
