@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.execution import EquityEngine, executable
+from tickloom.operators.execution import EquityEngine, events, executable
 from tickloom.operators.metrics import ExtendedMetrics
 from tickloom.operators.strategies import MeanReversion, SingleHold, WeightedHold, latched
 
@@ -73,6 +73,36 @@ def test_an_order_without_a_trading_day_holds_up_the_rest(spark):
     assert [r.seq for r in executable(back, panel).collect()] == [0]
 
 
+def test_the_list_stops_at_its_first_bad_order(spark, monkeypatch):
+    from tickloom.operators import execution
+
+    rng = random.Random(8)
+    panel = panel_of(spark, A=[1.0] * 30)
+    rows, expected = [], set()
+    for p in range(12):
+        days, stopped = sorted(rng.randrange(30) for _ in range(40)), False
+        if p % 3:
+            days[rng.randrange(40)] = rng.choice([0, 40, None])
+        for i, d in enumerate(days):
+            seq = 7 * i
+            stopped = stopped or d is None or d >= 30 or (i > 0 and days[i - 1] is not None and d < days[i - 1])
+            rows.append((f"p{p}", seq, None if d is None else day(d), "BUY", "A", 1.0, "shares"))
+            if not stopped:
+                expected.add((f"p{p}", seq))
+    orders = spark.createDataFrame(rows, "portfolio_id string, seq long, date date, side string, ticker string, quantity double, sizing string")
+    for stretch in (100_000, 20, 3):
+        monkeypatch.setattr(execution, "STRETCH", stretch)
+        assert {(r.portfolio_id, r.seq) for r in executable(orders, panel).collect()} == expected
+
+
+def test_the_fold_reads_few_events(spark):
+    """200 portfolios, each of one of 200 tickers, over 30 days."""
+    panel = panel_of(spark, **{f"T{i}": [float(d + 1) for d in range(30)] for i in range(200)})
+    full = [(f"p{i}", d, day(d), "BUY", f"T{i}", 0.5, "pct" if d < 3 else "shares") for i in range(200) for d in range(10)]
+    orders = spark.createDataFrame(full, "portfolio_id string, seq long, date date, side string, ticker string, quantity double, sizing string")
+    assert events(orders, panel).count() == 200 * (10 + 3)
+
+
 def test_null_prices(spark):
     panel = panel_of(spark, A=[10.0, None, 12.0], B=[1.0, 1.0, 1.0])
     buy = orders_of(spark, (0, "BUY", "A", 2, "shares"), (1, "BUY", "A", 1, "shares"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import series, stats
 from tickloom.operators import align, quality
-from tickloom.sources import files, prices
+from tickloom.sources import files, prices, workbooks
 
 DAY0 = datetime.date(2023, 1, 1)
 
@@ -82,7 +82,63 @@ def test_vendor_columns_and_prices(spark):
     with pytest.raises(ValueError, match="trfd"):
         prices.VendorPrices(rows.drop("trfd"), use_trfd=True)
     with pytest.raises(TypeError):
-        files.read_by_suffix(spark, "/tmp/x.xlsx")
+        files.read_by_suffix(spark, "/tmp/x.xls")
+
+
+def test_workbooks(spark, tmp_path):
+    assert [workbooks.column_index(x) for x in ("A1", "Z9", "AB7")] == [0, 25, 27]
+    rows = [["Fund", None], [], ["Ticker", "Weight <%>"], ["A", 5.5], [None, 1], ["B & C", "x"]]
+    (tmp_path / "a.xlsx").write_bytes(workbooks.sheet_bytes(rows))
+    got = workbooks.read_workbooks(spark, str(tmp_path / "a.xlsx")).orderBy("rid").collect()
+    assert [(r.rid, r.cells) for r in got] == [(1, ["Fund", None]), (2, []), (3, ["Ticker", "Weight <%>"]), (4, ["A", "5.5"]), (5, [None, "1"]), (6, ["B & C", "x"])]
+    held = files.holdings_sheet(spark, str(tmp_path / "a.xlsx"), value="Weight <%>").orderBy("rid").collect()
+    assert [(r.ticker, r.weight) for r in held] == [("A", 0.055), (None, 0.01), ("B & C", None)]
+    plain = [["tic", "datadate", "prccd", "ajexdi", "cshtrd"], ["A", 44927, 10, 0.5, 3], [" A", "2023-01-02", 8, 0.5, None]]
+    (tmp_path / "b.xlsx").write_bytes(workbooks.sheet_bytes(plain))
+    panel = prices.VendorPrices.open(spark, str(tmp_path / "b.xlsx")).with_volume(["A"], "2023-01-01", "2023-01-02").orderBy("date").collect()
+    assert [(r.date, r.adj_close, r.volume) for r in panel] == [(day(0), 5.0, 3.0), (day(1), 4.0, None)]
+
+
+def test_shared_strings_and_cell_references(spark):
+    import io
+    import zipfile
+
+    raw, out = zipfile.ZipFile(io.BytesIO(workbooks.sheet_bytes([]))), io.BytesIO()
+    main = workbooks.MAIN[1:-1]
+    with zipfile.ZipFile(out, "w") as book:
+        for name in raw.namelist():
+            if "sheet1" not in name:
+                book.writestr(name, raw.read(name))
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="3"><c r="B3" t="s"><v>1</v></c><c r="D3" t="s"><v>0</v></c><c r="E3" t="str"><v>f</v></c></row></sheetData></worksheet>')
+    assert list(workbooks.parsed(out.getvalue())) == [(3, [None, "two", None, "one", "f"])]
+
+
+def test_holdings_without_a_header(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbooks.sheet_bytes([["x"]]))
+    for path in ("a.xlsx", "absent.xlsx"):
+        assert files.holdings_sheet(spark, str(tmp_path / path), on_error="empty").count() == 0
+        with pytest.raises(Exception, match="Ticker|absent"):
+            files.holdings_sheet(spark, str(tmp_path / path))
+
+
+def test_vendor_connector_and_backfill(spark, tmp_path):
+    rows = [("A", day(i), float(i), 1.0) for i in range(5)] + [("SPY", day(i), 100.0 + i, 2.0) for i in range(9)]
+    spark.createDataFrame(rows, "ticker string, date date, adj_close double, volume double").write.parquet(str(tmp_path / "v"))
+    source = prices.NetworkPrices(spark, path=str(tmp_path / "v"))
+    got = source.read(["A", "A", "B"], "2023-01-02", "2023-01-04").orderBy("date").collect()
+    assert [(r.ticker, r.date, r.adj_close) for r in got] == [("A", day(1), 1.0), ("A", day(2), 2.0)]
+    panel = prices.with_benchmark(panel_of(spark, A=[1.0, 2.0, 3.0]), source)
+    assert panel.where("ticker = 'SPY'").count() == 2 and prices.with_benchmark(panel, source).count() == panel.count()
+    with pytest.raises(Exception, match="options are missing"):
+        spark.read.format("ticker_prices").load().collect()
+
+
+def test_table_column(spark):
+    html = """<table><tr><td>Symbol x</td></tr></table><TABLE id=1><tr><th>Name</th><th> Symbol
+      </th></tr><tr><td>a</td><td><a href="q">BRK.B</a></td></tr><tr><td>only</td></tr></TABLE>"""
+    pages = spark.createDataFrame([(html,), ("",), (None,)], "html string")
+    assert sorted(r.ticker for r in files.universe(pages, column="Symbol").collect()) == ["BRK-B", "SPY"]
 
 
 def test_table_cache(spark):

@@ -51,6 +51,23 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
+def key_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(column_name, present, data_type) of the wanted columns: what a source offers, from its schema alone."""
+    kinds = dict(df.dtypes)
+    return df.sparkSession.createDataFrame([(c, c in kinds, kinds.get(c)) for c in wanted], "column_name string, present boolean, data_type string")
+
+
+def any_missing(df: DataFrame, *keys: str) -> DataFrame:
+    """For each key, or over all rows, whether any value of each other column is missing."""
+    return df.groupBy(*keys).agg(*[any_true(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns if c not in keys])
+
+
+def displayed(df: DataFrame, percent: Sequence[str] = (), digits: int = 2) -> DataFrame:
+    """df with its doubles as text for people: ``percent`` columns as 12.3456%, others with ``digits`` decimals."""
+    shown = {c: F.format_string("%.4f%%", F.col(c) * 100) if c in percent else F.format_string(f"%.{digits}f", c) for c, t in df.dtypes if t == "double"}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), x) for c, x in shown.items()})
+
+
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """The k most frequent values; ties in value order."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("times"))

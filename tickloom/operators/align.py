@@ -35,6 +35,11 @@ def dense_grid(panel: DataFrame) -> DataFrame:
     return grid.join(panel, ["ticker", "date"], "left")
 
 
+def drop_empty_dates(rows: DataFrame, value: str = "adj_close") -> DataFrame:
+    """rows without the dates on which every ticker's value is null."""
+    return rows.join(rows.where(F.col(value).isNotNull()).select("date"), "date", "left_semi")
+
+
 def only_in(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on), "left_anti")
 

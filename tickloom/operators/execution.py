@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import by_date, ffill
+from tickloom.sources.files import stored
 
 
 @dataclass
@@ -39,19 +40,32 @@ class Engine(ABC):
     def run(self, orders: DataFrame, panel: DataFrame) -> BacktestResult: ...
 
 
+#: seq's so many apart fall in different stretches of an order list, which are looked at side by side.
+STRETCH = 100_000
+
+
 def executable(orders: DataFrame, calendar: DataFrame, policy: str = "cursor") -> DataFrame:
     """Orders that come to be executed.
 
     ``cursor``: the list is read along the calendar, so an order on a day without trade, or dated
     before its predecessor, holds up all that follow. ``sorted``: orders run by date, and only
-    those on other days are dropped."""
+    those on other days are dropped.
+
+    A list is never sorted whole: each stretch of it gives its first bad order and its two ends'
+    dates, and the least of these, with those between stretches, is where the list stops."""
     known = orders.join(calendar.select("date").distinct().withColumn("trades", F.lit(True)), "date", "left").withColumn("trades", F.coalesce("trades", F.lit(False)))
     if policy == "sorted":
         return known.where("trades").drop("trades")
-    w = Window.partitionBy("portfolio_id").orderBy("seq")
-    bad = known.withColumn("bad", ~F.col("trades") | F.coalesce(F.col("date") < F.lag("date").over(w), F.lit(False)) | F.col("date").isNull())
-    held_up = F.max(F.col("bad").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return bad.withColumn("held_up", held_up).where("held_up = 0").drop("trades", "bad", "held_up")
+    cut = known.select("portfolio_id", "seq", "date", "trades", F.floor(F.col("seq") / STRETCH).alias("stretch"))
+    earlier = F.lag("date").over(Window.partitionBy("portfolio_id", "stretch").orderBy("seq"))
+    bad = ~F.col("trades") | F.coalesce(F.col("date") < F.col("earlier"), F.lit(False)) | F.col("date").isNull()
+    parts = cut.withColumn("earlier", earlier).groupBy("portfolio_id", "stretch").agg(
+        F.min(F.when(bad, F.col("seq"))).alias("bad"), F.min("seq").alias("head"), F.min_by("date", "seq").alias("head_date"), F.max_by("date", "seq").alias("tail_date")
+    )
+    before = F.lag("tail_date").over(Window.partitionBy("portfolio_id").orderBy("stretch"))
+    back = F.when(F.col("head_date") < F.col("before"), F.col("head"))
+    stops = parts.withColumn("before", before).groupBy("portfolio_id").agg(F.min(F.least("bad", back)).alias("stop"))
+    return orders.join(stops, "portfolio_id", "left").where("stop IS NULL OR seq < stop").drop("stop")
 
 
 class Book:
@@ -66,11 +80,10 @@ class Book:
     def open(self, date: object) -> None:
         self.date, self.prices, self.opening = date, {}, None
 
-    def execute(self, side: str, ticker: str, quantity: float, sizing: str) -> float | None:
+    def execute(self, side: str, ticker: str, quantity: float, sizing: str, price: float) -> float | None:
         """The change of the holding; None if the order is not filled."""
         if self.opening is None:
             self.opening = self.cash + sum(n * self.prices.get(t, float("nan")) for t, n in self.held.items())
-        price = self.prices.get(ticker, float("nan"))
         if side == "BUY":
             if sizing == "pct":
                 if not price or price != price or self.opening != self.opening:
@@ -86,37 +99,45 @@ class Book:
         return change
 
 
-def fold(orders: DataFrame, panel: DataFrame, initial_cash: float) -> DataFrame:
-    """portfolio_id, seq, date, ticker, change, cash: what each executed order did.
+def events(orders: DataFrame, panel: DataFrame) -> DataFrame:
+    """What the fold reads: orders with their own prices, and rows without a side that hold prices.
 
-    Each portfolio's events are its order days' prices of the tickers that it trades, then its
-    orders; a task reads them sorted, batch by batch."""
-    days = orders.select("portfolio_id", "date").distinct()
+    Only BUYs of a fraction need the portfolio's value: the orders of their days are led by the
+    prices of the tickers that the portfolio trades. Prices are joined to the traded tickers before
+    the days, so no row is made for a ticker that a portfolio never had."""
+    known = panel.select("date", "ticker", "adj_close").where(F.col("adj_close").isNotNull())
+    days = orders.where("sizing = 'pct' AND side = 'BUY'").select("portfolio_id", "date").distinct()
     traded = orders.select("portfolio_id", "ticker").distinct()
-    prices = days.join(panel.select("date", "ticker", "adj_close").where(F.col("adj_close").isNotNull()), "date").join(traded, ["portfolio_id", "ticker"], "left_semi")
-    events = prices.select("portfolio_id", "date", F.lit(-1).cast("long").alias("seq"), "ticker", F.lit(None).cast("string").alias("side"), F.col("adj_close").alias("amount"), F.lit(None).cast("string").alias("sizing")).unionByName(
-        orders.select("portfolio_id", "date", "seq", "ticker", "side", F.col("quantity").cast("double").alias("amount"), "sizing")
-    )
+    prices = traded.join(known, "ticker").join(days, ["portfolio_id", "date"], "left_semi")
+    own = orders.join(known, ["date", "ticker"], "left")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("side", "string"), ("amount", "double"), ("sizing", "string"))}
+    columns = ["portfolio_id", "date", "seq", "ticker", "side", "amount", "sizing", "adj_close"]
+    return prices.withColumns({"seq": F.lit(-1).cast("long"), **none}).select(columns).unionByName(own.withColumn("amount", F.col("quantity").cast("double")).select(columns))
+
+
+def fold(orders: DataFrame, panel: DataFrame, initial_cash: float) -> DataFrame:
+    """portfolio_id, seq, date, ticker, change, cash: what each executed order did. A task reads its
+    portfolios' events sorted, batch by batch."""
     names = ["portfolio_id", "seq", "date", "ticker", "change", "cash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, portfolio, first = Book(initial_cash), None, True
         for batch in batches:
             out: list[tuple] = []
-            for owner, date, seq, ticker, side, amount, sizing in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for owner, date, seq, ticker, side, amount, sizing, price in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if first or owner != portfolio:
                     book, portfolio, first = Book(initial_cash), owner, False
                 if date != book.date:
                     book.open(date)
                 if side is None:
-                    book.prices[ticker] = amount
-                elif (change := book.execute(side, ticker, amount, sizing)) is not None:
+                    book.prices[ticker] = price
+                elif (change := book.execute(side, ticker, amount, sizing, float("nan") if price is None else price)) is not None:
                     out.append((owner, seq, date, ticker, change, book.cash))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.string(), pa.int64(), pa.date32(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    ordered = events.select("portfolio_id", "date", "seq", "ticker", "side", "amount", "sizing").repartition("portfolio_id").sortWithinPartitions("portfolio_id", "date", "seq")
+    ordered = events(orders, panel).repartition("portfolio_id").sortWithinPartitions("portfolio_id", "date", "seq")
     return ordered.mapInArrow(run, "portfolio_id string, seq long, date date, ticker string, change double, cash double")
 
 
@@ -133,7 +154,7 @@ class EquityEngine(Engine):
             panel = panel.withColumn("adj_close", ffill(F.col("adj_close"), by_date()))
         calendar = panel.agg(F.sort_array(F.collect_set("date"))).scalar()
         # cash and holdings both read the ledger: the fold runs once
-        ledger = fold(executable(orders, panel, self.policy), panel, self.initial_cash).persist()
+        ledger = stored(fold(executable(orders, panel, self.policy), panel, self.initial_cash))
 
         daily = ledger.groupBy("portfolio_id", "ticker", "date").agg(F.sum("change").alias("change"))
         spans = daily.groupBy("portfolio_id", "ticker").agg(F.min("date").alias("first_date"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.series import bfill, by_date, ffill, padded_returns, returns
 from tickloom.functions.stats import all_true, pearson, spearman
+from tickloom.sources.files import stored
 
 from .align import dense_grid
 
@@ -67,6 +68,24 @@ def worst_days(series: DataFrame, k: int = 5) -> DataFrame:
     return series.orderBy(F.desc("diff"), "date").limit(k).select("date", "diff")
 
 
+def verification_record(fund: DataFrame, index: DataFrame, threshold: float = 0.0001, k: int = 5) -> DataFrame:
+    """One row: verify_index's, worst_days (the k largest differences with their dates) and error. Where
+    nothing can be compared, error says why, differences are infinite, the rank correlation is 0 and
+    the threshold is not met."""
+    compared = stored(verification_series(fund, index))
+    record = verify_index(fund, index, threshold)
+    empty = (fund.agg(F.count("*")).scalar() == 0) | (index.agg(F.count("*")).scalar() == 0)
+    error = F.when(empty, "empty data").when(F.col("n_days") == 0, "no common dates")
+    none = error.isNotNull()
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("diff")).alias("less"), "date", "diff")))
+    worst = worst_days(compared, k).agg(F.transform(ranked, lambda x: F.struct(x["date"].alias("date"), x["diff"].alias("diff"))).alias("w"))
+    held = lambda c, other: F.when(none, F.lit(other)).otherwise(F.col(c)).alias(c)
+    return record.select(
+        held("max_diff", float("inf")), held("mean_diff", float("inf")), held("within_threshold", False), held("spearman", 0.0), "pearson", "n_days",
+        "fund_missing", "index_missing", worst.scalar().alias("worst_days"), error.alias("error"),
+    )
+
+
 def reconcile(left: DataFrame, right: DataFrame, on: list[str], diff, threshold: float = 1e-4) -> DataFrame:
     """One row of statistics of diff(joined), over all matched rows and over those beyond the
     threshold, and the numbers of rows that only one side has. Null differences are not counted."""
@@ -101,11 +120,29 @@ def compare_prices(left: DataFrame, right: DataFrame, a: str, b: str, on: list[s
     )
 
 
-def compare_strategies(values: DataFrame, a: str, b: str) -> DataFrame:
-    """One row for two portfolios' daily returns on common dates: correlation, spreads, final growth."""
+def price_differences(left: DataFrame, right: DataFrame, a: str, b: str, on: list[str]) -> DataFrame:
+    """The keys, diff and pct of matched rows: what a chart of price differences shows."""
+    diff = F.col(a) - F.col(b)
+    return left.join(right, on).select(*on, diff.alias("diff"), (F.try_divide(diff, F.col(b)) * 100).alias("pct"))
+
+
+def strategy_returns(values: DataFrame, a: str, b: str) -> DataFrame:
+    """date, a, b: two portfolios' daily returns on their common dates."""
     r = padded_returns(values, "portfolio_value", "r", "portfolio_id").where(F.col("r").isNotNull())
     one = lambda p, n: r.where(F.col("portfolio_id") == p).select("date", F.col("r").alias(n))
-    both = one(a, "a").join(one(b, "b"), "date")
+    return one(a, "a").join(one(b, "b"), "date")
+
+
+def strategy_curves(values: DataFrame, a: str, b: str) -> DataFrame:
+    """date, growth_a, growth_b, diff: both portfolios' growth over their common dates, and the
+    difference of the day's returns: what charts of a comparison show."""
+    grown = lambda c: F.product(1 + F.col(c)).over(all_dates().rowsBetween(Window.unboundedPreceding, 0))
+    return strategy_returns(values, a, b).select("date", grown("a").alias("growth_a"), grown("b").alias("growth_b"), (F.col("a") - F.col("b")).alias("diff"))
+
+
+def compare_strategies(values: DataFrame, a: str, b: str) -> DataFrame:
+    """One row for two portfolios' daily returns on common dates: correlation, spreads, final growth."""
+    both = strategy_returns(values, a, b)
     return both.agg(
         F.count("*").alias("n_days"), F.stddev_samp("a").alias("std_a"), F.stddev_samp("b").alias("std_b"),
         F.stddev_samp(F.col("a") - F.col("b")).alias("std_diff"),

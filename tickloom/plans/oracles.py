@@ -245,7 +245,7 @@ oracle("reconcile_prices", "va vb", STATS, STAT.format(
     "(SELECT count(*) FROM va ANTI JOIN vb USING (ticker, date))", "(SELECT count(*) FROM vb ANTI JOIN va USING (ticker, date))", "SELECT price_a - price_b AS d FROM va JOIN vb USING (ticker, date)"))
 oracle("vendor_compare", "va vb", "mean_abs_diff:f mean_pct:f max_pct:f pearson:f n_matched", """SELECT avg(abs(price_a - price_b)) AS mean_abs_diff, avg((price_a - price_b) / price_b * 100) AS mean_pct, max((price_a - price_b) / price_b * 100) AS max_pct,
     corr(price_a, price_b) AS pearson, count(*) AS n_matched FROM va JOIN vb USING (ticker, date)""")
-oracle("strategy_compare", "panel held", "n_days std_a:f std_b:f std_diff:f final_a:f final_b:f spearman:f", f"""
+TWO_STRATEGIES = """
     WITH RECURSIVE c AS (SELECT DISTINCT date FROM panel), ends AS (SELECT min(date) AS a, max(date) AS z FROM panel), w AS (
         SELECT ticker, 900000 * (weight / (SELECT sum(weight) FROM held)) / adj_close AS q, adj_close AS p0 FROM held JOIN panel USING (ticker) WHERE date = (SELECT a FROM ends)),
     one AS (SELECT 900000 / p.adj_close AS q, p.adj_close AS p0, p.date AS d0, (SELECT max(date) FROM panel WHERE ticker = 'Brand#11') AS d1 FROM panel p WHERE ticker = 'Brand#11' AND date = (SELECT min(date) FROM panel WHERE ticker = 'Brand#11')),
@@ -259,4 +259,50 @@ oracle("strategy_compare", "panel held", "n_days std_a:f std_b:f std_diff:f fina
     ra AS (SELECT date, f / lag(f) OVER (ORDER BY date) - 1 AS r FROM (SELECT date, last_value(v IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS f FROM va)),
     rb AS (SELECT date, f / lag(f) OVER (ORDER BY date) - 1 AS r FROM (SELECT date, last_value(v IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS f FROM vb)),
     b AS (SELECT ra.r AS a, rb.r AS b FROM ra JOIN rb USING (date) WHERE ra.r IS NOT NULL AND rb.r IS NOT NULL)
+"""
+oracle("strategy_compare", "panel held", "n_days std_a:f std_b:f std_diff:f final_a:f final_b:f spearman:f", TWO_STRATEGIES + f"""
     SELECT count(*) AS n_days, stddev_samp(a) AS std_a, stddev_samp(b) AS std_b, stddev_samp(a - b) AS std_diff, product(1 + a) - 1 AS final_a, product(1 + b) - 1 AS final_b, {RANKS.format("a", "b", "b")} AS spearman FROM b""")
+oracle("strategy_curves", "panel held", "date:d growth_a:f growth_b:f diff:f", TWO_STRATEGIES.replace("b AS (SELECT ra.r", "b AS (SELECT date, ra.r") + """
+    SELECT date, product(1 + a) OVER w AS growth_a, product(1 + b) OVER w AS growth_b, a - b AS diff FROM b WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""")
+oracle("price_differences", "va vb", "ticker date:d diff:f pct:f", "SELECT ticker, date, price_a - price_b AS diff, (price_a - price_b) / price_b * 100 AS pct FROM va JOIN vb USING (ticker, date)")
+oracle("workbook_header_detect", "held", "rid ticker weight:f", """SELECT 3 + row_number() OVER (ORDER BY k) AS rid, ticker, weight / 100 AS weight FROM (
+    SELECT ticker AS k, ticker, round(weight, 4) AS weight FROM held UNION ALL SELECT 'Brand#19x', NULL, 1.0)""")
+oracle("workbook_plain", "", "tic n:f size:f", "SELECT p_brand AS tic, count(*)::DOUBLE AS n, sum(p_size)::DOUBLE AS size FROM part GROUP BY 1")
+oracle("vendor_from_file", "", f"{PX} volume:f", f"""SELECT 'ALL' AS ticker, l_shipdate::DATE AS date, max(l_extendedprice)::DOUBLE * max(l_discount)::DOUBLE AS adj_close, sum(l_quantity::{MONEY})::DOUBLE AS volume
+    FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 2""")
+HALF_OPEN = "date >= DATE '1996-01-01' AND date < DATE '1997-12-31'"
+oracle("vendor_connector", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {HALF_OPEN}")
+oracle("vendor_by_ticker", "panel", "date:d adj_close:f volume:f", f"SELECT * FROM panel WHERE ticker = 'Brand#11' AND {HALF_OPEN}")
+oracle("benchmark_backfill", "panel market", PX, f"""SELECT ticker, date, adj_close FROM panel WHERE {IN_BRANDS} UNION ALL
+    SELECT 'SPY', date, adj_close FROM market WHERE date >= (SELECT min(date) FROM panel WHERE {IN_BRANDS}) AND date < (SELECT max(date) FROM panel WHERE {IN_BRANDS})""")
+oracle("universe_by_header", "", "ticker", "SELECT DISTINCT p_brand AS ticker FROM part WHERE p_brand IN ('Brand#3', 'Brand#11', 'Brand#24') UNION SELECT 'SPY'")
+oracle("ingest_prices", "panel", f"{PX} volume:f vwap:f", f"""SELECT *, sum(adj_close * volume) {OVER} UNBOUNDED PRECEDING) / sum(volume) {OVER} UNBOUNDED PRECEDING) AS vwap
+    FROM (SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE})""")
+oracle("cache_roundtrip", "panel", PX, "SELECT * FROM panel")
+oracle("profile_keys", "", "column_name present data_type", "SELECT * FROM (VALUES ('ticker', true, 'string'), ('date', true, 'date'), ('adj_close', true, 'double'), ('cusip', false, NULL)) v(column_name, present, data_type)")
+oracle("any_missing", "sparse", "ticker adj_close", "SELECT ticker, bool_or(adj_close IS NULL) AS adj_close FROM sparse GROUP BY 1")
+oracle("drop_empty_dates", "panel", PX, """WITH grid AS (
+    SELECT t.ticker, c.date, CASE WHEN t.ticker NOT IN ('Brand#3', 'Brand#11') AND month(c.date) % 2 = 0 THEN adj_close END AS adj_close
+    FROM (SELECT DISTINCT ticker FROM panel) t CROSS JOIN (SELECT DISTINCT date FROM panel) c LEFT JOIN panel p ON p.ticker = t.ticker AND p.date = c.date)
+    SELECT * FROM grid WHERE date IN (SELECT date FROM grid GROUP BY date HAVING count(adj_close) > 0)""")
+oracle("template_strategy", "panel ordinals", ORDERS, """SELECT 'template' AS portfolio_id, ordinal * 100000 + (date - DATE '1970-01-01') AS seq, date, 'BUY' AS side, ticker, 10.0::DOUBLE AS quantity, 'shares' AS sizing
+    FROM (SELECT ticker, min(date) AS date FROM panel GROUP BY 1) JOIN ordinals USING (ticker)""")
+oracle("template_engine", "panel", "portfolio_id date:d portfolio_value:f", """SELECT 'template' AS portfolio_id, date, 1000000 - sum(spent) OVER (ORDER BY date) AS portfolio_value FROM (
+    SELECT date, sum(adj_close) AS spent FROM panel p WHERE date = (SELECT min(date) FROM panel q WHERE q.ticker = p.ticker) GROUP BY 1)""")
+oracle("metrics_display", "returns_reversion values_reversion", "portfolio_id cumulative_return volatility", """SELECT portfolio_id, printf('%.4f%%', (product(1 + r) - 1) * 100) AS cumulative_return, printf('%.2f', stddev_samp(r) * sqrt(252.0)) AS volatility
+    FROM returns_reversion GROUP BY 1""")
+oracle("verify_record", "checked idx market", "max_diff:f mean_diff:f within_threshold pearson:f n_days spearman:f fund_missing index_missing worst_days error", f"""SELECT max(diff) AS max_diff, avg(diff) AS mean_diff,
+    coalesce(bool_and(diff <= 0.01), true) AS within_threshold, corr(fr, ir) AS pearson, count(*) AS n_days, {RANKS.format("fr", "ir", "checked")} AS spearman, (SELECT count(*) - count(adj_close) FROM market) AS fund_missing,
+    (SELECT count(*) - count(index_value) FROM idx) AS index_missing,
+    (SELECT string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY diff DESC, date) FROM (SELECT * FROM checked ORDER BY diff DESC, date LIMIT 5)) AS worst_days, NULL::VARCHAR AS error FROM checked""")
+oracle("verify_nothing", "", "error within_threshold max_diff mean_diff spearman:f worst_days", """SELECT * FROM (VALUES ('empty data', false, 'Infinity', 'Infinity', 0.0::DOUBLE, ''), ('no common dates', false, 'Infinity', 'Infinity', 0.0::DOUBLE, ''))
+    v(error, within_threshold, max_diff, mean_diff, spearman, worst_days)""")
+oracle("backtest_portfolio", "both_r market_r panel", "portfolio_id date:d cash:f", f"""WITH RECURSIVE listed AS (
+        SELECT *, row_number() OVER (ORDER BY seq) AS i FROM (SELECT b.*, p.adj_close AS price FROM ({BAB}) b LEFT JOIN panel p USING (ticker, date)) WHERE date IN (SELECT date FROM panel)),
+    run(i, date, cash, held) AS (
+        SELECT 0::BIGINT, NULL::DATE, 1000000.0::DOUBLE, MAP {{}}::MAP(VARCHAR, DOUBLE) UNION ALL
+        SELECT i, date, CASE WHEN side = 'SELL' OR change <> 0 THEN cash - price * change ELSE cash END, map_concat(held, MAP {{ticker: coalesce(held[ticker], 0) + change}}) FROM (
+            SELECT l.i, l.date, l.side, l.ticker, l.price, r.cash, r.held,
+                   CASE WHEN l.side = 'SELL' THEN -least(l.quantity, coalesce(r.held[l.ticker], 0)) WHEN r.cash >= l.price * l.quantity THEN l.quantity ELSE 0 END AS change
+            FROM run r JOIN listed l ON l.i = r.i + 1))
+    SELECT 'bab' AS portfolio_id, c.date, (SELECT arg_max_null(cash, i) FROM run WHERE i = 0 OR run.date <= c.date) AS cash FROM (SELECT DISTINCT date FROM panel) c""")

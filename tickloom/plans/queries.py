@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import series, stats
-from tickloom.operators import align, metrics, quality
+from tickloom.operators import align, metrics, quality, templates
 from tickloom.operators.execution import EquityEngine, executable
 from tickloom.operators.strategies import (
     STRATEGIES, BettingAgainstBeta, MeanReversion, Momentum, SingleHold, WeightedHold, with_bands,
 )
-from tickloom.sources import files, prices
+from tickloom.sources import files, prices, vendor, workbooks
 
 from . import panels
 
@@ -48,8 +48,8 @@ class _Panel(prices.PriceSource):
 
 def kept_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly panel for queries that read it several times: order lines are scanned and summed
-    once, and the panel, a row for each brand and week, is kept."""
-    return panels.price_panel(spark, sf_dir).persist()
+    once, and the panel, a row for each brand and week, is written to the shared folder."""
+    return files.stored(panels.price_panel(spark, sf_dir))
 
 
 # --- sources, filters, reshaping
@@ -148,6 +148,85 @@ def header_detect(spark, sf_dir):
     return files.table_below_header(_sheet(spark, sf_dir))
 
 
+def _workbook(spark, sf_dir):
+    """A sheet as a file's path and content, as Spark's binaryFile source gives them."""
+    return workbooks.as_workbooks(_sheet(spark, sf_dir).select(F.lit("holdings.xlsx").alias("path"), "rid", "cells"))
+
+
+@query
+def workbook_header_detect(spark, sf_dir):
+    return files.table_below_header(workbooks.workbook_rows(_workbook(spark, sf_dir)).select("rid", "cells"))
+
+
+@query
+def workbook_plain(spark, sf_dir):
+    part = panels.read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.col("p_size").cast("long")).alias("size"))
+    cells = part.select(F.col("p_brand").alias("k"), F.array("p_brand", F.col("n").cast("string"), F.col("size").cast("string")).alias("cells"))
+    head = spark.createDataFrame([(" ", ["(tic) Ticker Symbol", "n", "size"])], "k string, cells array<string>")
+    sheet = files.numbered(head.unionByName(cells), "k").select(F.lit("a.xlsx").alias("path"), "rid", "cells")
+    table, _ = files.short_names(workbooks.with_header(workbooks.workbook_rows(workbooks.as_workbooks(sheet))))
+    return table.select("tic", F.col("n").try_cast("double").alias("n"), F.col("size").try_cast("double").alias("size"))
+
+
+@query
+def vendor_from_file(spark, sf_dir):
+    lines = panels.read(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("datadate")).agg(
+        F.max("l_extendedprice").cast("double").alias("prccd"), F.max("l_discount").cast("double").alias("ajexdi"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("cshtrd")
+    )
+    path = f"{files.shared_folder(spark)}.csv"
+    lines.withColumn("tic", F.lit(" ALL ")).withColumnRenamed("prccd", "(prccd) Price (close)").write.csv(path, header=True)
+    return prices.VendorPrices.open(spark, path).with_volume(["ALL"], START, END)
+
+
+@query
+def vendor_connector(spark, sf_dir):
+    path = files.shared_folder(spark)
+    panels.price_panel(spark, sf_dir).write.parquet(path)
+    return prices.NetworkPrices(spark, path=path).read(BRANDS, START, END)
+
+
+@query
+def vendor_by_ticker(spark, sf_dir):
+    path = files.shared_folder(spark)
+    panels.price_panel(spark, sf_dir).write.parquet(path)
+    series_of = vendor.by_ticker(vendor.vendor_panel(spark, BRANDS, START, END, path=path), BRANDS)
+    return series_of[BRANDS[1]]
+
+
+@query
+def benchmark_backfill(spark, sf_dir):
+    panel = panels.price_panel(spark, sf_dir)
+    market = _Panel(panels.benchmark_prices(spark, sf_dir).withColumn("ticker", F.lit("SPY")))
+    return prices.with_benchmark(prices.with_benchmark(panel.where(F.col("ticker").isin(BRANDS)), market), market).select("ticker", "date", "adj_close")
+
+
+def _universe_pages(spark, sf_dir):
+    row = F.concat(F.lit("<tr><td>No. 1</td><td>&nbsp;<a href='x'><b>"), "p_brand", F.lit("</b></a></td><td></td></tr>"))
+    rows = F.array_join(F.sort_array(F.collect_set(row)), "\n")
+    junk = "<table><tr><td>Symbol of</td></tr></table>"
+    page = F.concat(F.lit(f"<html>{junk}<table class='t'><tr><th>Name</th><th>Symbol </th><th>x</th></tr>"), rows, F.lit(f"</table>{junk}"))
+    return panels.read(spark, sf_dir, "part").where(F.col("p_brand").isin(BRANDS)).agg(page.alias("html")).select(F.replace("html", F.lit("&nbsp;"), F.lit(" ")).alias("html"))
+
+
+@query
+def universe_by_header(spark, sf_dir):
+    return files.universe(_universe_pages(spark, sf_dir), column="Symbol")
+
+
+@query
+def ingest_prices(spark, sf_dir):
+    source = _Panel(panels.price_panel(spark, sf_dir))
+    return prices.ingest(_universe_pages(spark, sf_dir), source, files.shared_folder(spark), START, END).select("ticker", "date", "adj_close", "volume", "vwap")
+
+
+@query
+def cache_roundtrip(spark, sf_dir):
+    cache = prices.TableCache(spark, files.shared_folder(spark))
+    if cache.get("panel") is None:
+        cache.set("panel", panels.price_panel(spark, sf_dir).select("ticker", "date", "adj_close"))
+    return cache.get("panel")
+
+
 @query
 def universe_append(spark, sf_dir):
     pages = panels.read(spark, sf_dir, "part").select(
@@ -165,6 +244,16 @@ def profile_nulls(spark, sf_dir):
     return stats.null_counts(wide)
 
 
+@query
+def profile_keys(spark, sf_dir):
+    return stats.key_columns(panels.price_panel(spark, sf_dir), ["ticker", "date", "adj_close", "cusip"])
+
+
+@query
+def any_missing(spark, sf_dir):
+    return stats.any_missing(_sparse(spark, sf_dir).select("ticker", "adj_close"), "ticker")
+
+
 @query
 def profile_topk(spark, sf_dir):
     return stats.top_values(panels.price_panel(spark, sf_dir, "day"), "ticker", 10)
@@ -204,6 +293,14 @@ def outer_grid(spark, sf_dir):
     return align.dense_grid(panels.price_panel(spark, sf_dir).select("ticker", "date", "adj_close"))
 
 
+@query
+def drop_empty_dates(spark, sf_dir):
+    """Prices of odd months are blanked, and of two brands on all dates."""
+    grid = align.dense_grid(panels.price_panel(spark, sf_dir).select("ticker", "date", "adj_close"))
+    blank = F.col("ticker").isin(BRANDS[:2]) | (F.month("date") % 2 == 1)
+    return align.drop_empty_dates(grid.withColumn("adj_close", F.when(~blank, F.col("adj_close"))))
+
+
 @query
 def anti_left(spark, sf_dir):
     return align.only_in(panels.vendor_prices(spark, sf_dir, "a"), panels.vendor_prices(spark, sf_dir, "b"), ["ticker", "date"])
@@ -376,6 +473,11 @@ def order_sorted(spark, sf_dir):
     return executable(_bab(spark, sf_dir).orders(panel), panel, "sorted").select("seq", "date", "side", "ticker")
 
 
+@query
+def template_strategy(spark, sf_dir):
+    return templates.TemplateStrategy(10).orders(kept_panel(spark, sf_dir))
+
+
 # --- backtests: every brand is a portfolio of its own, so that the folds run side by side
 
 
@@ -405,6 +507,25 @@ def backtest_pct_sizing(spark, sf_dir):
     return EquityEngine(1_000_000).run(Momentum(portfolio=F.col("ticker")).orders(panel), panel).values
 
 
+@query
+def backtest_portfolio(spark, sf_dir):
+    """Cash shared by many tickers: betting against beta in one portfolio."""
+    panel = kept_panel(spark, sf_dir)
+    return EquityEngine(1_000_000, "sorted").run(_bab(spark, sf_dir).orders(panel), panel).cash
+
+
+@query
+def template_engine(spark, sf_dir):
+    panel = kept_panel(spark, sf_dir)
+    return templates.TemplateEngine(1_000_000).run(templates.TemplateStrategy(1).orders(panel), panel).values
+
+
+@query
+def metrics_display(spark, sf_dir):
+    result, _ = _reversion(spark, sf_dir)
+    return stats.displayed(metrics.ExtendedMetrics().compute(result).select("portfolio_id", "cumulative_return", "volatility"), ["cumulative_return"])
+
+
 @query
 def metrics_core(spark, sf_dir):
     result, _ = _reversion(spark, sf_dir)
@@ -441,6 +562,24 @@ def verify_index(spark, sf_dir):
     return quality.verify_index(panels.benchmark_prices(spark, sf_dir), _index(spark, sf_dir), 0.01)
 
 
+def _record(record):
+    return record.withColumn("worst_days", F.array_join(F.transform("worst_days", lambda x: F.date_format(x["date"], "yyyy-MM-dd")), ","))
+
+
+@query
+def verify_record(spark, sf_dir):
+    return _record(quality.verification_record(panels.benchmark_prices(spark, sf_dir), _index(spark, sf_dir), 0.01))
+
+
+@query
+def verify_nothing(spark, sf_dir):
+    """Records of an empty fund and of an index on other dates."""
+    fund, index = panels.benchmark_prices(spark, sf_dir), _index(spark, sf_dir)
+    apart = index.withColumn("date", F.date_add("date", 1))
+    records = [quality.verification_record(a, b).select("error", "within_threshold", "max_diff", "mean_diff", "spearman", "worst_days") for a, b in ((fund.limit(0), index), (fund, apart))]
+    return _record(records[0].unionByName(records[1])).withColumns({c: P(c).cast("string") for c in ("max_diff", "mean_diff")})
+
+
 @query
 def reconcile_returns(spark, sf_dir):
     a = panels.vendor_prices(spark, sf_dir, "a")
@@ -459,9 +598,22 @@ def vendor_compare(spark, sf_dir):
 
 
 @query
-def strategy_compare(spark, sf_dir):
+def price_differences(spark, sf_dir):
+    return quality.price_differences(panels.vendor_prices(spark, sf_dir, "a"), panels.vendor_prices(spark, sf_dir, "b"), "price_a", "price_b", ["ticker", "date"])
+
+
+def _two_strategies(spark, sf_dir):
     panel = kept_panel(spark, sf_dir)
     weighted = WeightedHold(panels.holdings(spark, sf_dir), 900_000).orders(panel)
     single = SingleHold(BRANDS[1], 900_000).orders(panel)
-    values = EquityEngine(1_000_000).run(weighted.unionByName(single), panel).values
-    return quality.compare_strategies(values, "weighted", "single")
+    return EquityEngine(1_000_000).run(weighted.unionByName(single), panel).values
+
+
+@query
+def strategy_compare(spark, sf_dir):
+    return quality.compare_strategies(_two_strategies(spark, sf_dir), "weighted", "single")
+
+
+@query
+def strategy_curves(spark, sf_dir):
+    return quality.strategy_curves(_two_strategies(spark, sf_dir), "weighted", "single")

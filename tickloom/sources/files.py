@@ -7,19 +7,33 @@ import tempfile
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workbooks import read_workbooks, with_header
+
 #: Tickers that price vendors spell otherwise.
 TICKER_SPELLING = {"BRK.B": "BRK-B", "BF.B": "BF-B", "-": "USD"}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster's executors share files; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder where the cluster's executors share files. Where none is set: a temporary one on a
+    local master, as in tests; on a cluster, whose executors could not see that, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder: read again, also after executors were lost, and not cached."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
@@ -30,9 +44,26 @@ def read_by_suffix(spark: SparkSession, path: str, schema: str | None = None) ->
         return spark.read.parquet(path)
     if suffix == "csv":
         return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
+    if suffix == "xlsx":
+        return with_header(read_workbooks(spark, path))
     raise TypeError(f"unsupported file type: {suffix}")
 
 
+def holdings_sheet(spark: SparkSession, path: str, key: str = "Ticker", value: str = "Weight", on_error: str = "raise") -> DataFrame:
+    """rid, ticker, weight from a workbook whose header is somewhere below its first row. No such header
+    or file: an error, or with on_error='empty' no rows."""
+    try:
+        rows = read_workbooks(spark, path).select("rid", "cells")
+        if not rows.where(F.array_contains("cells", key)).isEmpty():
+            return table_below_header(rows, key, value)
+    except (AnalysisException, PythonException):
+        if on_error != "empty":
+            raise
+    if on_error != "empty":
+        raise ValueError(f"no row of {path} has a cell {key!r}")
+    return spark.createDataFrame([], "rid long, ticker string, weight double")
+
+
 def stripped(value: Column) -> Column:
     return F.btrim(value.cast("string"), F.lit(" \t\r\n\f\v"))
 
@@ -68,9 +99,22 @@ def table_below_header(rows: DataFrame, key: str = "Ticker", value: str = "Weigh
     return below.where(F.col("rid") <= last).withColumn("weight", F.col("weight") / (100 if percent else 1))
 
 
-def universe(pages: DataFrame, benchmark: str = "SPY", html: str = "html") -> DataFrame:
-    """ticker: first cells of the table rows of html pages, with ``.`` as ``-``; and the benchmark if absent."""
-    cells = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>\s*<td[^>]*>\s*(?:<a[^>]*>)?\s*([A-Z][A-Z.]*)\s*(?:</a>)?\s*</td>"), F.lit(1))
+def table_column(html: Column | str, name: str) -> Column:
+    """Texts of the column headed ``name`` of a page's first table that has such a header cell."""
+    text = lambda cell: F.btrim(F.regexp_replace(F.regexp_replace(cell, r"(?s)<[^>]*>", ""), r"\s+", " "))
+    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), text)
+    rows = lambda table: F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells)
+    tables = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1)), rows)
+    table = F.get(F.filter(tables, lambda t: F.array_contains(F.get(t, F.lit(0)), name)), F.lit(0))
+    at = (F.array_position(F.get(table, F.lit(0)), name) - 1).cast("int")
+    return F.filter(F.transform(F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0))), lambda r: F.get(r, at)), lambda x: x.isNotNull() & (x != ""))
+
+
+def universe(pages: DataFrame, benchmark: str = "SPY", html: str = "html", column: str | None = None) -> DataFrame:
+    """ticker, with ``.`` as ``-``: the named column of the pages' tables, or else the first cells of
+    all table rows; and the benchmark if absent."""
+    first = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>\s*<td[^>]*>\s*(?:<a[^>]*>)?\s*([A-Z][A-Z.]*)\s*(?:</a>)?\s*</td>"), F.lit(1))
+    cells = first if column is None else table_column(F.col(html), column)
     found = pages.select(F.explode(cells).alias("ticker")).select(F.replace("ticker", F.lit("."), F.lit("-")).alias("ticker")).distinct()
     own = pages.sparkSession.createDataFrame([(benchmark,)], "ticker string")
     return found.unionByName(own.join(found, "ticker", "left_anti"))

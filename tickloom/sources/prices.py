@@ -9,9 +9,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import clean
+from tickloom.functions.series import by_date, clean, cumulative_vwap
 from tickloom.operators.align import align_to_first
 
+from .files import read_by_suffix, short_names, stripped_columns, universe
+from .vendor import vendor_panel
+from .workbooks import serial_date
+
 
 class PriceSource(ABC):
     @abstractmethod
@@ -55,6 +59,15 @@ class VendorPrices(PriceSource):
             "ticker": F.col("tic"), "date": F.to_date("datadate"), "adj_close": clean(price.cast("double")), "volume": F.col("cshtrd").cast("double"),
         })
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, use_trfd: bool = False) -> VendorPrices:
+        """From a csv, parquet or xlsx file; long column names are cut and text columns typed."""
+        rows, _ = short_names(read_by_suffix(spark, path))
+        kinds = {c: F.col(c).try_cast("double") for c in ("prccd", "ajexdi", "trfd", "cshtrd") if c in rows.columns}
+        if dict(rows.dtypes).get("datadate") == "string":
+            kinds["datadate"] = serial_date(F.col("datadate"))
+        return cls(stripped_columns(rows.withColumns(kinds), "tic", "cusip", "addzip"), use_trfd)
+
     def read(self, tickers: Sequence[str], start: str, end: str) -> DataFrame:
         return in_range(self.rows, tickers, start, end).select("ticker", "date", "adj_close")
 
@@ -62,6 +75,16 @@ class VendorPrices(PriceSource):
         return in_range(self.rows, tickers, start, end).select("ticker", "date", "adj_close", "volume")
 
 
+class NetworkPrices(PriceSource):
+    """A vendor behind the data source API (vendor.py); options go to its fetch function."""
+
+    def __init__(self, spark: SparkSession, fetch: str = "tickloom.sources.vendor:from_parquet", **options: str) -> None:
+        self.spark, self.fetch, self.options = spark, fetch, options
+
+    def read(self, tickers: Sequence[str], start: str, end: str) -> DataFrame:
+        return vendor_panel(self.spark, list(tickers), start, end, self.fetch, **self.options).withColumn("adj_close", clean(F.col("adj_close")))
+
+
 class WidePrices(PriceSource):
     """Columns ``<ticker>|<field>`` beside date, as bulk vendors deliver them, read into long form."""
 
@@ -99,7 +122,35 @@ def write_prices(panel: DataFrame, path: str) -> None:
     panel.repartition("ticker").sortWithinPartitions("ticker", "date").write.partitionBy("ticker").option("compression", "snappy").parquet(path)
 
 
-class TableCache:
+def with_benchmark(panel: DataFrame, source: PriceSource, benchmark: str = "SPY", end_included: bool = False) -> DataFrame:
+    """panel, and the benchmark's rows from source over the panel's dates where the panel has none of it.
+    As network vendors do, the last date is left out unless end_included."""
+    first, last = panel.agg(F.min("date")).scalar(), panel.agg(F.max("date")).scalar()
+    rows = source.read([benchmark], "0001-01-01", "9999-12-31")
+    rows = rows.where((F.col("date") >= first) & (F.col("date") <= last if end_included else F.col("date") < last))
+    return panel.unionByName(rows.join(panel.select("ticker"), "ticker", "left_anti"), allowMissingColumns=True)
+
+
+def ingest(pages: DataFrame, source: PriceSource, path: str, start: str, end: str, column: str | None = "Symbol", benchmark: str = "SPY") -> DataFrame:
+    """One job from universe pages to a saved price table with cumulative VWAP: ticker, date, adj_close,
+    volume, vwap. The list of tickers, some hundreds, is read at once; prices never are."""
+    tickers = [r.ticker for r in universe(pages, benchmark, column=column).orderBy("ticker").collect()]
+    panel = source.read(tickers, start, end).select("ticker", "date", "adj_close", "volume")
+    write_prices(panel.withColumn("vwap", cumulative_vwap(F.col("adj_close"), F.col("volume"), by_date())), path)
+    return pages.sparkSession.read.parquet(path)
+
+
+class Cache(ABC):
+    """Subclass to keep frequently read tables elsewhere."""
+
+    @abstractmethod
+    def get(self, key: str) -> DataFrame | None: ...
+
+    @abstractmethod
+    def set(self, key: str, rows: DataFrame) -> None: ...
+
+
+class TableCache(Cache):
     """Named tables under one shared folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
