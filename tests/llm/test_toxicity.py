@@ -77,3 +77,47 @@ def test_every_window_counts_and_bad_rows(spark):
     none = fit(["a b"], [0])
     assert score_toxicity(docs.where(F.col("doc_id") == 4), none).first().toxicity < 0.5
     assert fit([], []).prior < 0.5 and toxicity.SAMPLE_TOXIC > 0
+
+
+def plain_score(net, text):
+    """The score of one text, word by word and window by window, with nothing shared between them."""
+    w = Words.read(*packed([text]))
+    p, h = net.p, toxicity.HIDDEN
+    n = int(w.first[1])
+    if not n:
+        return net.prior
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def entered(k):
+        d = w.place[k]
+        grams = w.gram[w.gram_first[d] : w.gram_first[d + 1]]
+        return np.concatenate([p["word"][w.word[d]], [net.word_odds[w.word[d]]], p["gram"][grams].mean(0), [net.gram_odds[grams].max()]]) @ p["input"] + p["bias"]
+
+    def run(words, side, u):
+        state, out = np.zeros(h), []
+        for k in words:
+            g, s = entered(k)[side * 3 * h : side * 3 * h + 3 * h], state @ u
+            z, r = sig(g[:h] + s[:h]), sig(g[h : 2 * h] + s[h : 2 * h])
+            state = (1 - z) * np.tanh(g[2 * h :] + r * s[2 * h :]) + z * state
+            out.append(state)
+        return out
+
+    best, start = 0.0, 0
+    while True:
+        words = list(range(start, min(n, start + toxicity.WINDOW)))
+        states = np.hstack([run(words, 0, p["forth"]), run(words[::-1], 1, p["back"])[::-1]])
+        share = np.exp(states @ p["attend"])
+        best = max(best, sig((share / share.sum()) @ states @ p["out"] + p["shift"][0]))
+        if words[-1] == n - 1:
+            return best
+        start += toxicity.STRIDE
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    vocabulary = ["the", "cat", "sat", "zorkwad", "über", "x", "antidisestablishment"]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 5, 31, 32, 33, 56, 57, 130)] + ["", "..."]
+    net = fit(texts[:8] * 2, [0, 1] * 8, steps=20, batch=8)
+    got = net.scores(*packed(texts))
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
+    assert np.ptp(got[:8]) > 1e-4

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Word bytes are all but space and tab to carriage return (pattern ``[^\x20\x09-\x0D]+``).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one slice of a batch holds at most (a longer single text is a slice of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

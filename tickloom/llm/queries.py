@@ -151,6 +151,54 @@ ORACLES = {
                coalesce((SELECT min(r) FROM reach WHERE u = vec_id), vec_id) = vec_id AS kept
         FROM embeddings
     """,
+    "op4_suffix_index": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+        w AS (
+            SELECT r, size, i, md5_number(x[i + 1 : i + size]) AS h
+            FROM (SELECT r, x, size, unnest(range(0, octet_length(x) - size + 1)) AS i FROM d, (VALUES (400), (250)) v(size) WHERE octet_length(x) >= size)
+        ), again AS (SELECT r, size, i FROM w WHERE (size, h) IN (SELECT (size, h) FROM w GROUP BY size, h HAVING count(*) > 1)),
+        islands AS (
+            SELECT r, size, i, sum(CASE WHEN i <= before + size THEN 0 ELSE 1 END) OVER (PARTITION BY r, size ORDER BY i) AS k
+            FROM (SELECT *, lag(i) OVER (PARTITION BY r, size ORDER BY i) AS before FROM again)
+        ), spans AS (SELECT r, size, min(i) AS a, max(i) + size AS b FROM islands GROUP BY r, size, k),
+        sums AS (
+            SELECT r, sum(b - a) FILTER (WHERE size = 400) AS n_removed, count(*) FILTER (WHERE size = 400) AS n_spans, sum(b - a) FILTER (WHERE size = 250) AS n_repeated
+            FROM spans GROUP BY r
+        ), gaps AS (
+            SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans WHERE size = 400
+            UNION ALL SELECT r, max(b), NULL FROM spans WHERE size = 400 GROUP BY r
+        ), kept AS (SELECT r, string_agg(hex(x[a + 1 : coalesce(b, octet_length(x))]), '' ORDER BY a) AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(coalesce(unhex(kept), x)) AS kept_sha256, coalesce(n_repeated, 0)::BIGINT AS n_repeated
+        FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+    """,
+    "op7_token_counts": r"""
+        WITH RECURSIVE bytes AS (
+            SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 AS own FROM range(256) t(b)
+        ), spelt AS (
+            SELECT upper(printf('%02x', b)) AS hex, chr((CASE WHEN own THEN b ELSE 255 + count(*) FILTER (WHERE NOT own) OVER (ORDER BY b) END)::INTEGER) AS symbol FROM bytes
+        ), pieces AS (
+            SELECT CASE WHEN ends_with(p, '</w>') THEN left(p, len(p) - 4) ELSE p END AS piece, ends_with(p, '</w>') AS is_end
+            FROM (SELECT unnest(json_keys(content, '$.model.vocab')) AS p FROM read_text('/opt/tokenizers/word_bpe_49k.json'))
+        ), d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents
+        ), used AS (SELECT r, unnest(ws) AS word FROM d),
+        words AS (
+            SELECT word, string_agg(symbol, '' ORDER BY k) AS s FROM (
+                SELECT word, k, substr(h, 2 * k + 1, 2) AS hex FROM (SELECT word, hex(encode(word)) AS h, unnest(range(0, octet_length(encode(word)))) AS k FROM (SELECT DISTINCT word FROM used))
+            ) JOIN spelt USING (hex) GROUP BY word
+        ), longest AS (SELECT max(len(piece)) AS n FROM pieces),
+        best AS (
+            SELECT word, pos, max(size) AS size FROM (
+                SELECT word, s, pos, unnest(range(1, least(len(s) - pos + 1, (SELECT n FROM longest)) + 1)) AS size FROM (SELECT word, s, unnest(range(1, len(s) + 1)) AS pos FROM words)
+            ) JOIN pieces ON piece = substr(s, pos, size) AND is_end = (pos + size > len(s)) GROUP BY word, pos
+        ), walk(word, pos, n) AS (
+            SELECT word, 1::BIGINT, 0::BIGINT FROM words UNION ALL SELECT walk.word, walk.pos + size, n + 1 FROM walk JOIN best ON best.word = walk.word AND best.pos = walk.pos
+        ), counts AS (SELECT words.word, coalesce(max(n) FILTER (WHERE pos > len(s)), 1) AS n FROM words JOIN walk USING (word) GROUP BY words.word),
+        sums AS (SELECT r, sum(n)::BIGINT AS n FROM used JOIN counts USING (word) GROUP BY r)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_tokens FROM d LEFT JOIN sums USING (r)
+    """,
     "op9_url_filter": r"""
         WITH parts AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -21,6 +21,8 @@ SEED = 42
 #: Sets of a key that give all their pairs at once; sets with a hash from which on it comes last;
 #: sets of a larger group that one task compares with as many others; keys that two similar sets share.
 FEW, COMMON, TILE, SHARED = 32, 32, 1024, 8
+#: Bytes of texts whose sets are made at once.
+SET_BYTES = 500_000
 _set_words, _set_shingles = Rolling(31), Rolling(32)
 
 
@@ -292,7 +294,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             late, seen = held.value, set()  # equal sets come once from a task
             for batch in batches:
-                for _, data, offsets in slices(batch):
+                for _, data, offsets in slices(batch, size=SET_BYTES):
                     key, first = shingle_sets(data, offsets, shingle)
                     fp, n = _set_hashes(key, first), np.diff(first)
                     row = np.repeat(np.arange(len(n)), n)
@@ -343,7 +345,7 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -
             for fp in batch.column(0).to_pylist():
                 fresh.append(fp not in seen)
                 seen.add(fp)
-            for part, data, offsets in slices(batch.filter(pa.array(fresh, pa.bool_()))):
+            for part, data, offsets in slices(batch.filter(pa.array(fresh, pa.bool_())), size=SET_BYTES):
                 hashes, first = shingle_sets(data, offsets, shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes))], names=["fp", "shingles"])
 
