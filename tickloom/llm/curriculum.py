@@ -127,11 +127,11 @@ def curriculum(
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """One row for each document, with first_position, when it is first trained on, and range-sorted
-    by it; documents that are not trained on have null and come last. mixed is written once, as a
+    by it; documents that are not trained on have null and come last, in order of a hash. mixed is written once, as a
     range sort looks at its input twice."""
     mixed = saved(mixed.withColumn("first_position", F.get("passes", F.lit(0))["position"]))
-    by = F.coalesce("first_position", F.lit(float("inf")))
-    return mixed.repartitionByRange(by).sortWithinPartitions(by)
+    by = [F.coalesce("first_position", F.lit(float("inf"))), F.xxhash64(*[F.col(f"`{c}`") for c, kind in mixed.dtypes if not kind.startswith("map")])]
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
