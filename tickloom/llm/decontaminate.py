@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_arrow_columns, with_row_key
+from .common import saved, union_spans, with_arrow_columns, with_row_key
 
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes of benchmark texts that one pass over the documents broadcasts at most.
@@ -75,28 +76,51 @@ def find_benchmark(
 
     Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Every run of
     ``window`` words of an item is searched in every whole text; an item of fewer words is searched
-    as a whole, and one of none never occurs. Items go to the tasks in blocks of block_bytes, one
-    narrow pass over the documents for each, so what is broadcast at once is bounded.
+    as a whole, and one of none never occurs. Items go to the tasks in blocks of block_bytes, so what is
+    broadcast at once is bounded: a narrow pass over the documents for each, which with several
+    blocks writes the occurrences only, and a last pass that merges them.
 
     Null or empty text: no words. Items with null text or id are left out. Repeated items and rows
     count as they are; empty tables give no hits; other columns are kept, but n_words, n_hit,
     item_ids and hit_spans replace columns of these names.
     """
-    spark = docs.sparkSession
     key, = with_row_key(benchmark, "block")
     items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull())
     total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
-    items = items.withColumn(key, F.pmod(F.xxhash64(item), F.lit(n_blocks)))
-    out = docs.drop("n_words", "n_hit", "item_ids", "hit_spans")
+    items = items.withColumn(key, F.pmod(F.xxhash64(item), F.lit(n_blocks))).select(key, F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
+    block = lambda k: sorted((r.item, r.text.encode()) for r in items.where(F.col(key) == k).select("item", "text").collect())
+    docs = docs.drop("n_words", "n_hit", "item_ids", "hit_spans")
+    if n_blocks == 1:
+        return _search(docs, block(0), window, text)
+    # a text's occurrences depend on the text alone: passes find them for each block, a last one merges them
+    same = [F.xxhash64(text).alias("text_a"), F.hash(F.reverse(F.col(text))).alias("text_b")]
+    found = []
     for k in range(n_blocks):
-        rows = [(r[0], r[1].encode()) for r in items.where(F.col(key) == k).select(F.col(item).cast("string"), item_text).collect()]
-        if rows or not k:
-            out = _search(out, sorted(rows), window, text, bool(k))
-    return out
+        hits = _search(docs.select(*same, F.col(text).alias("text")), block(k), window, "text").where("n_hit > 0")
+        found.append(saved(hits.select("text_a", "text_b", "item_ids", "hit_spans").dropDuplicates(["text_a", "text_b"])))
+    merged = reduce(DataFrame.union, found).groupBy("text_a", "text_b").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"), F.flatten(F.collect_list("hit_spans")).alias("spans")
+    )
+    a, b, ids, spans = with_row_key(docs, "a", "b", "ids", "spans")
+    merged = merged.select(F.col("text_a").alias(f"{a}_"), F.col("text_b").alias(f"{b}_"), F.col("ids").alias(ids), F.col("spans").alias(spans))
+    joined = docs.withColumns({a: same[0], b: same[1]}).join(merged, (F.col(a) == F.col(f"{a}_")) & (F.col(b) == F.col(f"{b}_")), "left")
+    out = _merge(joined.drop(a, b, f"{a}_", f"{b}_"), text, ids, spans)
+    return out.drop(ids, spans)
 
 
-def _search(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, text: str, more: bool) -> DataFrame:
+def _columns(n_words: list[int], spans: tuple[np.ndarray, np.ndarray, np.ndarray], ids: pa.Array) -> list[pa.Array]:
+    row, start, end = spans
+    n_hit = np.bincount(row, end - start, minlength=len(n_words)).astype(np.int64)
+    upto = np.searchsorted(row, np.arange(len(n_words) + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+    return [pa.array(n_words, pa.int64()), pa.array(n_hit), ids, pa.ListArray.from_arrays(pa.array(upto), items)]
+
+
+COLUMNS = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
+
+
+def _search(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(rows)
     cached = hashlib.sha256(repr(rows).encode()).hexdigest(), window
 
@@ -104,30 +128,34 @@ def _search(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, text: s
         if cached not in _tables:
             _tables.clear()
             _tables[cached] = tables_of(block.value, window)
-        raw = data.tobytes().lower()
-        n_words, n_hit, ids, found_spans = [], [], [], []
+        raw, n_words, ids, hits = data.tobytes().lower(), [], [], []
         for i in range(part.num_rows):
             words = WORDS.findall(raw, offsets[i], offsets[i + 1])
             hit, items = np.zeros(len(words), bool), set()
-            if more:
-                for s in part.column("hit_spans")[i].as_py():
-                    hit[s["start"] : s["end"]] = True
-                items.update(part.column("item_ids")[i].as_py())
             for patterns in _tables[cached]:
                 patterns.search(words, hit, items)
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
             n_words.append(len(words))
-            n_hit.append(int(hit.sum()))
             ids.append(sorted(items))
-            found_spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(found_spans, span)]
-
-    if not more:
-        return with_arrow_columns(docs, "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>", compute, text)
-    ddl = "more_words long, more_hit long, more_ids array<string>, more_spans array<struct<start:int,end:int>>"
-    out = with_arrow_columns(docs, ddl, compute, text).drop("n_words", "n_hit", "item_ids", "hit_spans")
-    return out.withColumnsRenamed({"more_words": "n_words", "more_hit": "n_hit", "more_ids": "item_ids", "more_spans": "hit_spans"})
+            hits.append(np.column_stack([np.full(len(edges), i), edges]))
+        spans = tuple(np.concatenate(hits).astype(np.int64).T) if hits else (np.zeros(0, np.int64),) * 3
+        return _columns(n_words, spans, pa.array(ids, pa.list_(pa.string())))
+
+    return with_arrow_columns(docs, COLUMNS, compute, text)
+
+
+def _merge(docs: DataFrame, text: str, ids: str, spans: str) -> DataFrame:
+    """docs and the four columns, from the occurrences that several passes found."""
+
+    def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        raw = data.tobytes().lower()
+        n_words = [len(WORDS.findall(raw, a, b)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        lists = part.column(part.schema.get_field_index(spans)).fill_null([])
+        row, items = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
+        start, end = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        return _columns(n_words, union_spans(row, start, end), part.column(part.schema.get_field_index(ids)).fill_null([]))
+
+    return with_arrow_columns(docs, COLUMNS, compute, text)
 
 
 def contaminated(n_words, n_hit, per: int = 20):

@@ -29,7 +29,7 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     order = F.md5(F.concat_ws("|", "doc_id", "source", "text").cast("binary"))
     mixed = in_training_order(curriculum(docs, order=order))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("first_position", 6).alias("first_position"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +133,8 @@ ORACLES = {
         ), b AS (
             SELECT *, begins[1]::DOUBLE / total AS x, list_sum(list_transform(begins, lambda b: least(size, total - b))) AS words FROM p
         )
-        SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken,
-               CASE WHEN len(begins) > 0 THEN CASE ordinal % 3 WHEN 0 THEN {_position_sql("x", SHAPES[0])} WHEN 1 THEN {_position_sql("x", SHAPES[1])} ELSE {_position_sql("x", SHAPES[2])} END END AS first_position
+        SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(words, 0)::BIGINT AS taken,
+               CASE WHEN len(begins) > 0 THEN round(CASE ordinal % 3 WHEN 0 THEN {_position_sql("x", SHAPES[0])} WHEN 1 THEN {_position_sql("x", SHAPES[1])} ELSE {_position_sql("x", SHAPES[2])} END, 6) + 0.0 END AS first_position
         FROM b
     """,
     "op1_embedding_dedup": r"""

@@ -455,4 +455,6 @@ def _compared(own: DataFrame, clusters: DataFrame, threshold: float, tile: int =
         keep = label != np.arange(len(n))
         return pa.table({"u": fp[keep], "v": fp[label[keep]]})
 
-    return saved(paired.groupBy("component", "a", "b").applyInArrow(compare, "u long, v long"))
+    out = saved(paired.groupBy("component", "a", "b").applyInArrow(compare, "u long, v long"))
+    discard(clusters, members)
+    return out
