@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,21 @@ def with_row_key(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_held: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, held in this worker for its later tasks until something else is kept or release() is called."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    _held.clear()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):

@@ -11,12 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, union_spans, with_arrow_columns, with_row_key
+from .common import kept, saved, union_spans, with_arrow_columns, with_row_key
 
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes of benchmark texts that one pass over the documents broadcasts at most.
 BLOCK_BYTES = 4_000_000
-_tables: dict[tuple[str, int], list] = {}
 
 
 class Patterns:
@@ -125,14 +124,12 @@ def _search(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, text: s
     cached = hashlib.sha256(repr(rows).encode()).hexdigest(), window
 
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        if cached not in _tables:
-            _tables.clear()
-            _tables[cached] = tables_of(block.value, window)
+        tables = kept(cached, lambda: tables_of(block.value, window))
         raw, n_words, ids, hits = data.tobytes().lower(), [], [], []
         for i in range(part.num_rows):
             words = WORDS.findall(raw, offsets[i], offsets[i + 1])
             hit, items = np.zeros(len(words), bool), set()
-            for patterns in _tables[cached]:
+            for patterns in tables:
                 patterns.search(words, hit, items)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
             n_words.append(len(words))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_arrow_columns
+from .common import kept, with_arrow_columns
 
 #: Labelled documents of a language, and bytes of each, that are looked at; bytes of normalised text kept.
 SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_BYTES = 200, 1_000, 48_000
@@ -154,9 +154,6 @@ def has_letter(raw: bytes) -> bool:
     return raw.lower().strip(b" ") != b"" and any(c.isalpha() for c in raw.decode(errors="replace"))
 
 
-_models: dict[str, Model] = {}
-
-
 def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score.
 
@@ -173,10 +170,7 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text: s
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(shared.value)
-        model = _models[key]
+        model = kept(key, lambda: Model(shared.value))
         names = np.array([*model.langs, "und"], object)
         n_rows = part.num_rows
         ascii_letters = np.zeros(len(data) + 1, np.int64)

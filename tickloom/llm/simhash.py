@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    IS_SPACE, LOWER, Rolling, components, discard, local_components, saved, slices, span_hashes, spans, with_arrow_columns, with_row_key,
+    IS_SPACE, LOWER, Rolling, components, discard, local_components, release, saved, slices, span_hashes, spans, with_arrow_columns, with_row_key,
 )
 
 #: Fingerprints of one shard that a tree holds; larger shards are cut by further bits.
@@ -292,6 +292,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
         held = spark.sparkContext.broadcast(last)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             late, seen = held.value, set()  # equal sets come once from a task
             for batch in batches:
                 for _, data, offsets in slices(batch, size=SET_BYTES):
@@ -335,7 +336,8 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
 
 def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(fp, shingles) of the nodes, from one text for each."""
-    one = sets.join(nodes, F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.min(F.struct("row_a", "row_b")).alias("one"))
+    # copies, however many, are one row before they meet the nodes
+    one = sets.groupBy("fp").agg(F.min(F.struct("row_a", "row_b")).alias("one")).join(nodes, F.col("fp") == F.col("node"), "left_semi")
     one = one.select(F.col("fp").alias("own"), F.col("one.row_a").alias("own_a"), F.col("one.row_b").alias("own_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

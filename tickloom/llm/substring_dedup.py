@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Rolling, discard, mix, saved, slices, span_hashes, spans, union_spans, with_row_key
+from .common import IS_SPACE, Rolling, discard, mix, release, saved, slices, span_hashes, spans, union_spans, with_row_key
 
 #: Rounds of naming runs and pairs. A symbol must be settled within a window: further rounds leave
 #: fewer symbols that are, and so more anchors.
@@ -152,6 +152,7 @@ def repeated(docs: DataFrame, window: int = 35, text: str = "text", row: tuple[s
     r, q = row
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, data, offsets in slices(batch, text, 500_000):
                 _, _, hashes, first = word_hashes(data, offsets)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import with_arrow_columns
+from .common import kept, with_arrow_columns
 
 #: Words whose counts a task remembers at most.
 REMEMBERED = 400_000
@@ -112,9 +112,6 @@ def read_vocabulary(path: str, word_end: str = "</w>") -> list[tuple[bytes, bool
     return sorted(out)
 
 
-_automata: dict[str, Remembered] = {}
-
-
 def count_tokens(docs: DataFrame, pieces: list[tuple[bytes, bool]], text: str = "text") -> DataFrame:
     """docs with n_words and n_tokens, the sum of its words' greedy longest-match piece counts.
 
@@ -128,10 +125,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[bytes, bool]], text: str =
     key = hashlib.sha256(repr(pieces).encode()).hexdigest()
 
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = Remembered(LongestMatch(shared.value))
-        counts, raw = _automata[key], data.tobytes().lower()
+        counts, raw = kept(key, lambda: Remembered(LongestMatch(shared.value))), data.tobytes().lower()
         words = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         n_tokens = [sum(map(counts.__getitem__, w)) for w in words]
         return [pa.array(map(len, words), pa.int64()), pa.array(n_tokens, pa.int64())]

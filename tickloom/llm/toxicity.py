@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, spans, with_arrow_columns
+from .common import LOWER, Rolling, kept, spans, with_arrow_columns
 
 #: Words of a window, and words between the starts of two windows.
 WINDOW, STRIDE = 32, 24
@@ -315,9 +315,6 @@ def labelled_sample(
     return list(out), list(out.values())
 
 
-_networks: dict[str, Network] = {}
-
-
 def score_toxicity(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """docs with toxicity, from 0 to 1: the highest score of any window of the whole text.
 
@@ -330,9 +327,7 @@ def score_toxicity(docs: DataFrame, network: Network, text: str = "text") -> Dat
     key, shared = hashlib.sha256(packed).hexdigest(), docs.sparkSession.sparkContext.broadcast(packed)
 
     def compute(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        if key not in _networks:
-            _networks.clear()
-            _networks[key] = pickle.loads(shared.value)
-        return [pa.array(_networks[key].scores(data, offsets), pa.float64())]
+        network = kept(key, lambda: pickle.loads(shared.value))
+        return [pa.array(network.scores(data, offsets), pa.float64())]
 
     return with_arrow_columns(docs, "toxicity double", compute, text)
