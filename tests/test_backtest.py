@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.execution import EquityEngine, events, executable
+from tickloom.operators.execution import EquityEngine, events, executable, fold
 from tickloom.operators.metrics import ExtendedMetrics
 from tickloom.operators.strategies import MeanReversion, SingleHold, WeightedHold, latched
+from tickloom.operators.templates import TemplateEngine, TemplateStrategy
 
 DAY0 = datetime.date(2023, 1, 1)
 
@@ -100,7 +101,58 @@ def test_the_fold_reads_few_events(spark):
     panel = panel_of(spark, **{f"T{i}": [float(d + 1) for d in range(30)] for i in range(200)})
     full = [(f"p{i}", d, day(d), "BUY", f"T{i}", 0.5, "pct" if d < 3 else "shares") for i in range(200) for d in range(10)]
     orders = spark.createDataFrame(full, "portfolio_id string, seq long, date date, side string, ticker string, quantity double, sizing string")
-    assert events(orders, panel).count() == 200 * (10 + 3)
+    settled, left = events(orders, panel, 1000)
+    assert left.count() == 200 * (10 + 3) and settled.count() == 0
+
+
+def test_only_orders_from_the_first_refused_one_reach_python(spark):
+    """p1 never lacks cash; p2's fourth order is refused; p3 starts with a fraction; p4 sells more than it has."""
+    panel = panel_of(spark, A=[10.0] * 9, B=[None, *[7.0] * 8])
+    rows = [("p1", i, day(i), "BUY", "A", 1.0, "shares") for i in range(9)]
+    rows += [("p2", i, day(i), "BUY", "A", 3.0, "shares") for i in range(6)]
+    rows += [("p3", 0, day(0), "BUY", "A", 0.5, "pct"), ("p3", 1, day(1), "SELL", "A", 2.0, "shares")]
+    rows += [("p4", 0, day(0), "BUY", "B", 5.0, "shares"), ("p4", 1, day(1), "BUY", "B", 5.0, "shares"), ("p4", 2, day(1), "SELL", "B", 9.0, "shares"), ("p4", 3, day(2), "BUY", "B", 2.0, "shares"), ("p4", 4, day(2), "SELL", "B", 1.0, "shares")]
+    orders = spark.createDataFrame(rows, "portfolio_id string, seq long, date date, side string, ticker string, quantity double, sizing string")
+    settled, left = events(orders, panel, 100)
+    assert sorted((r.portfolio_id, r.side) for r in left.where("date IS NULL").collect()) == [("p2", "CASH"), ("p2", "HELD")]
+    assert [(r.portfolio_id, r.seq) for r in left.where("side IN ('BUY', 'SELL')").orderBy("portfolio_id", "seq").collect()] == [("p2", 3), ("p2", 4), ("p2", 5), ("p3", 0), ("p3", 1)]
+    done = {(r.portfolio_id, r.seq): (r.change, r.cash) for r in settled.collect()}
+    assert [done["p4", i] for i in (1, 2, 3, 4)] == [(5, 65), (-5, 100), (2, 86), (-1, 93)] and ("p4", 0) not in done
+    ledger = {(r.portfolio_id, r.seq): (r.change, r.cash) for r in fold(orders, panel, 100).collect()}
+    assert [ledger["p2", i][1] for i in range(3)] == [70, 40, 10] and ("p2", 3) not in ledger
+    assert ledger["p3", 0] == (5, 50) and ledger["p3", 1] == (-2, 70) and ledger["p1", 8] == (1, 10)
+
+
+def test_windows_and_fold_agree_to_the_last_bit(spark, monkeypatch):
+    """Random whole-share lists with and without cash to spare, sales beyond holdings and missing prices."""
+    from tickloom.operators import execution
+
+    rng = random.Random(11)
+    prices = {t: [rng.choice([None, *[round(rng.uniform(1, 50), 2)] * 6]) for _ in range(25)] for t in "ABC"}
+    full = []
+    for p in range(20):
+        for i, d in enumerate(sorted(rng.randrange(25) for _ in range(60))):
+            pct = p % 4 == 3 and rng.random() < 0.1
+            full.append((f"p{p}", i, day(d), rng.choice(["BUY", "BUY", "SELL"]), rng.choice("ABC"), 0.25 if pct else float(rng.randrange(0, 9) + (0.5 if p % 5 == 4 and i > 30 else 0)), "pct" if pct else "shares"))
+    orders = spark.createDataFrame(full, "portfolio_id string, seq long, date date, side string, ticker string, quantity double, sizing string")
+    panel = panel_of(spark, **prices)
+    key = lambda frame: sorted((r.portfolio_id, r.seq, r.ticker, r.change + 0.0, str(r.cash)) for r in frame.collect())
+    for cash in (60, 2000):
+        both = key(fold(orders, panel, cash))
+        plain = execution.unbound
+        monkeypatch.setattr(execution, "unbound", lambda rows, initial, plain=plain: plain(rows, initial).withColumn("stops", F.lit(True)))
+        assert events(orders, panel, cash)[0].count() == 0
+        assert key(fold(orders, panel, cash)) == both
+        monkeypatch.setattr(execution, "unbound", plain)
+
+
+def test_the_template_engine_runs_lists_of_many_tickers_in_order(spark):
+    """150 tickers at price 1 on one day and cash for 100 of them: the first 100 of the list are filled."""
+    names = [f"T{i:03d}" for i in range(150)]
+    panel = panel_of(spark, **{t: [1.0, 2.0] for t in names})
+    result = TemplateEngine(100).run(TemplateStrategy(1).orders(panel), panel)
+    assert sorted(r.ticker for r in result.holdings.collect()) == names[:100]
+    assert [r.portfolio_value for r in result.values.collect()] == [0.0]
 
 
 def test_null_prices(spark):

@@ -1,9 +1,10 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import series, stats
+from tickloom.functions import scans, series, stats
 from tickloom.operators import align, quality
 from tickloom.sources import files, prices, workbooks
 
@@ -56,6 +57,43 @@ def test_alignment(spark):
     assert got == {1: (day(1), 2.0), 2: (day(1), 2.0), 3: (None, None), 4: (None, None)}
 
 
+def test_as_of_both_ways_equals_a_loop(spark):
+    rng = random.Random(7)
+    hot = lambda: rng.choice(["hot"] * 5 + ["a", "b", None])
+    right = [(hot(), rng.randrange(400), i) for i in range(600)]
+    right = list({(k, t): (k, t, v) for k, t, v in right}.values()) + [("hot", None, -1)]
+    left = [(hot(), rng.choice([None, *[rng.randrange(-20, 420)] * 9]), i) for i in range(500)]
+    l_rows, r_rows = spark.createDataFrame(left, "k string, t long, row int").repartition(5), spark.createDataFrame(right, "k string, t long, v int").repartition(3)
+    for direction, pick in (("backward", lambda ts, t: max((u for u in ts if u <= t), default=None)), ("forward", lambda ts, t: min((u for u in ts if u >= t), default=None))):
+        out = align.as_of(l_rows, r_rows, ["k"], ["v"], "t", direction)
+        assert out.columns == ["k", "t", "row", "as_of_t", "v"]
+        got = {r.row: (r.as_of_t, r.v) for r in out.collect()}
+        of = {}
+        for k, t, v in right:
+            if t is not None:
+                of.setdefault(k, {})[t] = v
+        for k, t, row in left:
+            at = pick(of.get(k, {}), t) if t is not None else None
+            assert got[row] == (at, of[k][at] if at is not None else None), (k, t, row)
+    with pytest.raises(ValueError, match="direction"):
+        align.as_of(l_rows, r_rows, ["k"], ["v"], "t", "nearest")
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """One key with all rows: no window or sort of the plan has more than a small part of them in one group."""
+    rows = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
+    groups = scans.with_range(rows, "t").groupBy("k", "range").count()
+    assert groups.count() == scans.RANGES and groups.agg(F.max("count")).first()[0] < 4000 / scans.RANGES * 1.5
+
+
+def test_snapped_orders(spark):
+    from tickloom.operators.execution import executable
+
+    calendar = spark.createDataFrame([(day(i),) for i in (0, 3, 4)], "date date")
+    orders = spark.createDataFrame([("p", i, day(d)) for i, d in enumerate((0, 1, 3, 4, 5))] + [("p", 9, None)], "portfolio_id string, seq long, date date")
+    assert sorted((r.seq, r.date) for r in executable(orders, calendar, "snap").collect()) == [(0, day(0)), (1, day(3)), (2, day(3)), (3, day(4))]
+
+
 def test_weighted_index_edges(spark):
     panel = panel_of(spark, A=[None, 2.0, 3.0], B=[0.0, 5.0, 6.0])
     weights = spark.createDataFrame([("A", 1.0), ("B", 1.0), ("C", 9.0)], "ticker string, weight double")

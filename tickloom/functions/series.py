@@ -26,11 +26,19 @@ def ffill(value: Column, w: WindowSpec) -> Column:
 
 
 def bfill(value: Column, w: WindowSpec) -> Column:
+    """For short series: Spark computes such a frame anew for every row. next_known() takes one pass."""
     return F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
 
+def next_known(value: Column, *keys: str, order: str = "date") -> Column:
+    """value, or else the next one that is not null: bfill by a window that runs backwards."""
+    back = Window.partitionBy(*(keys or ("ticker",))).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(back)
+
+
 def rolling(agg, value: Column, w: WindowSpec, n: int, shift: int = 0) -> Column:
-    """agg over the n rows up to ``shift`` rows ago; null unless all n are there and not null."""
+    """agg over the n rows up to ``shift`` rows ago; null unless all n are there and not null. Any
+    aggregate, at n steps a row; scans.with_rolling() takes sums, means and extremes in a fixed number."""
     frame = w.rowsBetween(-(n - 1) - shift, -shift)
     return F.when(F.count(value).over(frame) == n, agg(value).over(frame))
 
@@ -70,7 +78,8 @@ def rebased(value: Column, w: WindowSpec) -> Column:
 
 
 def rolling_beta(stock: Column, market: Column, w: WindowSpec, n: int) -> Column:
-    """Slope of stock on market over the last n rows; null before there are n, or if market is constant."""
+    """Slope of stock on market over the last n rows; null before there are n, or if market is constant.
+    It takes n steps a row; scans.with_rolling_beta() a fixed number."""
     frame = w.rowsBetween(-(n - 1), 0)
     enough = F.count(stock * market).over(frame) == n
     return F.when(enough, F.regr_slope(stock, market).over(frame))

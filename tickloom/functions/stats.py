@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import average_ranks
+
 
 def pearson(x: Column, y: Column) -> Column:
     """Correlation of the rows that have both; null if either is constant there."""
@@ -15,17 +17,19 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def with_average_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """df with rank_<c> for each column: ties share the mean of their ranks. keys: ranks within groups."""
+    """df with rank_<c> for each column: ties share the mean of their ranks. keys: ranks within groups.
+    Without keys each column's values are counted, ranked by ranges and joined back, so no task sees all rows."""
     for c in columns:
-        group = Window.partitionBy(*keys).orderBy(c) if keys else Window.orderBy(c)
-        peers = Window.partitionBy(*keys, c)
-        df = df.withColumn(f"rank_{c}", F.rank().over(group) + (F.count("*").over(peers) - 1) / 2)
+        if keys:
+            peers = F.count("*").over(Window.partitionBy(*keys, c))
+            df = df.withColumn(f"rank_{c}", F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (peers - 1) / 2)
+        else:
+            df = df.join(average_ranks(df.select(c), c), c, "left")
     return df
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), name: str = "spearman") -> DataFrame:
-    """Rank correlation of the rows that have both. Without keys all ranks come from one ordering:
-    for series of calendar length only."""
+    """Rank correlation of the rows that have both. df is read several times where there are no keys."""
     ranked = with_average_ranks(df.dropna(subset=[x, y]), [x, y], keys)
     return ranked.groupBy(*keys).agg(pearson(F.col(f"rank_{x}"), F.col(f"rank_{y}")).alias(name))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.scans import scan
+
 
 def inner_align(left: DataFrame, right: DataFrame, on: Sequence[str] = ("date",), value: str | None = None) -> DataFrame:
     """Rows on keys that both have; with ``value``, only where all values are present."""
@@ -53,17 +55,26 @@ def append_absent(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
     return rows.unionByName(more.join(rows.select(key), key, "left_anti"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], on: str = "date") -> DataFrame:
-    """left with as_of_<on> and values of right's last row at or before each left row, however old.
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], on: str = "date", direction: str = "backward") -> DataFrame:
+    """left with as_of_<on> and values of right's last row at or before each left row, however old, or with
+    direction='forward' of its first row at or after it.
 
-    Both sides meet in one window by key and time, so no range join is planned."""
+    Both sides are one series for each key, scanned by ranges of time: each range passes its last known
+    row on to those that follow, so neither a range join nor a task with all rows of a key is
+    planned. ``on`` is a date, a timestamp or a number. Of several right rows at one time any one is
+    taken; a left row without time finds nothing. Each side is read three times."""
+    if direction not in ("backward", "forward"):
+        raise ValueError(f"direction is backward or forward, not {direction!r}")
+    kind = dict(left.dtypes)[on]
+    time = F.unix_date(on) if kind == "date" else F.unix_micros(F.col(on).cast("timestamp")) if kind.startswith("timestamp") else F.col(on)
     held = F.struct(F.col(on).alias(f"as_of_{on}"), *values)
     own = [c for c in left.columns if c not in (*by, on)]
     l_rows = left.select(*by, on, F.struct(*own, F.lit(True).alias("_left")).alias("_row"), F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("_held"))
-    r_rows = right.select(*by, on, F.lit(None).cast(l_rows.schema["_row"].dataType).alias("_row"), held.alias("_held"))
-    w = Window.partitionBy(*by).orderBy(on, F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    out = l_rows.unionByName(r_rows).withColumn("_found", F.last("_held", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
-    return out.select(*by, on, *[F.col(f"_row.{c}").alias(c) for c in own], "_found.*")
+    r_rows = right.where(F.col(on).isNotNull()).select(*by, on, F.lit(None).cast(l_rows.schema["_row"].dataType).alias("_row"), held.alias("_held"))
+    both = l_rows.unionByName(r_rows).withColumns({"_time": time if direction == "backward" else -time, "_asks": F.col("_row").isNotNull()})
+    out = scan(both, "_time", {"_found": ("last", F.col("_held"))}, keys=by, then=["_asks"]).where("_asks")
+    found = F.when(F.col(on).isNotNull(), F.col("_found"))
+    return out.withColumn("_found", found).select(*by, on, *[F.col(f"_row.{c}").alias(c) for c in own], "_found.*")
 
 
 def pivoted(panel: DataFrame, tickers: Sequence[str], value: str = "adj_close") -> DataFrame:

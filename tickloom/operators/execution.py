@@ -1,8 +1,9 @@
 """Backtest execution: which orders run, the fold over cash and holdings, and marking to market.
 
-Only the fold is sequential, and only within a portfolio: its orders and the prices of their days
-pass through a task in order, with the cash and the holdings as the only state. Daily holdings and
-values are windows and joins over all portfolios.
+Orders of whole shares are windows as long as the cash does not bind. From the first order that it
+refuses on, the rest is a fold, sequential within a portfolio: its orders and the prices of their
+days pass through a task in order, with the cash and the holdings as the only state. Daily holdings
+and values are windows and joins over all portfolios.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.series import by_date, ffill
 from tickloom.sources.files import stored
 
+from .align import as_of
+
 
 @dataclass
 class BacktestResult:
@@ -49,11 +52,14 @@ def executable(orders: DataFrame, calendar: DataFrame, policy: str = "cursor") -
 
     ``cursor``: the list is read along the calendar, so an order on a day without trade, or dated
     before its predecessor, holds up all that follow. ``sorted``: orders run by date, and only
-    those on other days are dropped.
+    those on other days are dropped. ``snap``: orders run by date, those on other days on the next
+    day with trade; only those after the last one are dropped.
 
     A list is never sorted whole: each stretch of it gives its first bad order and its two ends'
     dates, and the least of these, with those between stretches, is where the list stops."""
     known = orders.join(calendar.select("date").distinct().withColumn("trades", F.lit(True)), "date", "left").withColumn("trades", F.coalesce("trades", F.lit(False)))
+    if policy == "snap":
+        return snapped(orders, calendar)
     if policy == "sorted":
         return known.where("trades").drop("trades")
     cut = known.select("portfolio_id", "seq", "date", "trades", F.floor(F.col("seq") / STRETCH).alias("stretch"))
@@ -68,6 +74,14 @@ def executable(orders: DataFrame, calendar: DataFrame, policy: str = "cursor") -
     return orders.join(stops, "portfolio_id", "left").where("stop IS NULL OR seq < stop").drop("stop")
 
 
+def snapped(orders: DataFrame, calendar: DataFrame) -> DataFrame:
+    """orders with each date moved to the first day of the calendar at or after it; none where there is no such day."""
+    asked = orders.select("date").distinct()
+    days = as_of(asked, calendar.select("date").distinct(), [], [], direction="forward").where(F.col("as_of_date").isNotNull())
+    moved = orders.join(days, "date").withColumn("date", F.col("as_of_date"))
+    return moved.select(orders.columns)
+
+
 class Book:
     """One portfolio's cash and holdings while its orders run.
 
@@ -99,25 +113,73 @@ class Book:
         return change
 
 
-def events(orders: DataFrame, panel: DataFrame) -> DataFrame:
-    """What the fold reads: orders with their own prices, and rows without a side that hold prices.
+def priced(orders: DataFrame, panel: DataFrame) -> DataFrame:
+    """orders with the price of their ticker and day as adj_close, null where there is none."""
+    known = panel.select("date", "ticker", "adj_close").where(F.col("adj_close").isNotNull())
+    return orders.join(known, ["date", "ticker"], "left").withColumn("amount", F.col("quantity").cast("double"))
+
+
+def unbound(orders: DataFrame, initial_cash: float) -> DataFrame:
+    """Priced orders with what they would do if cash never bound: change, held and cash after each, and
+    ``stops`` where that is no longer known: at a BUY that the cash would refuse, and at orders that
+    windows can't say exactly (fractions of a portfolio or a holding, quantities that are not whole,
+    sales at an unknown price).
+
+    A holding is a running sum that sales can't take below 0: the sum less its least value so far.
+    Quantities are whole numbers, so the sums are exact, and cash is summed in the fold's order."""
+    known = F.col("adj_close").isNotNull()
+    buy = F.col("side") == "BUY"
+    flow = F.when(~buy, -F.col("amount")).when(known, F.col("amount")).otherwise(F.lit(0.0))
+    of_ticker = Window.partitionBy("portfolio_id", "ticker").orderBy("date", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = orders.withColumn("total", F.sum(flow).over(of_ticker))
+    rows = rows.withColumn("held", F.col("total") - F.least(F.lit(0.0), F.min("total").over(of_ticker)))
+    last = Window.partitionBy("portfolio_id", "ticker").orderBy("date", "seq")
+    rows = rows.withColumn("change", F.col("held") - F.lag("held", 1, 0.0).over(last)).drop("total")
+    of_book = Window.partitionBy("portfolio_id").orderBy("date", "seq")
+    paid = F.coalesce(F.col("change") * F.col("adj_close"), F.lit(0.0))
+    # the first row's flow starts from the initial cash, as the fold does
+    flows = rows.withColumn("flow", F.when(F.row_number().over(of_book) == 1, F.lit(float(initial_cash)) - paid).otherwise(-paid))
+    flows = flows.withColumn("cash", F.sum("flow").over(of_book.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag("cash", 1, float(initial_cash)).over(of_book)
+    vague = (F.col("sizing") == "pct") | (F.col("amount") != F.floor("amount")) | ~F.col("amount").between(0, 2**40) | F.col("amount").isNull() | (~buy & ~known)
+    refused = buy & known & (before < F.col("adj_close") * F.col("amount"))
+    return flows.withColumn("stops", vague | refused).drop("flow")
+
+
+def events(orders: DataFrame, panel: DataFrame, initial_cash: float) -> tuple[DataFrame, DataFrame]:
+    """What orders did as long as the cash did not bind, and what the fold reads of the rest.
+
+    The first is all of a portfolio's executed orders before its first row that ``stops``. The fold
+    reads the orders from there on, led by rows without a date that hold the cash and holdings at
+    that point. Only BUYs of a fraction need the portfolio's value: the orders of their days are
+    led by the prices of the tickers that the portfolio trades. A portfolio that never stops sends
+    nothing to the fold."""
+    rows = stored(unbound(priced(orders, panel), initial_cash))
+    at = F.struct("date", "seq")
+    stops = rows.where("stops").groupBy("portfolio_id").agg(F.min(at).alias("stop"))
+    rows = rows.join(stops, "portfolio_id", "left")
+    done = rows.where(F.col("stop").isNull() | (at < F.col("stop")))
+    rest = rows.where(at >= F.col("stop"))
+    settled = done.where((F.col("side") != "BUY") | F.col("adj_close").isNotNull()).select("portfolio_id", "seq", "date", "ticker", "change", "cash")
 
-    Only BUYs of a fraction need the portfolio's value: the orders of their days are led by the
-    prices of the tickers that the portfolio trades. Prices are joined to the traded tickers before
-    the days, so no row is made for a ticker that a portfolio never had."""
+    columns = ["portfolio_id", "date", "seq", "ticker", "side", "amount", "sizing", "adj_close"]
+    started = done.where(F.col("stop").isNotNull())
+    held = started.groupBy("portfolio_id", "ticker").agg(F.max_by("held", at).alias("amount")).withColumn("side", F.lit("HELD"))
+    cash = started.groupBy("portfolio_id").agg(F.max_by("cash", at).alias("amount")).withColumns({"side": F.lit("CASH"), "ticker": F.lit(None).cast("string")})
+    state = held.unionByName(cash).withColumns({"date": F.lit(None).cast("date"), "seq": F.lit(-1).cast("long"), "sizing": F.lit(None).cast("string"), "adj_close": F.lit(None).cast("double")})
+    # prices are joined to the traded tickers before the days: no row is made for a ticker that a portfolio never had
     known = panel.select("date", "ticker", "adj_close").where(F.col("adj_close").isNotNull())
-    days = orders.where("sizing = 'pct' AND side = 'BUY'").select("portfolio_id", "date").distinct()
+    days = rest.where("sizing = 'pct' AND side = 'BUY'").select("portfolio_id", "date").distinct()
     traded = orders.select("portfolio_id", "ticker").distinct()
     prices = traded.join(known, "ticker").join(days, ["portfolio_id", "date"], "left_semi")
-    own = orders.join(known, ["date", "ticker"], "left")
-    none = {c: F.lit(None).cast(kind) for c, kind in (("side", "string"), ("amount", "double"), ("sizing", "string"))}
-    columns = ["portfolio_id", "date", "seq", "ticker", "side", "amount", "sizing", "adj_close"]
-    return prices.withColumns({"seq": F.lit(-1).cast("long"), **none}).select(columns).unionByName(own.withColumn("amount", F.col("quantity").cast("double")).select(columns))
+    prices = prices.withColumns({"seq": F.lit(-1).cast("long"), "side": F.lit(None).cast("string"), "amount": F.lit(None).cast("double"), "sizing": F.lit(None).cast("string")})
+    return settled, state.select(columns).unionByName(prices.select(columns)).unionByName(rest.select(columns))
 
 
 def fold(orders: DataFrame, panel: DataFrame, initial_cash: float) -> DataFrame:
-    """portfolio_id, seq, date, ticker, change, cash: what each executed order did. A task reads its
-    portfolios' events sorted, batch by batch."""
+    """portfolio_id, seq, date, ticker, change, cash: what each executed order did, by date, then seq. Windows
+    do it up to the first order that the cash refuses; from there on a task reads its portfolios'
+    events sorted, batch by batch."""
     names = ["portfolio_id", "seq", "date", "ticker", "change", "cash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +189,12 @@ def fold(orders: DataFrame, panel: DataFrame, initial_cash: float) -> DataFrame:
             for owner, date, seq, ticker, side, amount, sizing, price in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if first or owner != portfolio:
                     book, portfolio, first = Book(initial_cash), owner, False
+                if side == "CASH":
+                    book.cash = amount
+                    continue
+                if side == "HELD":
+                    book.held[ticker] = amount
+                    continue
                 if date != book.date:
                     book.open(date)
                 if side is None:
@@ -137,8 +205,9 @@ def fold(orders: DataFrame, panel: DataFrame, initial_cash: float) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.date32(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    ordered = events(orders, panel).repartition("portfolio_id").sortWithinPartitions("portfolio_id", "date", "seq")
-    return ordered.mapInArrow(run, "portfolio_id string, seq long, date date, ticker string, change double, cash double")
+    settled, left = events(orders, panel, initial_cash)
+    ordered = left.repartition("portfolio_id").sortWithinPartitions("portfolio_id", "date", "seq")
+    return settled.unionByName(ordered.mapInArrow(run, "portfolio_id string, seq long, date date, ticker string, change double, cash double"))
 
 
 class EquityEngine(Engine):

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import bfill, by_date, ffill, padded_returns, returns
+from tickloom.functions.scans import scan
+from tickloom.functions.series import by_date, ffill, next_known, padded_returns
 from tickloom.functions.stats import all_true, pearson, spearman
 from tickloom.sources.files import stored
 
 from .align import dense_grid
 
 
-def all_dates() -> WindowSpec:
-    """One window over all dates: for series of calendar length only."""
-    return Window.orderBy("date")
-
-
 def weighted_index(panel: DataFrame, holdings: DataFrame) -> DataFrame:
     """date, index_value: prices as multiples of the first, weighted.
 
@@ -30,7 +26,7 @@ def weighted_index(panel: DataFrame, holdings: DataFrame) -> DataFrame:
     total = valid.agg(F.sum("listed")).scalar()
     w = by_date()
     rows = dense_grid(panel.select("ticker", "date", "adj_close")).withColumn("filled", ffill(F.col("adj_close"), w))
-    rows = rows.withColumn("filled", F.coalesce("filled", bfill(F.col("adj_close"), w)))
+    rows = rows.withColumn("filled", F.coalesce("filled", next_known(F.col("adj_close"))))
     start = F.first("filled").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("multiple", F.when(start != 0, F.col("filled") / start))
     rows = rows.join(valid, "ticker", "left").withColumn("share", F.try_divide(F.col("weight") * F.col("times"), total))
@@ -40,18 +36,22 @@ def weighted_index(panel: DataFrame, holdings: DataFrame) -> DataFrame:
 
 
 def verification_series(fund: DataFrame, index: DataFrame) -> DataFrame:
-    """date, fund, index, fund_return, index_return, diff on the dates that both have a value."""
+    """date, fund, index, fund_return, index_return, diff on the dates that both have a value.
+
+    Both series are scanned by ranges of dates, over a table of the dates that match."""
     both = fund.select("date", F.col("adj_close").alias("fund")).join(index.select("date", F.col("index_value").alias("index")), "date").dropna()
-    first = lambda c: F.first(c).over(all_dates().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    both = both.withColumns({"fund": F.try_divide("fund", first("fund")), "index": F.try_divide("index", first("index"))})
-    both = both.withColumns({"fund_return": returns(F.col("fund"), all_dates()), "index_return": returns(F.col("index"), all_dates())})
-    return both.where(F.col("fund_return").isNotNull() & F.col("index_return").isNotNull()).withColumn("diff", F.abs(F.col("fund_return") - F.col("index_return")))
+    both = scan(stored(both), "date", {
+        "fund_0": ("first", F.col("fund")), "index_0": ("first", F.col("index")), "fund_was": ("lag", F.col("fund")), "index_was": ("lag", F.col("index")),
+    })
+    change = lambda c: F.try_divide(F.try_divide(c, f"{c}_0"), F.try_divide(f"{c}_was", f"{c}_0")) - 1
+    rows = both.select("date", *[F.try_divide(c, f"{c}_0").alias(c) for c in ("fund", "index")], *[change(c).alias(f"{c}_return") for c in ("fund", "index")])
+    return rows.where(F.col("fund_return").isNotNull() & F.col("index_return").isNotNull()).withColumn("diff", F.abs(F.col("fund_return") - F.col("index_return")))
 
 
 def verify_index(fund: DataFrame, index: DataFrame, threshold: float = 0.0001) -> DataFrame:
     """One row: the largest and mean absolute difference of returns, whether all are within the
     threshold, both correlations, and missing values of the unaligned inputs."""
-    series = verification_series(fund, index)
+    series = stored(verification_series(fund, index))
     stats = series.agg(
         F.max("diff").alias("max_diff"), F.avg("diff").alias("mean_diff"), all_true(F.col("diff") <= threshold).alias("within_threshold"),
         pearson(F.col("fund_return"), F.col("index_return")).alias("pearson"), F.count("*").alias("n_days"),
@@ -136,13 +136,13 @@ def strategy_returns(values: DataFrame, a: str, b: str) -> DataFrame:
 def strategy_curves(values: DataFrame, a: str, b: str) -> DataFrame:
     """date, growth_a, growth_b, diff: both portfolios' growth over their common dates, and the
     difference of the day's returns: what charts of a comparison show."""
-    grown = lambda c: F.product(1 + F.col(c)).over(all_dates().rowsBetween(Window.unboundedPreceding, 0))
-    return strategy_returns(values, a, b).select("date", grown("a").alias("growth_a"), grown("b").alias("growth_b"), (F.col("a") - F.col("b")).alias("diff"))
+    grown = scan(stored(strategy_returns(values, a, b)), "date", {"growth_a": ("product", 1 + F.col("a")), "growth_b": ("product", 1 + F.col("b"))})
+    return grown.select("date", "growth_a", "growth_b", (F.col("a") - F.col("b")).alias("diff"))
 
 
 def compare_strategies(values: DataFrame, a: str, b: str) -> DataFrame:
     """One row for two portfolios' daily returns on common dates: correlation, spreads, final growth."""
-    both = strategy_returns(values, a, b)
+    both = stored(strategy_returns(values, a, b))
     return both.agg(
         F.count("*").alias("n_days"), F.stddev_samp("a").alias("std_a"), F.stddev_samp("b").alias("std_b"),
         F.stddev_samp(F.col("a") - F.col("b")).alias("std_diff"),

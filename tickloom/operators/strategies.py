@@ -12,7 +12,8 @@ from abc import ABC, abstractmethod
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import by_date, month_ends, padded_returns, returns, rolling, rolling_beta
+from tickloom.functions.scans import with_rolling, with_rolling_beta
+from tickloom.functions.series import by_date, month_ends, padded_returns, returns
 
 #: Orders of one list position at most: dates count days, so tickers are this far apart.
 DAYS = 100_000
@@ -54,8 +55,7 @@ class MeanReversion(Strategy):
         self.window, self.shares, self.portfolio = window, shares, F.lit("mean_reversion") if portfolio is None else portfolio
 
     def orders(self, panel: DataFrame) -> DataFrame:
-        mean = rolling(F.avg, F.col("adj_close"), by_date(), self.window)
-        rows = panel.withColumn("mean", mean).where(F.col("mean").isNotNull())
+        rows = with_rolling(panel, {"mean": ("avg", F.col("adj_close"))}, self.window).where(F.col("mean").isNotNull())
         rows = rows.withColumns({
             "side": F.when(F.col("adj_close") < F.col("mean"), "BUY").otherwise("SELL"),
             "quantity": F.lit(float(self.shares)), "sizing": F.lit("shares"),
@@ -65,9 +65,7 @@ class MeanReversion(Strategy):
 
 def with_bands(panel: DataFrame, window: int) -> DataFrame:
     """panel with high and low of the ``window`` rows before each row, not counting it."""
-    return panel.withColumns({
-        "high": rolling(F.max, F.col("adj_close"), by_date(), window, 1), "low": rolling(F.min, F.col("adj_close"), by_date(), window, 1),
-    })
+    return with_rolling(panel, {"high": ("max", F.col("adj_close")), "low": ("min", F.col("adj_close"))}, window, 1)
 
 
 def latched(rows: DataFrame, enter: Column, leave: Column, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
@@ -126,9 +124,8 @@ class BettingAgainstBeta(Strategy):
             F.struct(F.get("d", F.lit(self.lookback)).alias("first"), F.array_max("d").alias("last"))
         ).scalar()
         w = by_date()
-        rows = rows.withColumns({
-            "beta": rolling_beta(F.col("stock"), F.col("market"), w, self.lookback), "n": F.row_number().over(w), "following": F.lead("date").over(w),
-        }).withColumn("bounds", dates)
+        rows = with_rolling_beta(rows, "stock", "market", self.lookback)
+        rows = rows.withColumns({"n": F.row_number().over(w), "following": F.lead("date").over(w)}).withColumn("bounds", dates)
         upto = F.coalesce(F.date_sub("following", 1), F.col("bounds.last"))
         rows = rows.withColumn("rebalance_date", F.explode(month_ends(F.greatest("date", "bounds.first"), F.least(upto, "bounds.last"))))
         return rows.where(F.col("n") >= self.lookback).select("rebalance_date", "ticker", "beta")
@@ -146,12 +143,15 @@ class BettingAgainstBeta(Strategy):
         })
         total = F.col("mean_low") + F.col("mean_high")
 
+        # places of a leg and of a day: further apart where a leg has more orders
+        leg_room = rows.agg(F.greatest(F.lit(DAYS // 2), F.max("k") + 1)).scalar()
+
         def leg(side: str, chosen: str, weight: str) -> DataFrame:
             value = F.try_divide(F.col(weight), total) * self.start_value / F.col("k")
-            first = 0 if side == "BUY" else DAYS // 2
+            first = F.lit(0) if side == "BUY" else leg_room
             return rows.where(F.col(chosen) <= F.col("k")).select(
                 F.lit("bab").alias("portfolio_id"),
-                (day_number(F.col("rebalance_date")) * DAYS + first + F.col("low")).alias("seq"),
+                (day_number(F.col("rebalance_date")) * 2 * leg_room + first + F.col("low")).alias("seq"),
                 F.col("rebalance_date").alias("date"), F.lit(side).alias("side"), "ticker",
                 F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("double").alias("quantity"), F.lit("shares").alias("sizing"),
             )
@@ -174,9 +174,9 @@ def _held(rows: DataFrame, portfolio: str, explicit_sizing: bool) -> DataFrame:
         F.struct(F.lit("SELL").alias("side"), F.col("last_date").alias("date"), F.lit(1).alias("leg")),
     )
     rows = rows.where(F.col("quantity") > 0).withColumn("sizing", sizing)
-    ordinal = F.row_number().over(Window.orderBy("rid", "ticker"))
-    out = rows.withColumn("ordinal", ordinal).withColumn("s", F.explode(sides)).select("*", "s.side", "s.date")
-    return out.select(F.lit(portfolio).alias("portfolio_id"), (F.col("s.leg") * F.lit(DAYS).cast("long") + F.col("ordinal")).alias("seq"), "date", "side", "ticker", "quantity", "sizing")
+    ordinal, listed = F.row_number().over(Window.orderBy("rid", "ticker")), F.count("*").over(Window.orderBy(F.lit(0)))
+    out = rows.withColumns({"ordinal": ordinal, "room": F.greatest(F.lit(DAYS), listed + 1)}).withColumn("s", F.explode(sides)).select("*", "s.side", "s.date")
+    return out.select(F.lit(portfolio).alias("portfolio_id"), (F.col("s.leg") * F.col("room") + F.col("ordinal")).alias("seq"), "date", "side", "ticker", "quantity", "sizing")
 
 
 class WeightedHold(Strategy):

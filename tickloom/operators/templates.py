@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.sources.files import stored
+
 from .execution import BacktestResult, Engine, fold
 from .strategies import Strategy, order_rows, ticker_major
 
@@ -30,7 +32,6 @@ class TemplateEngine(Engine):
     run() to price holdings or charge costs; fold() gives the executed orders of all portfolios."""
 
     def run(self, orders: DataFrame, panel: DataFrame) -> BacktestResult:
-        by_date = orders.withColumn("seq", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") * 10_000_000 + F.col("seq") % 10_000_000)
-        ledger = fold(by_date, panel, self.initial_cash)
+        ledger = stored(fold(orders, panel, self.initial_cash))
         cash = ledger.groupBy("portfolio_id", "date").agg(F.max_by("cash", "seq").alias("cash"))
         return BacktestResult(cash.withColumnRenamed("cash", "portfolio_value"), cash, ledger.select("portfolio_id", "date", "ticker", F.col("change").alias("quantity")), ledger)

@@ -161,8 +161,19 @@ oracle("append_absent", "", "ticker", "SELECT DISTINCT p_brand AS ticker FROM pa
 oracle("asof_month_end", "daily", "ticker date:d as_of_date:d adj_close:f", """SELECT a.ticker, a.date, d.date AS as_of_date, d.adj_close FROM (
         SELECT ticker, (m + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS date FROM (SELECT DISTINCT ticker FROM daily), generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-01', INTERVAL 1 MONTH) g(m)) a
     ASOF LEFT JOIN daily d ON a.ticker = d.ticker AND a.date >= d.date""")
+oracle("asof_next_lines", "daily", "ticker date:d was:f as_of_date:d volume:f", """SELECT a.ticker, a.date, a.was, d.date AS as_of_date, d.volume
+    FROM (SELECT ticker, date + 14 AS date, volume AS was FROM daily) a ASOF LEFT JOIN daily d ON a.ticker = d.ticker AND a.date <= d.date""")
+oracle("asof_events", "", "event_id as_of price:f", """SELECT e.event_id, strftime(l.ts, '%Y-%m-%d') AS as_of, l.price FROM (SELECT event_id, ts::TIMESTAMP - INTERVAL 25 YEAR AS ts FROM events) e
+    ASOF LEFT JOIN (SELECT l_shipdate::TIMESTAMP AS ts, max(l_extendedprice) AS price FROM lineitem GROUP BY 1) l ON e.ts >= l.ts""")
 OVER = "OVER (PARTITION BY ticker ORDER BY date ROWS"
 oracle("rolling_mean", "panel", "ticker date:d mean_100:f", f"SELECT ticker, date, avg(adj_close) {OVER} BETWEEN 99 PRECEDING AND CURRENT ROW) AS mean_100 FROM panel QUALIFY count(adj_close) {OVER} BETWEEN 99 PRECEDING AND CURRENT ROW) = 100")
+LONG = f"{OVER} BETWEEN 999 PRECEDING AND CURRENT ROW)"
+oracle("rolling_long", "daily", "ticker date:d high:f low:f mean:f", f"""SELECT ticker, date, CASE WHEN n = 1000 THEN hi END AS high, CASE WHEN n = 1000 THEN lo END AS low, CASE WHEN n = 1000 THEN m END AS mean FROM (
+    SELECT ticker, date, max(adj_close) {LONG} AS hi, min(adj_close) {LONG} AS lo, avg(adj_close) {LONG} AS m, count(adj_close) {LONG} AS n FROM daily)""")
+oracle("scan_lines", "", "place quantity_so_far:f highest:f last_returned:f price_before:f", f"""SELECT place, sum(quantity) OVER w::DOUBLE AS quantity_so_far, max(price) OVER w AS highest,
+    last_value(CASE WHEN flag = 'R' THEN price END IGNORE NULLS) OVER w AS last_returned, lag(price) OVER (ORDER BY place) AS price_before
+    FROM (SELECT l_orderkey * 10 + l_linenumber AS place, sum(l_quantity::{MONEY}) AS quantity, max(l_extendedprice) AS price, max(l_returnflag) AS flag FROM lineitem GROUP BY 1)
+    WINDOW w AS (ORDER BY place ROWS UNBOUNDED PRECEDING)""")
 oracle("rolling_bands", "panel", "ticker date:d high:f low:f", f"""SELECT ticker, date, CASE WHEN n = 125 THEN hi END AS high, CASE WHEN n = 125 THEN lo END AS low FROM (
     SELECT ticker, date, max(adj_close) {OVER} BETWEEN 125 PRECEDING AND 1 PRECEDING) AS hi, min(adj_close) {OVER} BETWEEN 125 PRECEDING AND 1 PRECEDING) AS lo,
     count(adj_close) {OVER} BETWEEN 125 PRECEDING AND 1 PRECEDING) AS n FROM panel)""")
@@ -188,6 +199,9 @@ oracle("pearson", "both_r", "ticker pearson:f", "SELECT ticker, corr(stock, mark
 oracle("spearman", "both_r", "ticker spearman:f", """SELECT ticker, corr(a, b) AS spearman FROM (
     SELECT ticker, rank() OVER (PARTITION BY ticker ORDER BY stock) + (count(*) OVER (PARTITION BY ticker, stock) - 1) / 2.0 AS a,
            rank() OVER (PARTITION BY ticker ORDER BY market) + (count(*) OVER (PARTITION BY ticker, market) - 1) / 2.0 AS b FROM both_r) GROUP BY 1""")
+oracle("spearman_lines", "", "a b spearman:f", " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, corr(x, y) AS spearman FROM (
+    SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM lineitem)"""
+    for a, b in (("l_extendedprice", "l_quantity"), ("l_discount", "l_tax"), ("l_extendedprice", "l_discount"))))
 oracle("worst_days", "checked", "date:d diff:f", "SELECT date, diff FROM checked ORDER BY diff DESC, date LIMIT 5")
 ORDERS = "portfolio_id seq date:d side ticker quantity:f sizing"
 oracle("orders_mean_reversion", "reversion", ORDERS, "SELECT * REPLACE ('mean_reversion' AS portfolio_id) FROM reversion")
@@ -210,6 +224,8 @@ oracle("orders_simple", "panel", ORDERS, SIDES.format("single", HELD.format(f"SE
 oracle("order_prefix", "reversion", "portfolio_id seq date:d side ticker", """SELECT 'mean_reversion' AS portfolio_id, seq, date, side, ticker FROM reversion
     WHERE seq < coalesce((SELECT min(seq) FROM (SELECT seq, date < lag(date) OVER (ORDER BY seq) AS back FROM reversion) WHERE back), 9223372036854775807)""")
 oracle("order_sorted", "both_r market_r panel", "seq date:d side ticker", f"SELECT * FROM ({BAB}) WHERE date IN (SELECT date FROM panel)")
+oracle("order_snapped", "both_r market_r panel", "seq date:d side ticker", f"""SELECT seq, (SELECT min(p.date) FROM panel p WHERE p.date >= b.date) AS date, side, ticker FROM ({BAB}) b
+    WHERE date <= (SELECT max(date) FROM panel)""")
 oracle("backtest_values", "values_reversion", "portfolio_id date:d portfolio_value:f", "SELECT * FROM values_reversion")
 oracle("backtest_cash", "days_reversion", "portfolio_id date:d cash:f", "SELECT * FROM days_reversion")
 oracle("backtest_holdings", "days_reversion", "portfolio_id ticker date:d quantity:f", """SELECT portfolio_id, portfolio_id AS ticker, date, quantity FROM days_reversion d
@@ -272,7 +288,9 @@ oracle("vendor_from_file", "", f"{PX} volume:f", f"""SELECT 'ALL' AS ticker, l_s
     FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 2""")
 HALF_OPEN = "date >= DATE '1996-01-01' AND date < DATE '1997-12-31'"
 oracle("vendor_connector", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {HALF_OPEN}")
-oracle("vendor_by_ticker", "panel", "date:d adj_close:f volume:f", f"SELECT * FROM panel WHERE ticker = 'Brand#11' AND {HALF_OPEN}")
+oracle("vendor_by_ticker", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {HALF_OPEN}")
+oracle("vendor_pushdown", "daily", "ticker n high:f volume:f", """SELECT ticker, count(*) AS n, max(adj_close) AS high, sum(volume) AS volume FROM daily
+    WHERE date BETWEEN DATE '1996-04-01' AND DATE '1997-06-30' AND starts_with(ticker, 'Brand#1') GROUP BY 1""")
 oracle("benchmark_backfill", "panel market", PX, f"""SELECT ticker, date, adj_close FROM panel WHERE {IN_BRANDS} UNION ALL
     SELECT 'SPY', date, adj_close FROM market WHERE date >= (SELECT min(date) FROM panel WHERE {IN_BRANDS}) AND date < (SELECT max(date) FROM panel WHERE {IN_BRANDS})""")
 oracle("universe_by_header", "", "ticker", "SELECT DISTINCT p_brand AS ticker FROM part WHERE p_brand IN ('Brand#3', 'Brand#11', 'Brand#24') UNION SELECT 'SPY'")

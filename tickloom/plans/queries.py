@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import series, stats
+from tickloom.functions import scans, series, stats
 from tickloom.operators import align, metrics, quality, templates
 from tickloom.operators.execution import EquityEngine, executable
 from tickloom.operators.strategies import (
@@ -187,10 +188,24 @@ def vendor_connector(spark, sf_dir):
 
 @query
 def vendor_by_ticker(spark, sf_dir):
+    """The frames of all tickers, each of which fetches its own ticker."""
     path = files.shared_folder(spark)
-    panels.price_panel(spark, sf_dir).write.parquet(path)
-    series_of = vendor.by_ticker(vendor.vendor_panel(spark, BRANDS, START, END, path=path), BRANDS)
-    return series_of[BRANDS[1]]
+    panel = panels.price_panel(spark, sf_dir)
+    panel.write.parquet(path)
+    tickers = [r.p_brand for r in panels.read(spark, sf_dir, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    frames = vendor.by_ticker(spark, tickers, START, END, path=path)
+    return reduce(DataFrame.unionByName, [frame.select(F.lit(t).alias("ticker"), "*") for t, frame in frames.items()])
+
+
+@query
+def vendor_pushdown(spark, sf_dir):
+    """All tickers of a vendor, narrowed by filters that reach its fetches."""
+    path = files.shared_folder(spark)
+    panels.price_panel(spark, sf_dir, "day").write.parquet(path)
+    tickers = [r.p_brand for r in panels.read(spark, sf_dir, "part").select("p_brand").distinct().collect()]
+    wanted = (F.col("date") > F.lit("1996-03-31").cast("date")) & (F.col("date") <= F.lit("1997-06-30").cast("date")) & F.col("ticker").startswith("Brand#1")
+    rows = vendor.fetched_where(spark, wanted, tickers, "1990-01-01", "2030-01-01", path=path)
+    return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.max("adj_close").alias("high"), F.sum("volume").alias("volume"))
 
 
 @query
@@ -331,6 +346,30 @@ def asof_month_end(spark, sf_dir):
     return align.as_of(asked, daily, ["ticker"], ["adj_close"])
 
 
+@query
+def asof_next_lines(spark, sf_dir):
+    """For every day and brand the first day of trade at or after two weeks later: as-of joins forwards, over time ranges."""
+    daily = files.stored(panels.price_panel(spark, sf_dir, "day").select("ticker", "date", "volume"))
+    asked = daily.select("ticker", F.date_add("date", 14).alias("date"), F.col("volume").alias("was"))
+    return align.as_of(asked, daily, ["ticker"], ["volume"], direction="forward")
+
+
+@query
+def asof_events(spark, sf_dir):
+    """The latest order line shipped at or before each event's time 25 years ago, as one series without a key."""
+    lines = panels.read(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("timestamp").alias("ts")).agg(F.max("l_extendedprice").alias("price"))
+    events = panels.read(spark, sf_dir, "events").select("event_id", (F.col("ts").cast("timestamp") - F.expr("INTERVAL 25 YEARS")).alias("ts"))
+    found = align.as_of(events, files.stored(lines), [], ["price"], "ts")
+    return found.select("event_id", F.date_format("as_of_ts", "yyyy-MM-dd").alias("as_of"), "price")
+
+
+@query
+def order_snapped(spark, sf_dir):
+    """Month-end orders on the next week's day of trade."""
+    panel = kept_panel(spark, sf_dir)
+    return executable(files.stored(_bab(spark, sf_dir).orders(panel)), panel, "snap").select("seq", "date", "side", "ticker")
+
+
 # --- series
 
 
@@ -343,7 +382,27 @@ P, W = F.col, series.by_date
 
 @query
 def rolling_mean(spark, sf_dir):
-    return _weekly(spark, sf_dir, {"mean_100": series.rolling(F.avg, P("adj_close"), W(), 100)}).dropna()
+    rows = scans.with_rolling(panels.price_panel(spark, sf_dir), {"mean_100": ("avg", P("adj_close"))}, 100)
+    return rows.select("ticker", "date", "mean_100").dropna()
+
+
+@query
+def rolling_long(spark, sf_dir):
+    """Windows of 1,000 days: as many steps a row as short ones."""
+    rows = scans.with_rolling(panels.price_panel(spark, sf_dir, "day"), {"high": ("max", P("adj_close")), "low": ("min", P("adj_close")), "mean": ("avg", P("adj_close"))}, 1000)
+    return rows.select("ticker", "date", "high", "low", "mean")
+
+
+@query
+def scan_lines(spark, sf_dir):
+    """Running values over all order lines, summed by order and line, as one series of which no task sees the whole."""
+    lines = panels.read(spark, sf_dir, "lineitem").groupBy((P("l_orderkey") * 10 + P("l_linenumber")).alias("place")).agg(
+        F.sum(P("l_quantity").cast("decimal(18,2)")).alias("quantity"), F.max("l_extendedprice").alias("price"), F.max("l_returnflag").alias("flag")
+    )
+    out = scans.scan(files.stored(lines), "place", {
+        "quantity_so_far": ("sum", P("quantity")), "highest": ("max", P("price")), "last_returned": ("last", F.when(P("flag") == "R", P("price"))), "price_before": ("lag", P("price")),
+    })
+    return out.select("place", P("quantity_so_far").cast("double").alias("quantity_so_far"), "highest", "last_returned", "price_before")
 
 
 @query
@@ -384,7 +443,7 @@ def drawdown(spark, sf_dir):
 @query
 def ffill_bfill(spark, sf_dir):
     forward = series.ffill(P("adj_close"), W())
-    return series.with_columns_over(_sparse(spark, sf_dir), {"filled": F.coalesce(forward, series.bfill(P("adj_close"), W()))})
+    return series.with_columns_over(_sparse(spark, sf_dir), {"filled": F.coalesce(forward, series.next_known(P("adj_close")))})
 
 
 @query
@@ -424,6 +483,14 @@ def spearman(spark, sf_dir):
     return stats.spearman(_both(spark, sf_dir), "stock", "market", ["ticker"])
 
 
+@query
+def spearman_lines(spark, sf_dir):
+    """Rank correlations over all order lines: ranks without keys, of values with many ties."""
+    lines = panels.read(spark, sf_dir, "lineitem")
+    pairs = [("l_extendedprice", "l_quantity"), ("l_discount", "l_tax"), ("l_extendedprice", "l_discount")]
+    return reduce(DataFrame.unionByName, [stats.spearman(lines.select(a, b), a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "spearman") for a, b in pairs])
+
+
 def _index(spark, sf_dir):
     return quality.weighted_index(kept_panel(spark, sf_dir), panels.holdings(spark, sf_dir))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -47,16 +48,16 @@ class TablePrices(PriceSource):
 
 
 class VendorPrices(PriceSource):
-    """Daily vendor rows: tic, datadate, prccd, ajexdi or trfd, cshtrd. The adjusted price is
-    prccd * ajexdi, or with use_trfd the factor itself."""
+    """Daily vendor rows: tic, datadate, prccd, ajexdi or trfd, and for volumes cshtrd. The adjusted price
+    is prccd * ajexdi, or with use_trfd the factor itself."""
 
     def __init__(self, rows: DataFrame, use_trfd: bool = False) -> None:
-        needed = {"tic", "datadate", "cshtrd", *(["trfd"] if use_trfd else ["prccd", "ajexdi"])}
+        needed = {"tic", "datadate", *(["trfd"] if use_trfd else ["prccd", "ajexdi"])}
         if absent := sorted(needed - set(rows.columns)):
             raise ValueError(f"columns are missing: {', '.join(absent)}")
         price = F.col("trfd") if use_trfd else F.col("prccd") * F.col("ajexdi")
         self.rows = rows.withColumns({
-            "ticker": F.col("tic"), "date": F.to_date("datadate"), "adj_close": clean(price.cast("double")), "volume": F.col("cshtrd").cast("double"),
+            "ticker": F.col("tic"), "date": F.to_date("datadate"), "adj_close": clean(price.cast("double")), "volume": F.col("cshtrd").cast("double") if "cshtrd" in rows.columns else F.lit(None).cast("double"),
         })
 
     @classmethod
@@ -124,11 +125,15 @@ def write_prices(panel: DataFrame, path: str) -> None:
 
 def with_benchmark(panel: DataFrame, source: PriceSource, benchmark: str = "SPY", end_included: bool = False) -> DataFrame:
     """panel, and the benchmark's rows from source over the panel's dates where the panel has none of it.
-    As network vendors do, the last date is left out unless end_included."""
-    first, last = panel.agg(F.min("date")).scalar(), panel.agg(F.max("date")).scalar()
-    rows = source.read([benchmark], "0001-01-01", "9999-12-31")
-    rows = rows.where((F.col("date") >= first) & (F.col("date") <= last if end_included else F.col("date") < last))
-    return panel.unionByName(rows.join(panel.select("ticker"), "ticker", "left_anti"), allowMissingColumns=True)
+    As network vendors do, the last date is left out unless end_included. The panel's dates are looked
+    up at once, as a vendor is asked for no others, and for none if the panel has the benchmark."""
+    known = panel.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count_if(F.col("ticker") == benchmark).alias("own")).first()
+    if known.own or known.first is None:
+        return panel
+    # a source that leaves out its end date itself is asked for a day more
+    rows = source.read([benchmark], str(known.first), str(known.last + timedelta(days=1) if end_included else known.last))
+    upto = F.col("date") <= known.last if end_included else F.col("date") < known.last
+    return panel.unionByName(rows.where((F.col("date") >= known.first) & upto), allowMissingColumns=True)
 
 
 def ingest(pages: DataFrame, source: PriceSource, path: str, start: str, end: str, column: str | None = "Symbol", benchmark: str = "SPY") -> DataFrame:
