@@ -179,6 +179,52 @@ def test_table_column(spark):
     assert sorted(r.ticker for r in files.universe(pages, column="Symbol").collect()) == ["BRK-B", "SPY"]
 
 
+def test_cells_that_do_not_read_as_their_type(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,DATE,RET\n1,2024-01-02,0.5\n2,2024-01-03,C\n3,,\n4,x,B\n5,2024-01-05\n6,2024-01-06,1e-3,7\n7,2024-01-07, 2 \n")
+    path, schema = str(tmp_path), "ID int, DATE date, RET double"
+    rows, rejected = files.read_csv_checked(spark, path, schema)
+    assert rows.dtypes == [("ID", "int"), ("DATE", "date"), ("RET", "double")]
+    assert [(r.ID, r.RET) for r in rows.orderBy("ID").collect()] == [(1, 0.5), (3, None), (7, 2.0)]
+    assert [(r.ID, r.RET, r.bad_columns, r.record) for r in rejected.orderBy("ID").collect()] == [
+        ("2", "C", ["RET"], None), ("4", "B", ["DATE", "RET"], None), ("5", None, [], "5,2024-01-05"), ("6", "1e-3", [], "6,2024-01-06,1e-3,7"),
+    ]
+    assert rows.count() + rejected.count() == 7
+    assert files.read_csv(spark, path, schema, on_bad="null").where("RET IS NULL").count() == 4
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        files.read_csv(spark, path, schema).collect()
+    with pytest.raises(ValueError, match="on_bad"):
+        files.read_csv(spark, path, schema, on_bad="skip")
+
+
+def test_returns_with_codes(spark):
+    rows = spark.createDataFrame([("A", "2024-01-02", 20.0, 4.0, "C"), ("A", "2024-01-03", 30.0, 4.0, " 0.5"), ("A", "2024-01-04", 8.0, 0.0, None)], "TICKER string, DATE string, PRC double, CFACPR double, RET string")
+    source, span = prices.CrspPrices(rows), (["A"], "2024-01-01", "2024-12-31")
+    assert [r.adj_close for r in source.read(*span).orderBy("date").collect()] == [5.0, 7.5, None]
+    assert [(r.ret, r.code) for r in source.returns(*span, lenient=True).orderBy("date").collect()] == [(None, "C"), (0.5, None), (None, None)]
+    with pytest.raises(Exception, match="not a number: C"):
+        source.returns(*span).collect()
+    assert [r.ret for r in source.returns(["A"], "2024-01-03", "2024-12-31").orderBy("date").collect()] == [0.5, None]
+    with pytest.raises(ValueError, match="CFACPR"):
+        prices.CrspPrices(rows.drop("CFACPR"))
+
+
+def test_a_cache_keeps_what_readers_began_with(spark):
+    cache = prices.TableCache(spark, files.shared_folder(spark))
+    cache.set("a", spark.range(3))
+    first = cache.get("a")
+    cache.set("a", spark.range(3, 10))
+    assert first.count() == 3 and cache.get("a").count() == 7
+    with pytest.raises(Exception, match="boom"):
+        cache.set("a", spark.range(5).select(F.raise_error(F.lit("boom")).cast("int").alias("id")))
+    assert cache.get("a").count() == 7 and first.count() == 3
+    cache.set("a", cache.get("a").where("id > 5"))  # reads the version that it replaces
+    assert cache.get("a").count() == 4
+    assert cache.sweep("a", 3600) == 0 and cache.sweep("a") >= 2
+    assert cache.get("a").count() == 4
+    with pytest.raises(Exception, match="not exist|FileNotFound|FILE_NOT_EXIST|does not exist"):
+        first.collect()
+
+
 def test_table_cache(spark):
     cache = prices.TableCache(spark, files.shared_folder(spark))
     assert cache.get("a") is None

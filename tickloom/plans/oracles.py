@@ -133,6 +133,12 @@ oracle("panel_unpivot", "daily", PX, f"SELECT * FROM daily WHERE {IN_BRANDS}")
 oracle("bulk_vendor_unpivot", "panel", f"{PX} volume:f", f"""SELECT t.ticker, c.date, adj_close, volume FROM (VALUES ('Brand#3'), ('Brand#11'), ('Brand#24')) t(ticker)
     CROSS JOIN (SELECT DISTINCT date FROM panel WHERE {IN_BRANDS}) c LEFT JOIN panel p ON p.ticker = t.ticker AND p.date = c.date WHERE c.date >= DATE '1996-01-01' AND c.date < DATE '1997-12-31'""")
 oracle("csv_roundtrip", "panel", "ticker date:d volume:f", "SELECT * FROM panel")
+STATED_LINES = """(SELECT CASE WHEN l_returnflag = 'R' THEN 'C' WHEN l_returnflag = 'A' AND l_tax = 0 THEN 'B' END AS code, l_quantity = 1 AS undated, l_discount, l_quantity, l_shipdate FROM lineitem)"""
+oracle("csv_rejects", "", "kind code n total:f", f"""SELECT 'good' AS kind, '' AS code, count(*) AS n, sum(l_discount::{MONEY})::DOUBLE AS total FROM {STATED_LINES} WHERE code IS NULL AND NOT undated
+    UNION ALL SELECT concat_ws(',', CASE WHEN undated THEN 'DATE' END, CASE WHEN code IS NOT NULL THEN 'RET' END), coalesce(code, ''), count(*), sum(l_quantity::{MONEY})::DOUBLE
+    FROM {STATED_LINES} WHERE code IS NOT NULL OR undated GROUP BY 1, 2""")
+oracle("csv_lenient", "", "year n n_known total:f", f"""SELECT CASE WHEN NOT undated THEN year(l_shipdate) END AS year, count(*) AS n, count(*) FILTER (WHERE code IS NULL) AS n_known,
+    sum(CASE WHEN code IS NULL THEN l_discount::{MONEY} END)::DOUBLE AS total FROM {STATED_LINES} GROUP BY 1""")
 oracle("parquet_roundtrip", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE}")
 oracle("source_fallback", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE}")
 oracle("vendor_adjusted", "", f"{PX} volume:f", f"""SELECT 'ALL' AS ticker, l_shipdate::DATE AS date, max(l_extendedprice) * max(l_discount) AS adj_close, sum(l_quantity::{MONEY})::DOUBLE AS volume
@@ -259,6 +265,12 @@ oracle("reconcile_returns", "va vb", STATS, STAT.format(
     f"SELECT ret - (price_b / lag(price_b) OVER (PARTITION BY ticker ORDER BY date) - 1) AS d FROM {STATED} JOIN vb USING (ticker, date)"))
 oracle("reconcile_prices", "va vb", STATS, STAT.format(
     "(SELECT count(*) FROM va ANTI JOIN vb USING (ticker, date))", "(SELECT count(*) FROM vb ANTI JOIN va USING (ticker, date))", "SELECT price_a - price_b AS d FROM va JOIN vb USING (ticker, date)"))
+oracle("crsp_prices", "va vb", STATS, STAT.format(
+    "(SELECT count(*) FROM va ANTI JOIN vb USING (ticker, date))", "(SELECT count(*) FROM vb ANTI JOIN va USING (ticker, date))", "SELECT price_a - price_b AS d FROM va JOIN vb USING (ticker, date)"))
+oracle("crsp_returns", "va vb", STATS, STAT.format(
+    "(SELECT count(*) FROM va ANTI JOIN vb USING (ticker, date))", "(SELECT count(*) FROM vb ANTI JOIN va USING (ticker, date))",
+    """SELECT ret - change AS d FROM (SELECT ticker, date, price_a / lag(price_a) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM va)
+       JOIN (SELECT ticker, date, price_b / lag(price_b) OVER (PARTITION BY ticker ORDER BY date) - 1 AS change FROM vb SEMI JOIN va USING (ticker, date)) USING (ticker, date)"""))
 oracle("vendor_compare", "va vb", "mean_abs_diff:f mean_pct:f max_pct:f pearson:f n_matched", """SELECT avg(abs(price_a - price_b)) AS mean_abs_diff, avg((price_a - price_b) / price_b * 100) AS mean_pct, max((price_a - price_b) / price_b * 100) AS max_pct,
     corr(price_a, price_b) AS pearson, count(*) AS n_matched FROM va JOIN vb USING (ticker, date)""")
 TWO_STRATEGIES = """
@@ -298,6 +310,8 @@ oracle("ingest_prices", "panel", f"{PX} volume:f vwap:f", f"""SELECT *, sum(adj_
     FROM (SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE})""")
 oracle("cache_roundtrip", "panel", PX, "SELECT * FROM panel")
 oracle("profile_keys", "", "column_name present data_type", "SELECT * FROM (VALUES ('ticker', true, 'string'), ('date', true, 'date'), ('adj_close', true, 'double'), ('cusip', false, NULL)) v(column_name, present, data_type)")
+oracle("cache_snapshots", "panel", "ticker n_before before:f n_after after:f", """SELECT ticker, count(*) AS n_before, sum(volume) AS before, nullif(count(*) FILTER (WHERE volume > 100), 0) AS n_after,
+    sum(2 * volume) FILTER (WHERE volume > 100) AS after FROM panel GROUP BY 1""")
 oracle("any_missing", "sparse", "ticker adj_close", "SELECT ticker, bool_or(adj_close IS NULL) AS adj_close FROM sparse GROUP BY 1")
 oracle("drop_empty_dates", "panel", PX, """WITH grid AS (
     SELECT t.ticker, c.date, CASE WHEN t.ticker NOT IN ('Brand#3', 'Brand#11') AND month(c.date) % 2 = 0 THEN adj_close END AS adj_close

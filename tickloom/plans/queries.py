@@ -99,6 +99,38 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, "ticker string, date date, volume double")
 
 
+def _stated(spark, sf_dir):
+    """Order lines as a file of stated returns, in which some cells are letters: C for returned goods, B for
+    accepted ones without tax, and n/a as a date where the quantity is 1."""
+    lines = panels.read(spark, sf_dir, "lineitem")
+    code = F.when(F.col("l_returnflag") == "R", "C").when((F.col("l_returnflag") == "A") & (F.col("l_tax") == 0), "B")
+    path = files.shared_folder(spark)
+    lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ID"), F.when(F.col("l_quantity") == 1, "n/a").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("DATE"),
+        F.coalesce(code, F.col("l_discount").cast("string")).alias("RET"), "l_quantity",
+    ).write.csv(path, header=True)
+    return path
+
+
+STATED = "ID long, DATE date, RET double, l_quantity double"
+
+
+@query
+def csv_rejects(spark, sf_dir):
+    """Rows of a file with letter codes: how many are good, and how many are kept apart for which cells."""
+    checked = files.read_csv_checked(spark, _stated(spark, sf_dir), STATED)
+    good = checked.rows.agg(F.lit("good").alias("kind"), F.lit("").alias("code"), F.count("*").alias("n"), F.sum(F.col("RET").cast("decimal(18,2)")).cast("double").alias("total"))
+    bad = checked.rejected.groupBy(F.array_join("bad_columns", ",").alias("kind"), F.coalesce(files.number_or_code(F.col("RET"))[1], F.lit("")).alias("code"))
+    return good.unionByName(bad.agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("total")))
+
+
+@query
+def csv_lenient(spark, sf_dir):
+    """The same file with such cells read as null."""
+    rows = files.read_csv(spark, _stated(spark, sf_dir), STATED, on_bad="null")
+    return rows.groupBy(F.year("DATE").alias("year")).agg(F.count("*").alias("n"), F.count("RET").alias("n_known"), F.sum(F.col("RET").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 @query
 def parquet_roundtrip(spark, sf_dir):
     path = files.shared_folder(spark)
@@ -242,6 +274,17 @@ def cache_roundtrip(spark, sf_dir):
     return cache.get("panel")
 
 
+@query
+def cache_snapshots(spark, sf_dir):
+    """What a frame reads that was got before the key was set anew, beside what the key holds then."""
+    cache = prices.TableCache(spark, files.shared_folder(spark))
+    cache.set("volumes", panels.price_panel(spark, sf_dir).select("ticker", "date", "volume"))
+    before = cache.get("volumes")
+    cache.set("volumes", before.where(F.col("volume") > 100).withColumn("volume", F.col("volume") * 2))
+    after = cache.get("volumes").groupBy("ticker").agg(F.count("*").alias("n_after"), F.sum("volume").alias("after"))
+    return before.groupBy("ticker").agg(F.count("*").alias("n_before"), F.sum("volume").alias("before")).join(after, "ticker", "left")
+
+
 @query
 def universe_append(spark, sf_dir):
     pages = panels.read(spark, sf_dir, "part").select(
@@ -659,6 +702,31 @@ def reconcile_prices(spark, sf_dir):
     return quality.reconcile(panels.vendor_prices(spark, sf_dir, "a"), panels.vendor_prices(spark, sf_dir, "b"), ["ticker", "date"], P("price_a") - P("price_b"))
 
 
+def _crsp(spark, sf_dir):
+    """Vendor a's prices as security rows: unadjusted, with a factor, and returns as text, C for the first."""
+    a = panels.vendor_prices(spark, sf_dir, "a").withColumn("RET", F.coalesce(series.returns(P("price_a"), W()).cast("string"), F.lit("C")))
+    factor = F.when(P("date") < F.lit("1998-01-01").cast("date"), 4.0).otherwise(1.0)
+    return prices.CrspPrices(files.stored(a.select(P("ticker").alias("TICKER"), P("date").alias("DATE"), (P("price_a") * factor).alias("PRC"), factor.alias("CFACPR"), "RET")))
+
+
+def _all_brands(spark, sf_dir):
+    return [r.p_brand for r in panels.read(spark, sf_dir, "part").select("p_brand").distinct().collect()]
+
+
+@query
+def crsp_prices(spark, sf_dir):
+    """PRC / CFACPR against the other vendor's prices."""
+    own = _crsp(spark, sf_dir).read(_all_brands(spark, sf_dir), "1990-01-01", "2030-01-01")
+    return quality.reconcile(own, panels.vendor_prices(spark, sf_dir, "b"), ["ticker", "date"], P("adj_close") - P("price_b"))
+
+
+@query
+def crsp_returns(spark, sf_dir):
+    """Stated returns with letter codes, read leniently, against the other vendor's changes of price."""
+    stated = _crsp(spark, sf_dir).returns(_all_brands(spark, sf_dir), "1990-01-01", "2030-01-01", lenient=True)
+    return quality.reconcile_returns(stated, panels.vendor_prices(spark, sf_dir, "b").withColumnRenamed("price_b", "price"))
+
+
 @query
 def vendor_compare(spark, sf_dir):
     return quality.compare_prices(panels.vendor_prices(spark, sf_dir, "a"), panels.vendor_prices(spark, sf_dir, "b"), "price_a", "price_b", ["ticker", "date"])

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,14 +29,67 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder: read again, also after executors were lost, and not cached."""
+    """df, written once to the shared folder: read again, also after executors were lost, and not cached.
+    discard() deletes it; what a caller's result is made of stays."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as the cluster's storage gives them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored(), once nothing reads them any more."""
+    for df in tables:
+        path, store = hadoop_path(df.sparkSession, df.stored_path)
+        store.delete(path, True)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, on_bad: str = "raise") -> DataFrame:
+    """A csv file with a header, typed strictly: a cell that does not read as its column's type, such as a letter
+    code among returns, or a row of another length, is an error when it is read. on_bad='null' makes
+    such cells null; read_csv_checked() keeps their rows apart."""
+    if on_bad not in ("raise", "null"):
+        raise ValueError(f"on_bad is raise or null, not {on_bad!r}")
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST" if on_bad == "raise" else "PERMISSIVE")
+
+
+class Checked(NamedTuple):
+    """rows: typed, all cells good. rejected: the other rows as text, with bad_columns, the names of the
+    columns whose cell does not read as their type, and record, the whole line where its length is wrong."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: str) -> Checked:
+    """A csv file with a header: good rows and rejected ones. Every row is in one of them; empty cells are null
+    and good. Both are lazy, and each reads the file once."""
+    typed = spark.createDataFrame([], schema).schema
+    raw = spark.read.schema(", ".join([*(f"`{f.name}` string" for f in typed), "record string"])).option("columnNameOfCorruptRecord", "record")
+    rows = raw.csv(path, header=True, mode="PERMISSIVE")
+    bad = [F.when(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(), F.lit(f.name)) for f in typed]
+    rows = rows.withColumn("bad_columns", F.array_compact(F.array(*bad)))
+    good = (F.size("bad_columns") == 0) & F.col("record").isNull()
+    return Checked(rows.where(good).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in typed]), rows.where(~good))
+
+
+def number_or_code(value: Column) -> tuple[Column, Column]:
+    """A text's number, null if it is none, and its code, the text where it is not a number."""
+    number = stripped(value).try_cast("double")
+    return number, F.when(number.isNull(), F.nullif(stripped(value), F.lit("")))
+
+
+def strict_number(value: Column) -> Column:
+    """A text's number; a text that is none is an error, whatever the session's ANSI mode."""
+    number, code = number_or_code(value)
+    return F.when(code.isNotNull(), F.raise_error(F.concat(F.lit("not a number: "), code)).cast("double")).otherwise(number)
 
 
 def read_by_suffix(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from datetime import timedelta
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.series import by_date, clean, cumulative_vwap
 from tickloom.operators.align import align_to_first
 
-from .files import read_by_suffix, short_names, stripped_columns, universe
+from .files import hadoop_path, number_or_code, read_by_suffix, short_names, strict_number, stripped_columns, universe
 from .vendor import vendor_panel
 from .workbooks import serial_date
 
@@ -76,6 +78,26 @@ class VendorPrices(PriceSource):
         return in_range(self.rows, tickers, start, end).select("ticker", "date", "adj_close", "volume")
 
 
+class CrspPrices(PriceSource):
+    """Daily security rows: TICKER, DATE, PRC, CFACPR, and RET as text, in which letters stand for returns
+    that are not known. The adjusted price is PRC / CFACPR."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        if absent := sorted({"TICKER", "DATE", "PRC", "CFACPR"} - set(rows.columns)):
+            raise ValueError(f"columns are missing: {', '.join(absent)}")
+        price = F.try_divide(F.col("PRC").cast("double"), F.col("CFACPR").cast("double"))
+        self.rows = rows.withColumns({"ticker": F.col("TICKER"), "date": F.to_date("DATE"), "adj_close": clean(price)})
+
+    def read(self, tickers: Sequence[str], start: str, end: str) -> DataFrame:
+        return in_range(self.rows, tickers, start, end).select("ticker", "date", "adj_close")
+
+    def returns(self, tickers: Sequence[str], start: str, end: str, lenient: bool = False) -> DataFrame:
+        """ticker, date, ret, code: stated returns. A letter code is an error, or if lenient a null ret with its code."""
+        number, code = number_or_code(F.col("RET"))
+        rows = in_range(self.rows, tickers, start, end)
+        return rows.select("ticker", "date", (number if lenient else strict_number(F.col("RET"))).alias("ret"), code.alias("code"))
+
+
 class NetworkPrices(PriceSource):
     """A vendor behind the data source API (vendor.py); options go to its fetch function."""
 
@@ -156,16 +178,55 @@ class Cache(ABC):
 
 
 class TableCache(Cache):
-    """Named tables under one shared folder."""
+    """Named tables under one shared folder, as snapshots.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    set() writes a new version beside the old ones and then swaps the key's pointer by one atomic
+    rename, so a reader sees the old table or the new one, never parts of both or none, and frames
+    that get() gave go on reading what they began with. Versions that are no longer the current one are
+    deleted by set() once they are older than ``keep_seconds``, or by sweep()."""
 
-    def get(self, key: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{key}")
-        except AnalysisException:
+    def __init__(self, spark: SparkSession, folder: str, keep_seconds: float = 86_400) -> None:
+        self.spark, self.folder, self.keep_seconds = spark, folder.rstrip("/"), keep_seconds
+
+    def current(self, key: str) -> str | None:
+        """The key's version; None if there is none."""
+        path, store = hadoop_path(self.spark, f"{self.folder}/{key}/current")
+        if not store.exists(path):
             return None
+        stream = store.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def get(self, key: str) -> DataFrame | None:
+        version = self.current(key)
+        return None if version is None else self.spark.read.parquet(f"{self.folder}/{key}/{version}")
 
     def set(self, key: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{key}")
+        version = f"version-{uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{key}/{version}")
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        pointer, store = hadoop_path(self.spark, f"{self.folder}/{key}/current")
+        written = fs.Path(f"{self.folder}/{key}/{version}.pointer")
+        out = store.create(written, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        kind = getattr(fs, "Options$Rename")
+        overwrite = self.spark.sparkContext._gateway.new_array(kind, 1)
+        overwrite[0] = kind.OVERWRITE
+        context = fs.FileContext.getFileContext(store.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(written), context.makeQualified(pointer), overwrite)
+        self.sweep(key, self.keep_seconds)
+
+    def sweep(self, key: str, older_than: float = 0.0) -> int:
+        """Deletes versions but the current one that were written more than so many seconds ago; their number.
+        A version that is being written has no pointer yet and counts by its age, so leave time for writers."""
+        path, store = hadoop_path(self.spark, f"{self.folder}/{key}")
+        now, current, gone = time.time(), self.current(key), 0
+        for status in store.listStatus(path):
+            name = status.getPath().getName()
+            if name.startswith("version-") and name != current and now - status.getModificationTime() / 1000 >= older_than:
+                store.delete(status.getPath(), True)
+                gone += not name.endswith(".pointer")
+        return gone
