@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scans, series, stats
 from tickloom.operators import align, quality
-from tickloom.sources import files, prices, workbooks
+from tickloom.sources import files, html, prices, workbooks
 
 DAY0 = datetime.date(2023, 1, 1)
 
@@ -173,12 +173,51 @@ def test_vendor_connector_and_backfill(spark, tmp_path):
 
 
 def test_table_column(spark):
-    html = """<table><tr><td>Symbol x</td></tr></table><TABLE id=1><tr><th>Name</th><th> Symbol
+    page = """<table><tr><td>Symbol x</td></tr></table><TABLE id=1><tr><th>Name</th><th> Symbol
       </th></tr><tr><td>a</td><td><a href="q">BRK.B</a></td></tr><tr><td>only</td></tr></TABLE>"""
-    pages = spark.createDataFrame([(html,), ("",), (None,)], "html string")
+    pages = spark.createDataFrame([(page,), ("",), (None,)], "html string")
     assert sorted(r.ticker for r in files.universe(pages, column="Symbol").collect()) == ["BRK-B", "SPY"]
 
 
+def test_html_grids():
+    read = html.parsed_tables
+    assert read(None) == read("") == read("<p>Symbol</p>") == []
+    assert read("<table><tr><td>a &amp; b&#33;<td>1<tr><th>c\n d") == [[["a & b!", "1"], ["c d"]]]
+    nested = "<table><tr><td>x<table><tr><td>in</td></tr></table>y</td><td>z</td></tr></table>"
+    assert read(nested) == [[["xy", "z"]], [["in"]]]
+    spans = "<table><tr><td rowspan=2>A<td colspan='2'>B<td rowspan=3>C<tr><td>d<td>e<tr><td>f</table>"
+    assert read(spans) == [[["A", "B", "B", "C"], ["A", "d", "e", "C"], ["f", "", "", "C"]]]
+    assert read("<table><tr><td colspan=99999999999>a<td colspan=x>b<td colspan=0>c</table>") == [[["a", "b", "c"]]]
+    assert len(read("<table><tr><td colspan=5000>a")[0][0]) == 1000
+    assert read("<table><tr><td>a<br>b<script>no</script><style>no</style></td></tr></table></table><td>c") == [[["a b"]]]
+    assert read("<TABLE><TBODY><td>no row<tr></tr></TBODY></TABLE>") == [[["no row"], []]]
+
+
+def test_html_tables_keep_their_pages_columns(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td>a<tr><td>b</table><table><tr><td>c</table>", "u"), (2, None, "v"), (3, "none", None)], "id int, html string, cells2 string")
+    got = html.html_tables(pages)
+    assert got.columns == ["id", "cells2", "table", "rid", "cells"]
+    assert sorted((r.id, r.table, r.rid, r.cells) for r in got.collect()) == [(1, 0, 1, ["a"]), (1, 0, 2, ["b"]), (1, 1, 1, ["c"])]
+
+
+def test_bucketed_tables_are_joined_and_scanned_without_a_shuffle(spark):
+    from uuid import uuid4
+
+    names = [f"t_{uuid4().hex}" for _ in range(2)]
+    rows = spark.createDataFrame([(f"T{i % 20}", day(i // 20), float(i)) for i in range(400)], "ticker string, date date, adj_close double")
+    for name in names:
+        prices.write_bucketed(rows, name, 4, files.shared_folder(spark))
+    a, b = (prices.BucketedPrices(spark, n).read([f"T{i}" for i in range(20)], "2023-01-01", "2023-12-31") for n in names)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = a.join(b.withColumnRenamed("adj_close", "other"), ["ticker", "date"]).withColumn("r", series.returns(F.col("adj_close"), series.by_date()))
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert both.count() == 400 and both.where("r IS NULL").count() == 20 + 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_cells_that_do_not_read_as_their_type(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ID,DATE,RET\n1,2024-01-02,0.5\n2,2024-01-03,C\n3,,\n4,x,B\n5,2024-01-05\n6,2024-01-06,1e-3,7\n7,2024-01-07, 2 \n")
     path, schema = str(tmp_path), "ID int, DATE date, RET double"

@@ -140,6 +140,8 @@ oracle("csv_rejects", "", "kind code n total:f", f"""SELECT 'good' AS kind, '' A
 oracle("csv_lenient", "", "year n n_known total:f", f"""SELECT CASE WHEN NOT undated THEN year(l_shipdate) END AS year, count(*) AS n, count(*) FILTER (WHERE code IS NULL) AS n_known,
     sum(CASE WHEN code IS NULL THEN l_discount::{MONEY} END)::DOUBLE AS total FROM {STATED_LINES} GROUP BY 1""")
 oracle("parquet_roundtrip", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE}")
+oracle("bucketed_panels", "va vb", "ticker date:d adj_close:f other:f change:f", f"""SELECT ticker, date, price_a AS adj_close, price_b AS other, price_a / lag(price_a) OVER (PARTITION BY ticker ORDER BY date) - 1 AS change
+    FROM (SELECT * FROM va WHERE {RANGE}) JOIN vb USING (ticker, date)""")
 oracle("source_fallback", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE}")
 oracle("vendor_adjusted", "", f"{PX} volume:f", f"""SELECT 'ALL' AS ticker, l_shipdate::DATE AS date, max(l_extendedprice) * max(l_discount) AS adj_close, sum(l_quantity::{MONEY})::DOUBLE AS volume
     FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 2""")
@@ -305,9 +307,12 @@ oracle("vendor_pushdown", "daily", "ticker n high:f volume:f", """SELECT ticker,
     WHERE date BETWEEN DATE '1996-04-01' AND DATE '1997-06-30' AND starts_with(ticker, 'Brand#1') GROUP BY 1""")
 oracle("benchmark_backfill", "panel market", PX, f"""SELECT ticker, date, adj_close FROM panel WHERE {IN_BRANDS} UNION ALL
     SELECT 'SPY', date, adj_close FROM market WHERE date >= (SELECT min(date) FROM panel WHERE {IN_BRANDS}) AND date < (SELECT max(date) FROM panel WHERE {IN_BRANDS})""")
-oracle("universe_by_header", "", "ticker", "SELECT DISTINCT p_brand AS ticker FROM part WHERE p_brand IN ('Brand#3', 'Brand#11', 'Brand#24') UNION SELECT 'SPY'")
-oracle("ingest_prices", "panel", f"{PX} volume:f vwap:f", f"""SELECT *, sum(adj_close * volume) {OVER} UNBOUNDED PRECEDING) / sum(volume) {OVER} UNBOUNDED PRECEDING) AS vwap
-    FROM (SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE})""")
+oracle("universe_by_header", "", "ticker", "SELECT DISTINCT replace(p_brand, '#', ' & ') AS ticker FROM part UNION SELECT 'SPY'")
+oracle("html_spans", "", "brand rid cells", """WITH sizes AS (SELECT p_brand AS brand, p_size AS size, count(*) AS n FROM part GROUP BY 1, 2)
+    SELECT brand, 1 AS rid, 'Brand|Parts|Parts' AS cells FROM sizes GROUP BY 1 UNION ALL SELECT brand, 2, 'Brand|Size|N' FROM sizes GROUP BY 1
+    UNION ALL SELECT brand, 2 + row_number() OVER (PARTITION BY brand ORDER BY size), '<' || brand || '>|' || size || '|' || n FROM sizes""")
+oracle("ingest_prices", "panel", f"{PX} volume:f vwap:f", f"""SELECT * REPLACE (replace(ticker, '#', ' & ') AS ticker), sum(adj_close * volume) {OVER} UNBOUNDED PRECEDING) / sum(volume) {OVER} UNBOUNDED PRECEDING) AS vwap
+    FROM (SELECT * FROM panel WHERE {RANGE})""")
 oracle("cache_roundtrip", "panel", PX, "SELECT * FROM panel")
 oracle("profile_keys", "", "column_name present data_type", "SELECT * FROM (VALUES ('ticker', true, 'string'), ('date', true, 'date'), ('adj_close', true, 'double'), ('cusip', false, NULL)) v(column_name, present, data_type)")
 oracle("cache_snapshots", "panel", "ticker n_before before:f n_after after:f", """SELECT ticker, count(*) AS n_before, sum(volume) AS before, nullif(count(*) FILTER (WHERE volume > 100), 0) AS n_after,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tickloom.operators.execution import EquityEngine, executable
 from tickloom.operators.strategies import (
     STRATEGIES, BettingAgainstBeta, MeanReversion, Momentum, SingleHold, WeightedHold, with_bands,
 )
-from tickloom.sources import files, prices, vendor, workbooks
+from tickloom.sources import files, html, prices, vendor, workbooks
 
 from . import panels
 
@@ -138,6 +139,18 @@ def parquet_roundtrip(spark, sf_dir):
     return prices.TablePrices(spark, path).read(BRANDS, START, END).select("ticker", "date", "adj_close", "volume")
 
 
+@query
+def bucketed_panels(spark, sf_dir):
+    """Both vendors' panels as bucketed tables: their join by ticker and date and a window by ticker shuffle nothing."""
+    names = [f"prices_{v}_{uuid4().hex}" for v in "ab"]
+    for v, name in zip("ab", names, strict=True):
+        own = panels.vendor_prices(spark, sf_dir, v).withColumnRenamed(f"price_{v}", "adj_close")
+        prices.write_bucketed(own, name, 8, files.shared_folder(spark))
+    a, b = (prices.BucketedPrices(spark, n).read(_all_brands(spark, sf_dir), START, END) for n in names)
+    both = a.join(b.withColumnRenamed("adj_close", "other"), ["ticker", "date"])
+    return both.withColumn("change", series.returns(P("adj_close"), W())).select("ticker", "date", "adj_close", "other", "change")
+
+
 @query
 def source_fallback(spark, sf_dir):
     panel = panels.price_panel(spark, sf_dir)
@@ -248,11 +261,13 @@ def benchmark_backfill(spark, sf_dir):
 
 
 def _universe_pages(spark, sf_dir):
-    row = F.concat(F.lit("<tr><td>No. 1</td><td>&nbsp;<a href='x'><b>"), "p_brand", F.lit("</b></a></td><td></td></tr>"))
+    """A page with a table in a cell of another, spans, entities and end tags left out, over all brands."""
+    inner = "<table><tr><th>Symbol<tr><td>not&nbsp;this</table>"
+    row = F.concat(F.lit("<tr><td>No.&#32;1<td><br/>&nbsp;<a href='x?a=1&amp;b=2'><b>"), F.replace("p_brand", F.lit("#"), F.lit(" &amp; ")), F.lit(f"</b></a><td>{inner}</td></tr>"))
     rows = F.array_join(F.sort_array(F.collect_set(row)), "\n")
-    junk = "<table><tr><td>Symbol of</td></tr></table>"
-    page = F.concat(F.lit(f"<html>{junk}<table class='t'><tr><th>Name</th><th>Symbol </th><th>x</th></tr>"), rows, F.lit(f"</table>{junk}"))
-    return panels.read(spark, sf_dir, "part").where(F.col("p_brand").isin(BRANDS)).agg(page.alias("html")).select(F.replace("html", F.lit("&nbsp;"), F.lit(" ")).alias("html"))
+    junk = "<table><tr><td>Symbol of</td></tr></table><script>'<table><tr><td>Symbol</td></tr>'</script>"
+    page = F.concat(F.lit(f"<html>{junk}<table class='t'><thead><tr><th>Name</th><th> Symb&#111;l </th><th colspan=2>x</th></tr></thead>"), rows, F.lit(f"</table>{junk}"))
+    return panels.read(spark, sf_dir, "part").agg(page.alias("html"))
 
 
 @query
@@ -260,9 +275,19 @@ def universe_by_header(spark, sf_dir):
     return files.universe(_universe_pages(spark, sf_dir), column="Symbol")
 
 
+@query
+def html_spans(spark, sf_dir):
+    """A page for each brand, read as a grid: a cell over the rows of a brand's sizes and one over two columns."""
+    part = panels.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).agg(F.count("*").alias("n"))
+    cells = F.sort_array(F.collect_list(F.struct("size", F.concat(F.lit("<td>"), "size", F.lit("<td>"), "n").alias("cell"))))
+    body = F.array_join(F.transform(cells, lambda c: c["cell"]), "<tr>")
+    page = F.concat(F.lit("<table><tr><th rowspan='2'>Brand<th colspan=2>Parts<tr><th>Size<th>N<tr><td rowspan="), F.count("*").cast("string"), F.lit(">&lt;"), "brand", F.lit("&gt;"), body, F.lit("</table>"))
+    return html.html_tables(part.groupBy("brand").agg(page.alias("html"))).select("brand", "rid", F.array_join("cells", "|").alias("cells"))
+
+
 @query
 def ingest_prices(spark, sf_dir):
-    source = _Panel(panels.price_panel(spark, sf_dir))
+    source = _Panel(panels.price_panel(spark, sf_dir).withColumn("ticker", F.replace("ticker", F.lit("#"), F.lit(" & "))))
     return prices.ingest(_universe_pages(spark, sf_dir), source, files.shared_folder(spark), START, END).select("ticker", "date", "adj_close", "volume", "vwap")
 
 

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .html import table_values
 from .workbooks import read_workbooks, with_header
 
 #: Tickers that price vendors spell otherwise.
@@ -153,23 +154,12 @@ def table_below_header(rows: DataFrame, key: str = "Ticker", value: str = "Weigh
     return below.where(F.col("rid") <= last).withColumn("weight", F.col("weight") / (100 if percent else 1))
 
 
-def table_column(html: Column | str, name: str) -> Column:
-    """Texts of the column headed ``name`` of a page's first table that has such a header cell."""
-    text = lambda cell: F.btrim(F.regexp_replace(F.regexp_replace(cell, r"(?s)<[^>]*>", ""), r"\s+", " "))
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), text)
-    rows = lambda table: F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells)
-    tables = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1)), rows)
-    table = F.get(F.filter(tables, lambda t: F.array_contains(F.get(t, F.lit(0)), name)), F.lit(0))
-    at = (F.array_position(F.get(table, F.lit(0)), name) - 1).cast("int")
-    return F.filter(F.transform(F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0))), lambda r: F.get(r, at)), lambda x: x.isNotNull() & (x != ""))
-
-
 def universe(pages: DataFrame, benchmark: str = "SPY", html: str = "html", column: str | None = None) -> DataFrame:
-    """ticker, with ``.`` as ``-``: the named column of the pages' tables, or else the first cells of
-    all table rows; and the benchmark if absent."""
+    """ticker, with ``.`` as ``-``: the named column of the pages' tables (html.table_values), or else the first
+    cells of all table rows; and the benchmark if absent."""
     first = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>\s*<td[^>]*>\s*(?:<a[^>]*>)?\s*([A-Z][A-Z.]*)\s*(?:</a>)?\s*</td>"), F.lit(1))
-    cells = first if column is None else table_column(F.col(html), column)
-    found = pages.select(F.explode(cells).alias("ticker")).select(F.replace("ticker", F.lit("."), F.lit("-")).alias("ticker")).distinct()
+    cells = pages.select(F.explode(first).alias("value")) if column is None else table_values(pages, column, html)
+    found = cells.select(F.replace("value", F.lit("."), F.lit("-")).alias("ticker")).distinct()
     own = pages.sparkSession.createDataFrame([(benchmark,)], "ticker string")
     return found.unionByName(own.join(found, "ticker", "left_anti"))
 

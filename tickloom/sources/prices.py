@@ -145,6 +145,25 @@ def write_prices(panel: DataFrame, path: str) -> None:
     panel.repartition("ticker").sortWithinPartitions("ticker", "date").write.partitionBy("ticker").option("compression", "snappy").parquet(path)
 
 
+def write_bucketed(panel: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """A catalog table of the panel in so many buckets of tickers, one sorted file each: windows by ticker
+    and joins with tables of as many buckets read it without a shuffle. path: the table's folder, else the warehouse's."""
+    writer = panel.repartition(buckets, "ticker").write.bucketBy(buckets, "ticker").sortBy("ticker", "date").option("compression", "snappy")
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+
+
+class BucketedPrices(PriceSource):
+    """A price table written by write_bucketed. Joins by ticker and date use the buckets of tickers only if the
+    session does not ask joins to be dealt out by all their keys, so that is set."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        self.rows = spark.table(name)
+
+    def read(self, tickers: Sequence[str], start: str, end: str) -> DataFrame:
+        return in_range(self.rows, tickers, start, end).withColumn("adj_close", clean(F.col("adj_close")))
+
+
 def with_benchmark(panel: DataFrame, source: PriceSource, benchmark: str = "SPY", end_included: bool = False) -> DataFrame:
     """panel, and the benchmark's rows from source over the panel's dates where the panel has none of it.
     As network vendors do, the last date is left out unless end_included. The panel's dates are looked
