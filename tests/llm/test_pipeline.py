@@ -141,3 +141,21 @@ def test_documents_with_a_jaccard_of_four_fifths_are_near_copies(spark, results)
         got = {r.node: r.component for r in found.collect()}
         ours = [got.get(p, p) for p in prints]
         assert len(set(zip(ours, root, strict=True))) == len(set(ours)) == len(set(root))
+
+
+def test_a_phrase_in_all_texts_compares_none_of_them(spark, results, monkeypatch):
+    """Texts of ten words that share six, and of 84 that share 64: no two are similar, and no group of them is compared."""
+    from tickloom.llm import simhash
+
+    groups, pairs = [], []
+    compared, verified = simhash._compared, simhash._verified
+    monkeypatch.setattr(simhash, "_compared", lambda own, clusters, *a: groups.append(clusters.count()) or compared(own, clusters, *a))
+    monkeypatch.setattr(simhash, "_verified", lambda own, found, *a: pairs.append(found.count()) or verified(own, found, *a))
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    line = " ".join(f"b{i}" for i in range(64))
+    rows = [(i, " ".join(word() for _ in range(4)) + " all rights reserved by the owner", "en", "s", 1) for i in range(2000)]
+    rows += [(5000 + i, " ".join(word() for _ in range(20)) + " " + line, "en", "s", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, results[0].schema).repartition(6)
+    assert corpus_pipeline.STAGES[1][1](spark, docs, SF).count() == 3000
+    assert sum(groups) + sum(pairs) < 30

@@ -19,8 +19,10 @@ from .common import (
 SHARD = 512
 SEED = 42
 #: Sets of a key that give all their pairs at once; sets with a hash from which on it comes last;
-#: sets of a larger group that one task compares with as many others; keys that two similar sets share.
-FEW, COMMON, TILE, SHARED = 32, 32, 1024, 8
+#: sets of a larger group that one task compares with as many others.
+FEW, COMMON, TILE = 32, 32, 1024
+#: Hashes that are told to come last, which is a matter of order only; rounds of looking for them.
+LATE, ROUNDS = 1_000_000, 6
 #: Bytes of texts whose sets are made at once.
 SET_BYTES = 500_000
 _set_words, _set_shingles = Rolling(31), Rolling(32)
@@ -279,16 +281,17 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     docs: row_a, row_b and text; sets: row_a, row_b and fp, of the same rows, from with_set. Sets of
     hashes are made from the texts whenever they are needed and never stored for all documents.
 
-    In any one order of all hashes, two such sets of which one has n hashes share SHARED (if they share
-    so many at all) of its first n - ceil(threshold * n) + SHARED: those are the keys, and sets that share
-    so many keys, or one large one, are candidates, so none is missed. In the order, hashes found in over
-    ``common`` texts come last. Keys with up to ``few`` sets give all pairs. The sets of larger ones, with
-    all that these are joined to by further large keys, are compared in pairs of tiles, each pair of
-    sets once, however many keys it shares.
+    In any one order of all hashes, two such sets share one of the first n - ceil(threshold * n) + 1 of
+    each, n being its own size: those are the keys, and sets that share a key are candidates, so none
+    is missed. In the order, hashes found in over ``common`` texts come last. So a passage that many
+    texts share gives keys only to those of which it is all but a part of 1 - threshold. Keys with up
+    to ``few`` sets give all pairs. The sets of larger ones, with all that these are joined to by
+    further large keys, are compared in pairs of tiles, each pair of sets once, however many keys it shares.
     """
     spark = docs.sparkSession
 
-    def prefixes(share: float, more: int, last: np.ndarray) -> DataFrame:
+    def prefixes(share: float, more: int, last: np.ndarray, whole: bool = False) -> DataFrame:
+        """The first hashes of every set; with ``whole`` all those that come before ``last`` of sets that have any of these."""
         held = spark.sparkContext.broadcast(last)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,33 +301,44 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
                 for _, data, offsets in slices(batch, size=SET_BYTES):
                     key, first = shingle_sets(data, offsets, shingle)
                     fp, n = _set_hashes(key, first), np.diff(first)
-                    row = np.repeat(np.arange(len(n)), n)
+                    row, n_late = np.repeat(np.arange(len(n)), n), np.zeros(len(n), np.int64)
                     if len(late):
                         place = np.minimum(np.searchsorted(late, key), len(late) - 1)
                         is_late = late[place] == key
                         moved = np.flatnonzero(is_late)
                         if len(moved):  # within each row those that are not late come first
+                            n_late = np.bincount(row[moved], minlength=len(n))
                             key = key[np.argsort(2 * row + is_late, kind="stable")]
                     fresh = np.zeros(len(n), bool)
                     for i, x in enumerate(fp.tolist()):
                         fresh[i] = x not in seen
                         seen.add(x)
-                    most = np.where(fresh, np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more), 0)
+                    most = np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more)
+                    if whole:
+                        most = np.where(n_late > 0, n - n_late, most)
+                    most = np.where(fresh, most, 0)
                     take = np.arange(len(key)) - first[row] < most[row]
                     row = row[take]
                     yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(fp[row]), pa.array(n[row].astype(np.int32))], names=["key", "fp", "n"])
 
         return docs.select("text").mapInArrow(run, "key long, fp long, n int")
 
-    # a longer prefix is counted, as the hashes that move up when others come last can be common too
-    counted = prefixes(1.25 * (1 - threshold), SHARED + 2, np.zeros(0, np.int64)).groupBy("key").agg(F.count("*").alias("times"))
-    counted = saved(counted.where(F.col("times") > common))
-    often = counted.orderBy(F.desc("times"), "key").limit(1_000_000).select("key").toArrow()
-    keys = prefixes(1 - threshold, SHARED, np.sort(often.column(0).to_numpy()))
+    # hashes that move up when others come last can be common too: keys are counted anew until few are,
+    # and all other hashes of sets with common ones, as these tend to have more
+    last, n_sets = np.zeros(0, np.int64), sets.count()
+    for k in range(ROUNDS):
+        counted = prefixes(*((1 - threshold, 1) if k else (1.25 * (1 - threshold), 3)), last, whole=True).groupBy("key").agg(F.count("*").alias("times"))
+        often = counted.where(F.col("times") > common).orderBy(F.desc("times"), "key").limit(LATE).toArrow()
+        key, times = (often.column(c).to_numpy() for c in ("key", "times"))
+        new = ~np.isin(key, last)
+        if len(last) + int(new.sum()) > LATE or int(times[new].sum()) * 100 <= n_sets * (k > 0):
+            break
+        last = np.union1d(last, key[new])
+    keys = prefixes(1 - threshold, 1, last)
     found = saved(_pairs(keys, threshold, few))
-    pairs = saved(found.where("need > 0").groupBy("u", "v", "need").count().where("count >= need").select("u", "v"))
-    large = saved(found.where("need = 0").select("u", "v"))
-    discard(counted, found)
+    pairs = saved(found.where("is_pair").select("u", "v").distinct())
+    large = saved(found.where("NOT is_pair").select("u", "v"))
+    discard(found)
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(large.select("u")).union(large.select("v")).distinct()
     own = _sets_of(docs, sets, nodes, shingle)
     links = _verified(own, pairs, threshold)
@@ -356,24 +370,23 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -
 
 
 def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
-    """(u, v, need): pairs of sets of one key whose sizes allow the threshold, and the keys that such a
-    pair shares at least. The sets of a key with over ``few`` are only named as one group, by links to
-    the first of them with need 0; what a task holds of a key is bounded by ``few``."""
+    """(u, v, is_pair): pairs of sets of one key whose sizes allow the threshold. The sets of a key with
+    over ``few`` are only named as one group, by links to the first of them that are no pairs; what a
+    task holds of a key is bounded by ``few``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
         size = 0
 
-        def emit(u: np.ndarray, v: np.ndarray, need: np.ndarray) -> None:
+        def emit(u: np.ndarray, v: np.ndarray, is_pair: bool) -> None:
             nonlocal size
-            out.append([u, v, need.astype(np.int32)])
+            out.append([u, v, np.full(len(u), is_pair)])
             size += len(u)
 
         def pairs(fp: np.ndarray, n: np.ndarray) -> None:
             i, j = np.triu_indices(len(fp), 1)
-            least = np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
-            fits = np.minimum(n[i], n[j]) >= least
-            emit(fp[i[fits]], fp[j[fits]], np.minimum(SHARED, least[fits]))
+            fits = np.minimum(n[i], n[j]) >= np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
+            emit(fp[i[fits]], fp[j[fits]], True)
 
         last, fps, ns, many = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
@@ -400,17 +413,17 @@ def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
                 else:
                     fps, ns = np.concatenate([fps, fp[a:b]]), np.concatenate([ns, n[a:b]])
                 if len(fps) > few or many:
-                    emit(np.full(len(fps) - 1, fps[0]), fps[1:], np.zeros(len(fps) - 1))
+                    emit(np.full(len(fps) - 1, fps[0]), fps[1:], False)
                     fps, ns, many = fps[[0, -1]], ns[[0, -1]], True  # the first, and the last to tell repeats
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "is_pair"])
                 out, size = [], 0
         if len(fps) > 1 and not many:
             pairs(fps, ns)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "is_pair"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, need int")
+    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, is_pair boolean")
 
 
 def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
