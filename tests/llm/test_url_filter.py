@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,31 @@ def test_cascade_is_exact(spark):
     assert got.exceptAll(listed).isEmpty() and listed.exceptAll(got).isEmpty()
     assert len(cascade.levels) >= 2
     assert universe.where(Cascade.build(listed.limit(0), universe).contains(F.col("key"))).isEmpty()
+
+
+def test_hundreds_of_rule_shapes(spark):
+    """300 shapes over 20,000 urls: one expression for all of them, and every rule found."""
+    rng = random.Random(9)
+    hosts = ["a.org", "b.a.org", "c.b.a.org", "d.c.b.a.org"]
+    path = lambda n: "/" + "".join(rng.choice("xy") for _ in range(n - 1))
+    shapes = rng.sample([(h, n) for h in range(1, 5) for n in range(1, 101)], 300)
+    rules = {f"{'.'.join(hosts[3].split('.')[-h:]) if h > 1 else 'org'}{path(n)}": rng.choice(["block", "allow"]) for h, n in shapes}
+    assert len({(r.partition("/")[0].count("."), len(r) - r.index("/")) for r in rules}) == 300
+    listed = sorted(rules)
+    urls = []
+    for _ in range(20_000):
+        rule = rng.choice(listed)
+        host, tail = rule.split("/", 1)
+        sub = rng.choice(["", "", "www.", "q.r."])
+        cut = tail if rng.random() < 0.7 else tail[: rng.randrange(len(tail) + 1)]
+        urls.append(f"http://{sub}{host}/{cut}{rng.choice(['', 'xyxy', '?q', 'x' * 60])}")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(pages, rules).collect()}
+    took = time.time() - began
+    for i in range(0, 20_000, 7):
+        host, way, best, verdict = judge(urls[i], rules)
+        assert got[i][:2] == (host, way) and len(got[i][2] or "") == len(best or ""), urls[i]
+        if best is None or [r for r in rules if len(r) == len(best) and judge(urls[i], {r: ""})[2]] == [best]:
+            assert got[i][2:] == (best, verdict)
+    assert took < 25

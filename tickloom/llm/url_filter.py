@@ -24,15 +24,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def candidate_keys(host: Column, path: Column, rules: Sequence[str]) -> Column:
-    """Keys under which a rule could list the url, longest first: a suffix of whole labels of the
-    host and a prefix of the path, for every pair of lengths that some rule has."""
-    shapes = {(rule.partition("/")[0].count(".") + 1, len(rule) - rule.index("/")) for rule in rules}
-    keys = []
-    for labels, n in sorted(shapes):
-        fits = (F.size(F.split(host, r"\.", -1)) >= labels) & (F.length(path) >= n) & (host != "")
-        keys.append(F.when(fits, F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, n))))
-    longest = lambda a, b: F.length(b) - F.length(a)
-    return F.array_sort(F.array_compact(F.array(*keys)), longest)
+    """Keys under which a rule could list the url: a suffix of whole labels of the host and a prefix of the
+    path, for every pair of lengths that some rule has. The pairs are one array of numbers in the
+    plan and one expression over it, however many there are."""
+    shapes = sorted({(rule.partition("/")[0].count(".") + 1, len(rule) - rule.index("/")) for rule in rules})
+    pairs = F.arrays_zip(F.lit([n for n, _ in shapes]).alias("labels"), F.lit([n for _, n in shapes]).alias("n"))
+    fits = F.filter(pairs, lambda s: (s["labels"] <= F.size(F.split(host, r"\.", -1))) & (s["n"] <= F.length(path)))
+    key = lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.substring(path, F.lit(1), s["n"]))
+    return F.when(host != "", F.transform(fits, key)).otherwise(F.array().cast("array<string>"))
+
+
+def longest(keys: Column) -> Column:
+    """The longest of an array of keys, null if it is empty; of several the one of fewest labels."""
+    labels = lambda k: F.length(F.regexp_replace(F.substring_index(k, "/", 1), r"[^.]", ""))
+    return F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("size"), (-labels(k)).alias("labels"), k.alias("key"))))["key"]
 
 
 class Cascade:
@@ -127,7 +132,7 @@ def url_filter(pages: DataFrame, rules: dict[str, str], default: str = "allow",
     cascades = {v: Cascade.build(listed.where(F.col("verdict") == v).select("key"), universe, max_words) for v in sorted(set(rules.values()))}
     found = F.lit(None).cast("string")
     for verdict, cascade in cascades.items():
-        member = F.get(F.filter(F.col(keys), cascade.contains), F.lit(0))
+        member = longest(F.filter(F.col(keys), cascade.contains))
         found = F.when(F.coalesce(F.length(member), F.lit(0)) > F.coalesce(F.length(found), F.lit(0)), member).otherwise(found)
     pages = pages.withColumn("rule", found)
     verdict = F.lit(default)
