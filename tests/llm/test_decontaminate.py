@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tickloom.llm import decontaminate
 from tickloom.llm.decontaminate import contaminated, find_benchmark
 from tickloom.llm.queries import op10_decontaminate
 
@@ -71,3 +73,31 @@ def test_query_equals_brute_force(spark):
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), digest, hit > 0 and 20 * hit >= n)
     assert contaminated is not None
+
+
+def test_an_item_above_the_block_size_goes_in_pieces(spark):
+    """One long item, and many rows of one id: no block holds more than its size and a piece, and nothing is lost."""
+    rng = random.Random(6)
+    free = lambda n: " ".join(f"{rng.choice('abc')}{rng.randrange(9)}" for _ in range(n))
+    long = free(3000)
+    items = [("long", long), ("short", "a1 b2"), *[("same", free(40)) for _ in range(60)], ("wide", "x" * 5000 + " y z")]
+    parts = long.split(" ")
+    texts = [free(50) + " " + " ".join(parts[k : k + 25]) + " " + free(9) for k in range(0, 2950, 59)] + [items[5][1], "x" * 5000 + " y z", long, free(100)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    blocks = decontaminate._blocks(benchmark, 13, "item_id", "text", 4000, 1000)
+    sizes = [r.s for r in blocks.groupBy("block").agg(F.sum(F.octet_length("text")).alias("s")).collect()]
+    assert len(sizes) > 4 and max(s for s in sizes if s < 5000) <= 5000 and sorted(sizes)[-2] <= 5000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in find_benchmark(docs, benchmark, block_bytes=4000, piece_bytes=1000).collect()}
+    for i, (n, hit, found) in enumerate(brute(texts, items)):
+        assert (got[i].n_words, got[i].n_hit, got[i].item_ids) == (n, hit, sorted(found))
+
+
+def test_pieces_hold_every_window():
+    rng = random.Random(7)
+    for n in (1, 12, 13, 14, 100, 500):
+        words_ = [("w" * rng.randrange(1, 30) + str(i)).encode() for i in range(n)]
+        pieces = [p.split() for p in decontaminate.pieces_of(b" ".join(words_), 13, 200)]
+        grams = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+        assert set().union(*map(grams, pieces)) == grams(words_)
+        assert all(len(p) >= min(n, 13) for p in pieces)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, saved, union_spans, with_arrow_columns, with_row_key
+from tickloom.functions.scans import scan
+
+from .common import discard, kept, saved, union_spans, with_arrow_columns, with_row_key
 
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes of benchmark texts that one pass over the documents broadcasts at most.
 BLOCK_BYTES = 4_000_000
+#: Bytes of a piece of a longer item.
+PIECE_BYTES = 250_000
 
 
 class Patterns:
@@ -69,26 +74,25 @@ def tables_of(block: list[tuple[str, bytes]], window: int) -> list[Patterns]:
 
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """docs with n_words, n_hit, item_ids (strings, sorted as such) and hit_spans (word offsets of maximal hit runs).
 
     Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Every run of
     ``window`` words of an item is searched in every whole text; an item of fewer words is searched
-    as a whole, and one of none never occurs. Items go to the tasks in blocks of block_bytes, so what is
-    broadcast at once is bounded: a narrow pass over the documents for each, which with several
-    blocks writes the occurrences only, and a last pass that merges them.
+    as a whole, and one of none never occurs. Items go to the tasks in blocks, a narrow pass over the documents
+    for each, which with several blocks writes the occurrences only, and a last pass that merges
+    them. Long items are cut into pieces of ``piece_bytes`` that overlap by window - 1 words, and a
+    block ends with the piece that fills it, so what is broadcast at once has at most block_bytes and a
+    piece more, whatever one item or id has (a single longer word is a piece of its own).
 
     Null or empty text: no words. Items with null text or id are left out. Repeated items and rows
     count as they are; empty tables give no hits; other columns are kept, but n_words, n_hit,
     item_ids and hit_spans replace columns of these names.
     """
-    key, = with_row_key(benchmark, "block")
-    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull())
-    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
-    items = items.withColumn(key, F.pmod(F.xxhash64(item), F.lit(n_blocks))).select(key, F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
-    block = lambda k: sorted((r.item, r.text.encode()) for r in items.where(F.col(key) == k).select("item", "text").collect())
+    pieces = _blocks(benchmark, window, item, item_text, block_bytes, piece_bytes)
+    n_blocks = (pieces.agg(F.max("block")).first()[0] or 0) + 1
+    block = lambda k: sorted((r.item, bytes(r.text)) for r in pieces.where(F.col("block") == k).select("item", "text").collect())
     docs = docs.drop("n_words", "n_hit", "item_ids", "hit_spans")
     if n_blocks == 1:
         return _search(docs, block(0), window, text)
@@ -108,6 +112,42 @@ def find_benchmark(
     return out.drop(ids, spans)
 
 
+def _blocks(benchmark: DataFrame, window: int, item: str, text: str, block_bytes: int, piece_bytes: int) -> DataFrame:
+    """item, text (bytes) and block of the pieces of all items, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cut = list(pieces_of(body, window, piece_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(cut, pa.binary())], names=["item", "text"])
+
+    known = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull())
+    rows = known.select(F.col(item).cast("string").alias("item"), F.encode(F.col(text).cast("string"), "utf-8").alias("text"))
+    cut = saved(rows.mapInArrow(run, "item string, text binary").withColumns({"place": F.monotonically_increasing_id(), "size": F.octet_length("text").cast("long")}))
+    placed = scan(cut, "place", {"upto": ("sum", F.col("size"))})
+    out = saved(placed.select("item", "text", F.floor((F.col("upto") - F.col("size")) / block_bytes).cast("int").alias("block")))
+    discard(cut)
+    return out
+
+
+def pieces_of(text: bytes, window: int, piece_bytes: int) -> Iterator[bytes]:
+    """text whole, or if it is longer than a piece its words in pieces, each of which begins with the last
+    window - 1 words of the one before; so every run of window words is in one of them."""
+    if len(text) <= piece_bytes:
+        yield text
+        return
+    words, begin = WORDS.findall(text), 0
+    while begin < len(words):
+        end, size = begin, 0
+        while end < len(words) and (size + len(words[end]) < piece_bytes or end - begin < 2 * window):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[begin:end])
+        if end == len(words):
+            return
+        begin = end - window + 1
+
+
 def _columns(n_words: list[int], spans: tuple[np.ndarray, np.ndarray, np.ndarray], ids: pa.Array) -> list[pa.Array]:
     row, start, end = spans
     n_hit = np.bincount(row, end - start, minlength=len(n_words)).astype(np.int64)
