@@ -120,7 +120,7 @@ def test_vendor_columns_and_prices(spark):
     with pytest.raises(ValueError, match="trfd"):
         prices.VendorPrices(rows.drop("trfd"), use_trfd=True)
     with pytest.raises(TypeError):
-        files.read_by_suffix(spark, "/tmp/x.xls")
+        files.read_by_suffix(spark, "/tmp/x.ods")
 
 
 def test_workbooks(spark, tmp_path):

@@ -194,14 +194,16 @@ def header_detect(spark, sf_dir):
     return files.table_below_header(_sheet(spark, sf_dir))
 
 
-def _workbook(spark, sf_dir):
-    """A sheet as a file's path and content, as Spark's binaryFile source gives them."""
-    return workbooks.as_workbooks(_sheet(spark, sf_dir).select(F.lit("holdings.xlsx").alias("path"), "rid", "cells"))
+def _workbook(spark, rows):
+    """The path of a workbook file of one sheet with the rows (rid, cells)."""
+    path = f"{files.shared_folder(spark)}.xlsx"
+    files.write_bytes(spark, path, workbooks.as_workbooks(rows.withColumn("path", F.lit(path))).first().content)
+    return path
 
 
 @query
 def workbook_header_detect(spark, sf_dir):
-    return files.table_below_header(workbooks.workbook_rows(_workbook(spark, sf_dir)).select("rid", "cells"))
+    return files.holdings_sheet(spark, _workbook(spark, _sheet(spark, sf_dir)))
 
 
 @query
@@ -209,8 +211,8 @@ def workbook_plain(spark, sf_dir):
     part = panels.read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.col("p_size").cast("long")).alias("size"))
     cells = part.select(F.col("p_brand").alias("k"), F.array("p_brand", F.col("n").cast("string"), F.col("size").cast("string")).alias("cells"))
     head = spark.createDataFrame([(" ", ["(tic) Ticker Symbol", "n", "size"])], "k string, cells array<string>")
-    sheet = files.numbered(head.unionByName(cells), "k").select(F.lit("a.xlsx").alias("path"), "rid", "cells")
-    table, _ = files.short_names(workbooks.with_header(workbooks.workbook_rows(workbooks.as_workbooks(sheet))))
+    sheet = files.numbered(head.unionByName(cells), "k").select("rid", "cells")
+    table, _ = files.short_names(files.read_by_suffix(spark, _workbook(spark, sheet)))
     return table.select("tic", F.col("n").try_cast("double").alias("n"), F.col("size").try_cast("double").alias("size"))
 
 
@@ -523,7 +525,7 @@ def rebase(spark, sf_dir):
 
 
 def _bab(spark, sf_dir):
-    return BettingAgainstBeta(panels.benchmark_prices(spark, sf_dir).persist())
+    return BettingAgainstBeta(files.stored(panels.benchmark_prices(spark, sf_dir)))
 
 
 @query

@@ -45,6 +45,16 @@ def hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file of given content, such as a workbook."""
+    found, store = hadoop_path(spark, path)
+    out = store.create(found, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of stored(), once nothing reads them any more."""
     for df in tables:
@@ -99,7 +109,7 @@ def read_by_suffix(spark: SparkSession, path: str, schema: str | None = None) ->
         return spark.read.parquet(path)
     if suffix == "csv":
         return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
-    if suffix == "xlsx":
+    if suffix in ("xlsx", "xls"):
         return with_header(read_workbooks(spark, path))
     raise TypeError(f"unsupported file type: {suffix}")
 

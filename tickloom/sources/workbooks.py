@@ -1,4 +1,4 @@
-"""Workbooks (xlsx): rows of cells from files that Spark lists and reads, and back.
+"""Workbooks (xlsx and xls): rows of cells from files that Spark lists and reads, and xlsx back.
 
 A workbook is one file of bounded size, so a task parses it whole; many workbooks are many tasks.
 """
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .xls import SIGNATURE, parsed_xls
+
 #: Namespaces of the format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -60,12 +62,13 @@ def parsed(content: bytes, sheet: int = 0) -> Iterator[tuple[int, list[str | Non
 
 def workbook_rows(files: DataFrame, sheet: int = 0) -> DataFrame:
     """path, rid, cells of the rows of workbooks given as path and content, as Spark's binaryFile source
-    lists them."""
+    lists them. What a file is, xls or xlsx, is told by its first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                numbers, cells = zip(*parsed(content, sheet), strict=True) or ((), ())
+                rows = list((parsed_xls if content[:8] == SIGNATURE else parsed)(content, sheet))
+                numbers, cells = zip(*rows, strict=True) if rows else ((), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(numbers), pa.string()), pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["path", "rid", "cells"]
                 )
@@ -81,7 +84,10 @@ def read_workbooks(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
 def with_header(rows: DataFrame) -> DataFrame:
     """Named string columns of one sheet's rows (rid, cells): the first row has the names.
 
-    The header row alone is read at once, as a plan needs its column names."""
+    The header row alone is read at once, as a plan needs its column names. Rows of several files are
+    an error, as their columns may stand in another order."""
+    if "path" in rows.columns and rows.select("path").distinct().limit(2).count() > 1:
+        raise ValueError("the rows are of more than one workbook")
     first = rows.where(F.size("cells") > 0).orderBy("rid").select("rid", "cells").first()
     names = [(i, c) for i, c in enumerate(first.cells if first else []) if c is not None]
     below = rows.where(F.col("rid") > (first.rid if first else 0))
