@@ -23,6 +23,8 @@ SEED = 42
 FEW, COMMON, TILE = 32, 32, 1024
 #: Hashes that are told to come last, which is a matter of order only; rounds of looking for them.
 LATE, ROUNDS = 1_000_000, 6
+#: Hashes that a task counts at a time.
+COUNTED = 4_000_000
 #: Bytes of texts whose sets are made at once.
 SET_BYTES = 500_000
 _set_words, _set_shingles = Rolling(31), Rolling(32)
@@ -290,13 +292,27 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     """
     spark = docs.sparkSession
 
-    def prefixes(share: float, more: int, last: np.ndarray, whole: bool = False) -> DataFrame:
-        """The first hashes of every set; with ``whole`` all those that come before ``last`` of sets that have any of these."""
+    def prefixes(share: float, more: int, last: np.ndarray, counted: bool = False) -> DataFrame:
+        """The first hashes of every set, in an order in which ``last`` come last: key, fp and the set's size n.
+
+        With ``counted`` key and times instead, and beside the first hashes those others, of sets that have
+        any of ``last``, that a task sees in two sets or more: such sets tend to have more common ones."""
         held = spark.sparkContext.broadcast(last)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             late, seen = held.value, set()  # equal sets come once from a task
+            sure: list[np.ndarray] = []
+            other: list[np.ndarray] = []
+
+            def counts() -> pa.RecordBatch:
+                key, times = np.unique(np.concatenate([*sure, np.zeros(0, np.int64)]), return_counts=True)
+                too, often = np.unique(np.concatenate([*other, np.zeros(0, np.int64)]), return_counts=True)
+                too, often = too[often > 1], often[often > 1]
+                sure.clear()
+                other.clear()
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, too])), pa.array(np.concatenate([times, often]))], names=["key", "times"])
+
             for batch in batches:
                 for _, data, offsets in slices(batch, size=SET_BYTES):
                     key, first = shingle_sets(data, offsets, shingle)
@@ -313,22 +329,29 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
                     for i, x in enumerate(fp.tolist()):
                         fresh[i] = x not in seen
                         seen.add(x)
-                    most = np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more)
-                    if whole:
-                        most = np.where(n_late > 0, n - n_late, most)
-                    most = np.where(fresh, most, 0)
-                    take = np.arange(len(key)) - first[row] < most[row]
+                    most = np.where(fresh, np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more), 0)
+                    at = np.arange(len(key)) - first[row]
+                    take = at < most[row]
+                    if counted:
+                        sure.append(key[take])
+                        other.append(key[~take & (fresh & (n_late > 0))[row] & (at < (n - n_late)[row])])
+                        if sum(map(len, sure)) + sum(map(len, other)) > COUNTED:
+                            yield counts()
+                        continue
                     row = row[take]
                     yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(fp[row]), pa.array(n[row].astype(np.int32))], names=["key", "fp", "n"])
+            if sure:
+                yield counts()
 
-        return docs.select("text").mapInArrow(run, "key long, fp long, n int")
+        return docs.select("text").mapInArrow(run, "key long, times long" if counted else "key long, fp long, n int")
 
-    # hashes that move up when others come last can be common too: keys are counted anew until few are,
-    # and all other hashes of sets with common ones, as these tend to have more
+    # hashes that move up when others come last can be common too: keys are counted anew until few are
     last, n_sets = np.zeros(0, np.int64), sets.count()
     for k in range(ROUNDS):
-        counted = prefixes(*((1 - threshold, 1) if k else (1.25 * (1 - threshold), 3)), last, whole=True).groupBy("key").agg(F.count("*").alias("times"))
-        often = counted.where(F.col("times") > common).orderBy(F.desc("times"), "key").limit(LATE).toArrow()
+        first = (1 - threshold, 1) if k else (1.25 * (1 - threshold), 3)
+        counts = saved(prefixes(*first, last, counted=True).groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > common))
+        often = counts.orderBy(F.desc("times"), "key").limit(LATE).toArrow()
+        discard(counts)
         key, times = (often.column(c).to_numpy() for c in ("key", "times"))
         new = ~np.isin(key, last)
         if len(last) + int(new.sum()) > LATE or int(times[new].sum()) * 100 <= n_sets * (k > 0):
