@@ -56,9 +56,19 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def key_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """(column_name, present, data_type) of the wanted columns: what a source offers, from its schema alone."""
-    kinds = dict(df.dtypes)
-    return df.sparkSession.createDataFrame([(c, c in kinds, kinds.get(c)) for c in wanted], "column_name string, present boolean, data_type string")
+    """(column_name, present, data_type, n_values, n_null) of the wanted columns: what a source offers, and how
+    many distinct values and nulls those that it has hold, in one pass."""
+    kinds, have = dict(df.dtypes), [c for c in wanted if c in dict(df.dtypes)]
+    counted = df.agg(F.count("*").alias("n"), *[f(f"`{c}`").alias(f"{n}{i}") for i, c in enumerate(have) for n, f in (("d", F.count_distinct), ("k", F.count))])
+    none = F.lit(None).cast("long")
+    entries = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(c in kinds).alias("present"), F.lit(kinds.get(c)).cast("string").alias("data_type"),
+            (F.col(f"d{have.index(c)}") if c in kinds else none).alias("n_values"), (F.col("n") - F.col(f"k{have.index(c)}") if c in kinds else none).alias("n_null"),
+        )
+        for c in wanted
+    ]
+    return counted.select(F.inline(F.array(*entries)))
 
 
 def any_missing(df: DataFrame, *keys: str) -> DataFrame:

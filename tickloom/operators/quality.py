@@ -51,7 +51,10 @@ def verification_series(fund: DataFrame, index: DataFrame) -> DataFrame:
 def verify_index(fund: DataFrame, index: DataFrame, threshold: float = 0.0001) -> DataFrame:
     """One row: the largest and mean absolute difference of returns, whether all are within the
     threshold, both correlations, and missing values of the unaligned inputs."""
-    series = stored(verification_series(fund, index))
+    return _verified(stored(verification_series(fund, index)), fund, index, threshold)
+
+
+def _verified(series: DataFrame, fund: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     stats = series.agg(
         F.max("diff").alias("max_diff"), F.avg("diff").alias("mean_diff"), all_true(F.col("diff") <= threshold).alias("within_threshold"),
         pearson(F.col("fund_return"), F.col("index_return")).alias("pearson"), F.count("*").alias("n_days"),
@@ -73,7 +76,7 @@ def verification_record(fund: DataFrame, index: DataFrame, threshold: float = 0.
     nothing can be compared, error says why, differences are infinite, the rank correlation is 0 and
     the threshold is not met."""
     compared = stored(verification_series(fund, index))
-    record = verify_index(fund, index, threshold)
+    record = _verified(compared, fund, index, threshold)
     empty = (fund.agg(F.count("*")).scalar() == 0) | (index.agg(F.count("*")).scalar() == 0)
     error = F.when(empty, "empty data").when(F.col("n_days") == 0, "no common dates")
     none = error.isNotNull()

@@ -30,9 +30,9 @@ TABLES = {
     "vb": ((), f"""vb AS (SELECT p_brand AS ticker, date_trunc('week', l_shipdate)::DATE AS date,
         sum((l_extendedprice::{MONEY} * (1 - l_discount::{MONEY}))::DECIMAL(18,4))::DOUBLE / sum(l_quantity::{MONEY})::DOUBLE AS price_b
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' GROUP BY 1, 2)"""),
-    "sparse": (("daily",), f"""sparse AS (
-        SELECT t.ticker, c.date, d.adj_close FROM (SELECT DISTINCT ticker FROM daily WHERE {IN_BRANDS}) t
-        CROSS JOIN (SELECT DISTINCT date FROM daily WHERE {IN_BRANDS}) c LEFT JOIN daily d ON d.ticker = t.ticker AND d.date = c.date)"""),
+    "sparse": (("daily",), """sparse AS (
+        SELECT t.ticker, c.date, d.adj_close, d.volume FROM (SELECT DISTINCT ticker FROM daily) t
+        CROSS JOIN (SELECT DISTINCT date FROM daily) c LEFT JOIN daily d ON d.ticker = t.ticker AND d.date = c.date)"""),
     "ordinals": (("panel",), "ordinals AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS ordinal FROM (SELECT DISTINCT ticker FROM panel))"),
     "market_r": (("market",), "market_r AS (SELECT date, r AS market FROM (SELECT date, adj_close / lag(adj_close) OVER (ORDER BY date) - 1 AS r FROM market) WHERE r IS NOT NULL)"),
     "both_r": (("panel", "market_r"), """both_r AS (
@@ -127,11 +127,12 @@ PX = "ticker date:d adj_close:f"
 oracle("scan_filter_panel", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {RANGE} AND ticker <> 'Brand#3'")
 oracle("scan_half_open", "daily", f"{PX} volume:f", f"SELECT * FROM daily WHERE {IN_BRANDS} AND date >= DATE '1996-01-01' AND date < DATE '1997-12-31'")
 oracle("missing_tickers", "panel", "ticker", f"SELECT ticker FROM (VALUES ('Brand#3'), ('Brand#11'), ('Brand#24'), ('Brand#99')) v(ticker) WHERE ticker NOT IN (SELECT ticker FROM panel WHERE {RANGE})")
-oracle("panel_pivot", "panel", "date:d brand_3:f brand_11:f brand_24:f", f"""SELECT date, max(adj_close) FILTER (WHERE ticker = 'Brand#3') AS brand_3, max(adj_close) FILTER (WHERE ticker = 'Brand#11') AS brand_11,
-    max(adj_close) FILTER (WHERE ticker = 'Brand#24') AS brand_24 FROM panel WHERE {IN_BRANDS} GROUP BY date""")
-oracle("panel_unpivot", "daily", PX, f"SELECT * FROM daily WHERE {IN_BRANDS}")
-oracle("bulk_vendor_unpivot", "panel", f"{PX} volume:f", f"""SELECT t.ticker, c.date, adj_close, volume FROM (VALUES ('Brand#3'), ('Brand#11'), ('Brand#24')) t(ticker)
-    CROSS JOIN (SELECT DISTINCT date FROM panel WHERE {IN_BRANDS}) c LEFT JOIN panel p ON p.ticker = t.ticker AND p.date = c.date WHERE c.date >= DATE '1996-01-01' AND c.date < DATE '1997-12-31'""")
+ALL_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+WIDE = "SELECT date, " + ", ".join(f"max(adj_close) FILTER (WHERE ticker = '{b}') AS {b.replace('#', '_').lower()}" for b in ALL_BRANDS) + " FROM {} GROUP BY date"
+oracle("panel_pivot", "panel", "date:d " + " ".join(f"brand_{i}:f" for i in range(1, 26)), WIDE.format("panel"))
+oracle("panel_unpivot", "daily", "ticker date:d volume:f", "SELECT * FROM daily")
+oracle("bulk_vendor_unpivot", "panel", f"{PX} volume:f", """SELECT t.ticker, c.date, adj_close, volume FROM (SELECT 'Brand#' || i AS ticker FROM range(1, 26) r(i)) t
+    CROSS JOIN (SELECT DISTINCT date FROM panel) c LEFT JOIN panel p ON p.ticker = t.ticker AND p.date = c.date WHERE c.date >= DATE '1996-01-01' AND c.date < DATE '1997-12-31'""")
 oracle("csv_roundtrip", "panel", "ticker date:d volume:f", "SELECT * FROM panel")
 STATED_LINES = """(SELECT CASE WHEN l_returnflag = 'R' THEN 'C' WHEN l_returnflag = 'A' AND l_tax = 0 THEN 'B' END AS code, l_quantity = 1 AS undated, l_discount, l_quantity, l_shipdate FROM lineitem)"""
 oracle("csv_rejects", "", "kind code n total:f", f"""SELECT 'good' AS kind, '' AS code, count(*) AS n, sum(l_discount::{MONEY})::DOUBLE AS total FROM {STATED_LINES} WHERE code IS NULL AND NOT undated
@@ -150,10 +151,8 @@ oracle("ticker_remap", "", "ticker n", "SELECT CASE p_brand WHEN 'Brand#11' THEN
 oracle("header_detect", "held", "rid ticker weight:f", """SELECT 3 + row_number() OVER (ORDER BY k) AS rid, ticker, weight / 100 AS weight FROM (
     SELECT ticker AS k, ticker, round(weight, 4) AS weight FROM held UNION ALL SELECT 'Brand#19x', NULL, 1.0)""")
 oracle("universe_append", "", "ticker", "SELECT DISTINCT 'BR-' || translate(substr(p_brand, 7, 2), '0123456789', 'ABCDEFGHIJ') AS ticker FROM part UNION SELECT 'SPY'")
-oracle("profile_nulls", "daily", "column_name data_type n_rows n_null", f"""WITH w AS (SELECT date, max(adj_close) FILTER (WHERE ticker = 'Brand#3') AS a, max(adj_close) FILTER (WHERE ticker = 'Brand#11') AS b,
-    max(adj_close) FILTER (WHERE ticker = 'Brand#24') AS c FROM daily WHERE {IN_BRANDS} GROUP BY date)
-    SELECT 'date' AS column_name, 'date' AS data_type, count(*) AS n_rows, count(*) - count(date) AS n_null FROM w UNION ALL SELECT 'a', 'double', count(*), count(*) - count(a) FROM w
-    UNION ALL SELECT 'b', 'double', count(*), count(*) - count(b) FROM w UNION ALL SELECT 'c', 'double', count(*), count(*) - count(c) FROM w""")
+oracle("profile_nulls", "daily", "column_name data_type n_rows n_null", f"WITH w AS ({WIDE.format('daily')}) SELECT 'date' AS column_name, 'date' AS data_type, count(*) AS n_rows, count(*) - count(date) AS n_null FROM w "
+    + " ".join(f"UNION ALL SELECT 'brand_{i}', 'double', count(*), count(*) - count(brand_{i}) FROM w" for i in range(1, 26)))
 oracle("profile_topk", "daily", "ticker times", "SELECT ticker, count(*) AS times FROM daily GROUP BY 1 ORDER BY times DESC, ticker LIMIT 10")
 oracle("profile_summary", "daily", "first_date:d last_date:d n_keys n_rows", "SELECT min(date) AS first_date, max(date) AS last_date, count(DISTINCT ticker) AS n_keys, count(*) AS n_rows FROM daily")
 oracle("completeness", "daily", "ticker n_present complete_pct:f", "SELECT ticker, count(adj_close) AS n_present, 100.0::DOUBLE * count(adj_close) / (SELECT count(DISTINCT date) FROM daily) AS complete_pct FROM daily GROUP BY 1")
@@ -191,8 +190,8 @@ oracle("returns_nofill", "sparse", "ticker date:d r:f", "SELECT ticker, date, ad
 oracle("cum_vwap", "panel", "ticker date:d vwap:f", f"SELECT ticker, date, sum(adj_close * volume) {OVER} UNBOUNDED PRECEDING) / sum(volume) {OVER} UNBOUNDED PRECEDING) AS vwap FROM panel")
 oracle("cum_return", "panel", "ticker date:d cumulative:f", "SELECT ticker, date, adj_close / first_value(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS cumulative FROM panel QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date) > 1")
 oracle("drawdown", "panel", "ticker date:d drawdown:f", f"SELECT ticker, date, adj_close / max(adj_close) {OVER} UNBOUNDED PRECEDING) - 1 AS drawdown FROM panel")
-oracle("ffill_bfill", "sparse", "ticker date:d filled:f", f"""SELECT ticker, date, coalesce(last_value(adj_close IGNORE NULLS) {OVER} UNBOUNDED PRECEDING),
-    first_value(adj_close IGNORE NULLS) {OVER} BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM sparse""")
+oracle("ffill_bfill", "sparse", "ticker date:d filled:f", f"""SELECT ticker, date, coalesce(last_value(volume IGNORE NULLS) {OVER} UNBOUNDED PRECEDING),
+    first_value(volume IGNORE NULLS) {OVER} BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM sparse""")
 oracle("rebase", "panel", "ticker date:d multiple:f", "SELECT ticker, date, adj_close / first_value(adj_close) OVER (PARTITION BY ticker ORDER BY date) AS multiple FROM panel")
 oracle("beta_full", "both_r", "ticker beta:f n", "SELECT ticker, covar_samp(stock, market) / var_samp(market) AS beta, count(*) AS n FROM both_r GROUP BY 1")
 BETAS = """SELECT m.rebalance_date, r.ticker, r.beta FROM (
@@ -301,12 +300,12 @@ oracle("workbook_plain", "", "tic n:f size:f", "SELECT p_brand AS tic, count(*):
 oracle("vendor_from_file", "", f"{PX} volume:f", f"""SELECT 'ALL' AS ticker, l_shipdate::DATE AS date, max(l_extendedprice)::DOUBLE * max(l_discount)::DOUBLE AS adj_close, sum(l_quantity::{MONEY})::DOUBLE AS volume
     FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 2""")
 HALF_OPEN = "date >= DATE '1996-01-01' AND date < DATE '1997-12-31'"
-oracle("vendor_connector", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {IN_BRANDS} AND {HALF_OPEN}")
+oracle("vendor_connector", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {HALF_OPEN}")
 oracle("vendor_by_ticker", "panel", f"{PX} volume:f", f"SELECT * FROM panel WHERE {HALF_OPEN}")
 oracle("vendor_pushdown", "daily", "ticker n high:f volume:f", """SELECT ticker, count(*) AS n, max(adj_close) AS high, sum(volume) AS volume FROM daily
     WHERE date BETWEEN DATE '1996-04-01' AND DATE '1997-06-30' AND starts_with(ticker, 'Brand#1') GROUP BY 1""")
-oracle("benchmark_backfill", "panel market", PX, f"""SELECT ticker, date, adj_close FROM panel WHERE {IN_BRANDS} UNION ALL
-    SELECT 'SPY', date, adj_close FROM market WHERE date >= (SELECT min(date) FROM panel WHERE {IN_BRANDS}) AND date < (SELECT max(date) FROM panel WHERE {IN_BRANDS})""")
+oracle("benchmark_backfill", "panel market", PX, """SELECT ticker, date, adj_close FROM panel UNION ALL
+    SELECT 'SPY', date, adj_close FROM market WHERE date >= (SELECT min(date) FROM panel) AND date < (SELECT max(date) FROM panel)""")
 oracle("universe_by_header", "", "ticker", "SELECT DISTINCT replace(p_brand, '#', ' & ') AS ticker FROM part UNION SELECT 'SPY'")
 oracle("html_spans", "", "brand rid cells", """WITH sizes AS (SELECT p_brand AS brand, p_size AS size, count(*) AS n FROM part GROUP BY 1, 2)
     SELECT brand, 1 AS rid, 'Brand|Parts|Parts' AS cells FROM sizes GROUP BY 1 UNION ALL SELECT brand, 2, 'Brand|Size|N' FROM sizes GROUP BY 1
@@ -314,7 +313,9 @@ oracle("html_spans", "", "brand rid cells", """WITH sizes AS (SELECT p_brand AS
 oracle("ingest_prices", "panel", f"{PX} volume:f vwap:f", f"""SELECT * REPLACE (replace(ticker, '#', ' & ') AS ticker), sum(adj_close * volume) {OVER} UNBOUNDED PRECEDING) / sum(volume) {OVER} UNBOUNDED PRECEDING) AS vwap
     FROM (SELECT * FROM panel WHERE {RANGE})""")
 oracle("cache_roundtrip", "panel", PX, "SELECT * FROM panel")
-oracle("profile_keys", "", "column_name present data_type", "SELECT * FROM (VALUES ('ticker', true, 'string'), ('date', true, 'date'), ('adj_close', true, 'double'), ('cusip', false, NULL)) v(column_name, present, data_type)")
+oracle("profile_keys", "panel", "column_name present data_type n_values n_null", """SELECT 'ticker' AS column_name, true AS present, 'string' AS data_type, count(DISTINCT ticker) AS n_values, count(*) - count(ticker) AS n_null FROM panel
+    UNION ALL SELECT 'date', true, 'date', count(DISTINCT date), count(*) - count(date) FROM panel UNION ALL SELECT 'volume', true, 'double', count(DISTINCT volume), count(*) - count(volume) FROM panel
+    UNION ALL SELECT 'cusip', false, NULL, NULL, NULL""")
 oracle("cache_snapshots", "panel", "ticker n_before before:f n_after after:f", """SELECT ticker, count(*) AS n_before, sum(volume) AS before, nullif(count(*) FILTER (WHERE volume > 100), 0) AS n_after,
     sum(2 * volume) FILTER (WHERE volume > 100) AS after FROM panel GROUP BY 1""")
 oracle("any_missing", "sparse", "ticker adj_close", "SELECT ticker, bool_or(adj_close IS NULL) AS adj_close FROM sparse GROUP BY 1")
@@ -332,8 +333,10 @@ oracle("verify_record", "checked idx market", "max_diff:f mean_diff:f within_thr
     coalesce(bool_and(diff <= 0.01), true) AS within_threshold, corr(fr, ir) AS pearson, count(*) AS n_days, {RANKS.format("fr", "ir", "checked")} AS spearman, (SELECT count(*) - count(adj_close) FROM market) AS fund_missing,
     (SELECT count(*) - count(index_value) FROM idx) AS index_missing,
     (SELECT string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY diff DESC, date) FROM (SELECT * FROM checked ORDER BY diff DESC, date LIMIT 5)) AS worst_days, NULL::VARCHAR AS error FROM checked""")
-oracle("verify_nothing", "", "error within_threshold max_diff mean_diff spearman:f worst_days", """SELECT * FROM (VALUES ('empty data', false, 'Infinity', 'Infinity', 0.0::DOUBLE, ''), ('no common dates', false, 'Infinity', 'Infinity', 0.0::DOUBLE, ''))
-    v(error, within_threshold, max_diff, mean_diff, spearman, worst_days)""")
+oracle("verify_nothing", "checked", "error within_threshold max_diff mean_diff spearman:f worst_days", f"""SELECT * FROM (VALUES ('empty data', false, 'Infinity', 'Infinity', 0.0::DOUBLE, ''), ('no common dates', false, 'Infinity', 'Infinity', 0.0::DOUBLE, ''))
+    v(error, within_threshold, max_diff, mean_diff, spearman, worst_days)
+    UNION ALL SELECT NULL, coalesce(bool_and(diff <= 0.0001), true), printf('%.4f', max(diff)), printf('%.4f', avg(diff)), {RANKS.format("fr", "ir", "checked")},
+        (SELECT string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY diff DESC, date) FROM (SELECT * FROM checked ORDER BY diff DESC, date LIMIT 5)) FROM checked""")
 oracle("backtest_portfolio", "both_r market_r panel", "portfolio_id date:d cash:f", f"""WITH RECURSIVE listed AS (
         SELECT *, row_number() OVER (ORDER BY seq) AS i FROM (SELECT b.*, p.adj_close AS price FROM ({BAB}) b LEFT JOIN panel p USING (ticker, date)) WHERE date IN (SELECT date FROM panel)),
     run(i, date, cash, held) AS (

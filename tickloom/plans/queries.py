@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 START, END = "1996-01-01", "1997-12-31"
 BRANDS = ["Brand#3", "Brand#11", "Brand#24"]
+ALL_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -76,21 +77,21 @@ def missing_tickers(spark, sf_dir):
 
 @query
 def panel_pivot(spark, sf_dir):
-    wide = align.pivoted(panels.price_panel(spark, sf_dir), BRANDS)
-    return wide.toDF("date", *[b.replace("#", "_").lower() for b in BRANDS])
+    wide = align.pivoted(panels.price_panel(spark, sf_dir), ALL_BRANDS)
+    return wide.toDF("date", *[b.replace("#", "_").lower() for b in ALL_BRANDS])
 
 
 @query
 def panel_unpivot(spark, sf_dir):
-    return align.unpivoted(align.pivoted(panels.price_panel(spark, sf_dir, "day"), BRANDS))
+    return align.unpivoted(align.pivoted(panels.price_panel(spark, sf_dir, "day"), ALL_BRANDS, "volume"), "volume")
 
 
 @query
 def bulk_vendor_unpivot(spark, sf_dir):
-    long = panels.price_panel(spark, sf_dir).where(F.col("ticker").isin(BRANDS))
-    fields = [(b, f, c) for b in BRANDS for f, c in (("Adj Close", "adj_close"), ("Volume", "volume"))]
+    long = panels.price_panel(spark, sf_dir)
+    fields = [(b, f, c) for b in ALL_BRANDS for f, c in (("Adj Close", "adj_close"), ("Volume", "volume"))]
     wide = long.groupBy("date").agg(*[F.max(F.when(F.col("ticker") == b, F.col(c))).alias(f"{b}|{f}") for b, f, c in fields])
-    return prices.WidePrices(wide).read(BRANDS, START, END)
+    return prices.WidePrices(wide).read(ALL_BRANDS, START, END)
 
 
 @query
@@ -230,7 +231,7 @@ def vendor_from_file(spark, sf_dir):
 def vendor_connector(spark, sf_dir):
     path = files.shared_folder(spark)
     panels.price_panel(spark, sf_dir).write.parquet(path)
-    return prices.NetworkPrices(spark, path=path).read(BRANDS, START, END)
+    return prices.NetworkPrices(spark, path=path).read(ALL_BRANDS, START, END)
 
 
 @query
@@ -259,7 +260,7 @@ def vendor_pushdown(spark, sf_dir):
 def benchmark_backfill(spark, sf_dir):
     panel = panels.price_panel(spark, sf_dir)
     market = _Panel(panels.benchmark_prices(spark, sf_dir).withColumn("ticker", F.lit("SPY")))
-    return prices.with_benchmark(prices.with_benchmark(panel.where(F.col("ticker").isin(BRANDS)), market), market).select("ticker", "date", "adj_close")
+    return prices.with_benchmark(prices.with_benchmark(panel, market), market).select("ticker", "date", "adj_close")
 
 
 def _universe_pages(spark, sf_dir):
@@ -325,13 +326,14 @@ def universe_append(spark, sf_dir):
 
 @query
 def profile_nulls(spark, sf_dir):
-    wide = align.pivoted(panels.price_panel(spark, sf_dir, "day"), BRANDS).toDF("date", "a", "b", "c")
+    wide = align.pivoted(panels.price_panel(spark, sf_dir, "day"), ALL_BRANDS).toDF("date", *[b.replace("#", "_").lower() for b in ALL_BRANDS])
     return stats.null_counts(wide)
 
 
 @query
 def profile_keys(spark, sf_dir):
-    return stats.key_columns(panels.price_panel(spark, sf_dir), ["ticker", "date", "adj_close", "cusip"])
+    """Which key columns the panel offers, and how many values and gaps those have."""
+    return stats.key_columns(panels.price_panel(spark, sf_dir), ["ticker", "date", "volume", "cusip"])
 
 
 @query
@@ -481,7 +483,7 @@ def rolling_bands(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir):
-    return align.dense_grid(panels.price_panel(spark, sf_dir, "day").where(F.col("ticker").isin(BRANDS)).select("ticker", "date", "adj_close"))
+    return align.dense_grid(panels.price_panel(spark, sf_dir, "day").select("ticker", "date", "adj_close", "volume"))
 
 
 @query
@@ -512,8 +514,8 @@ def drawdown(spark, sf_dir):
 
 @query
 def ffill_bfill(spark, sf_dir):
-    forward = series.ffill(P("adj_close"), W())
-    return series.with_columns_over(_sparse(spark, sf_dir), {"filled": F.coalesce(forward, series.next_known(P("adj_close")))})
+    forward = series.ffill(P("volume"), W())
+    return series.with_columns_over(_sparse(spark, sf_dir), {"filled": F.coalesce(forward, series.next_known(P("volume")))})
 
 
 @query
@@ -710,11 +712,12 @@ def verify_record(spark, sf_dir):
 
 @query
 def verify_nothing(spark, sf_dir):
-    """Records of an empty fund and of an index on other dates."""
+    """Records of an empty fund and of an index on other dates, beside that of the same two on their own dates."""
     fund, index = panels.benchmark_prices(spark, sf_dir), _index(spark, sf_dir)
     apart = index.withColumn("date", F.date_add("date", 1))
-    records = [quality.verification_record(a, b).select("error", "within_threshold", "max_diff", "mean_diff", "spearman", "worst_days") for a, b in ((fund.limit(0), index), (fund, apart))]
-    return _record(records[0].unionByName(records[1])).withColumns({c: P(c).cast("string") for c in ("max_diff", "mean_diff")})
+    records = [quality.verification_record(a, b).select("error", "within_threshold", "max_diff", "mean_diff", "spearman", "worst_days") for a, b in ((fund.limit(0), index), (fund, apart), (fund, index))]
+    infinite = lambda c: F.when(P(c) == float("inf"), "Infinity").otherwise(F.format_string("%.4f", P(c)))
+    return _record(reduce(DataFrame.unionByName, records)).withColumns({c: infinite(c) for c in ("max_diff", "mean_diff")})
 
 
 @query
