@@ -27,15 +27,13 @@ def test_automaton_reads_substrings_only():
 
 
 def phrases(text, learnt):
-    """Greedy longest matches, cut at block borders."""
-    n = 0
-    for lo in range(0, len(text), BLOCK):
-        part, at = text[lo : lo + BLOCK], 0
-        while at < len(part):
-            size = 1
-            while at + size < len(part) and part[at : at + size + 1] in learnt and part[at : at + 1] in learnt:
-                size += 1
-            n, at = n + 1, at + size
+    """Greedy longest matches."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in learnt and text[at : at + 1] in learnt:
+            size += 1
+        n, at = n + 1, at + size
     return n
 
 
@@ -49,6 +47,35 @@ def test_phrase_counts_equal_brute_force():
     assert isinstance(model.parsers[0], CrossParser)
 
 
+def test_phrases_go_on_over_the_borders_of_blocks():
+    """One phrase longer than several blocks, phrases that end anywhere, and rows that end at a border."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("abc") for _ in range(k)).encode()
+    learnt = word(3000)
+    rows = [learnt[100:2900], learnt[:BLOCK], learnt[7 : 2 * BLOCK + 7] + b"zz" + learnt[5 : 3 * BLOCK], b"z" * (BLOCK + 1), b"", learnt[BLOCK - 3 :] + learnt[: BLOCK + 3]]
+    rows += [b"".join(learnt[i : i + rng.randrange(1, 900)] for i in [rng.randrange(2900) for _ in range(12)]) for _ in range(5)] + [word(5000)]
+    model = Model([("x", learnt), ("y", word(2000))])
+    cost = model.costs(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+    for k, text in enumerate([learnt, None]):
+        for i, row in enumerate(rows):
+            if text is not None:
+                assert round(cost[i, k] / model.parsers[k].weight) == phrases(row, text), i
+    assert round(cost[0, 0] / model.parsers[0].weight) == 1
+
+
+def test_the_sample_is_of_whole_texts(spark):
+    rows = [("en", f"text {i} " + "word " * (i % 50)) for i in range(300)] + [("de", "lang " * 2000), ("fr", "mot " * 9000), ("fr", "beau " * 50_000), ("xx", "y" * 1_000_001), ("es", "12 3"), (None, "no"), ("it", "uno"), ("it", "uno")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    samples = dict(train(docs))
+    assert sorted(samples) == ["de", "en", "fr", "it"]
+    assert samples["de"] == b"lang " * 2000 and samples["fr"] == b"mot " * 9000 and samples["it"] == b"uno "
+    assert all(s == s.strip() + b" " for s in samples.values()) and len(samples["en"]) <= 48_000
+
+
 def test_scores_do_not_depend_on_neighbours(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
     samples = train(docs)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import kept, with_arrow_columns
 
-#: Labelled documents of a language, and bytes of each, that are looked at; bytes of normalised text kept.
-SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_BYTES = 200, 1_000, 48_000
-#: Phrases end at the borders of blocks of so many symbols of a text, so that blocks are parsed side by side.
+#: Labelled documents of a language that are learnt from at most, the bytes up to which they are taken by
+#: hash alone, those up to which one is taken at all, and the bytes of normalised text that all have at most.
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST_BYTES, TRAIN_BYTES = 200, 1_000, 1_000_000, 48_000
+#: Symbols of a text that are parsed in one lane, side by side with the others.
 BLOCK = 512
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = True
@@ -82,8 +83,13 @@ class CrossParser:
                 self.table[(state + 1) * n_classes + classes[c]] = (to + 1) * n_classes
         self.weight = float(np.log2(len(text) + 2))
 
-    def phrase_starts(self, lanes: np.ndarray) -> np.ndarray:
-        """lanes: symbols, one block a column."""
+    def phrase_starts(self, lanes: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """Where phrases start. lanes: symbols, one block a column; goes_on: blocks that go on with the text of
+        the column before.
+
+        Every block is first parsed as if a phrase started with it. Then each goes on with the phrase that
+        is open at the end of the one before, up to the first start that both ways have in common,
+        from which on they agree. Where a block has none, the next one is parsed again."""
         out = np.empty(lanes.shape, bool)
         state = np.zeros(lanes.shape[1], np.int32)
         for t in range(len(lanes)):
@@ -92,6 +98,24 @@ class CrossParser:
             starts = onward == 0 if t else np.ones(len(symbol), bool)
             out[t] = starts
             state = np.where(starts, self.table[self.n + symbol], onward)
+        alone, end, todo = out.copy(), state, np.flatnonzero(goes_on)
+        while len(todo):
+            lane, state = todo, end[todo - 1]
+            out[:, todo] = alone[:, todo]
+            for t in range(len(lanes)):
+                symbol = lanes[t, lane]
+                onward = self.table[state + symbol]
+                starts = onward == 0
+                apart = ~(starts & alone[t, lane])
+                state = np.where(starts, self.table[self.n + symbol], onward)[apart]
+                out[t, lane] = starts
+                lane = lane[apart]
+                if not len(lane):
+                    break
+            end[lane] = state
+            todo = lane + 1
+            todo = todo[todo < len(goes_on)]
+            todo = todo[goes_on[todo]]
         return out
 
 
@@ -105,8 +129,7 @@ class Model:
         self.parsers = [CrossParser(text, classes, len(seen) + 1) for _, text in samples]
 
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits to name each row's phrases, by language. Blocks are counted from each row's own start, so
-        a row costs the same whatever rows stand beside it."""
+        """Bits to name each row's phrases, by language. Rows are parsed each by itself and whole."""
         size = np.diff(offsets)
         lanes = -(-size // BLOCK)
         first = np.concatenate([[0], np.cumsum(lanes)])
@@ -116,37 +139,42 @@ class Model:
         symbols = np.zeros(int(first[-1]) * BLOCK, np.int32)
         symbols[np.arange(len(data)) + np.repeat(begin - offsets[:-1], size)] = self.classes[data]
         symbols = np.ascontiguousarray(symbols.reshape(-1, BLOCK).T)
+        goes_on = np.ones(int(first[-1]), bool)
+        goes_on[first[:-1][lanes > 0]] = False
         out = np.empty((len(size), len(self.langs)))
         for k, parser in enumerate(self.parsers):
             starts = np.zeros(symbols.size + 1, np.int64)
-            np.cumsum(parser.phrase_starts(symbols).T.reshape(-1), out=starts[1:])
+            np.cumsum(parser.phrase_starts(symbols, goes_on).T.reshape(-1), out=starts[1:])
             out[:, k] = (starts[begin + size] - starts[begin]) * parser.weight
         return out
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """Normalised text of each non-null language: of SAMPLE_DOCS documents, chosen by a hash of their
-    text, the first SAMPLE_BYTES, or so many that all together have TRAIN_BYTES: the longer ones are
-    cut to one length. Sorted by language; languages without text are left out."""
-    snippet = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_BYTES).alias("text")
-    )
-    first = snippet.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= SAMPLE_DOCS)
+    """Normalised whole texts of documents of each non-null language: at most SAMPLE_DOCS of them, which together
+    have at most TRAIN_BYTES. Those of up to SAMPLE_BYTES come first, by a hash of their text, then
+    longer ones by size; the first is taken whatever it has, but for ones of over LONGEST_BYTES. Sorted
+    by language; languages without text are left out."""
+    size = F.octet_length(F.col(text).cast("string"))
+    known = docs.where(F.col(lang).isNotNull() & (size > 0) & (size <= LONGEST_BYTES)).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"), size.alias("size"))
+    known = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(SAMPLE_BYTES)), "h", "text"))).where(F.col("k") <= SAMPLE_DOCS)
+    # texts that can't be among the first TRAIN_BYTES stay where they are
+    upto = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("before") <= 2 * TRAIN_BYTES)
     by_lang: dict[str, list[tuple[int, bytes]]] = {}
-    for row in first.collect():
-        by_lang.setdefault(row.lang, []).append((row.h, row.text.encode()))
+    for row in known.select("lang", "k", "text").collect():
+        by_lang.setdefault(row.lang, []).append((row.k, row.text.encode()))
     out = []
     for name, texts in sorted(by_lang.items()):
-        parts = []
-        for _, raw in sorted(set(texts)):
+        kept_, seen = b"", set()
+        for _, raw in sorted(texts):
             data, _ = normalised(np.frombuffer(raw + b" ", np.uint8), np.array([0, len(raw) + 1]))
-            parts.append(data.tobytes())
-        sizes = np.sort([len(x) for x in parts])
-        left = TRAIN_BYTES - np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        level = int((left // np.arange(len(sizes), 0, -1))[left >= 0].max(initial=0))
-        text = b"".join(x[:level] for x in parts)
-        if LETTERS[np.frombuffer(text, np.uint8)].any():
-            out.append((name, text))
+            data = data.tobytes()
+            if data in seen or kept_ and len(kept_) + len(data) > TRAIN_BYTES:
+                continue
+            seen.add(data)
+            kept_ += data
+        if LETTERS[np.frombuffer(kept_, np.uint8)].any():
+            out.append((name, kept_))
     return out
 
 
@@ -160,7 +188,7 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text: s
     Every whole text is parsed against every language's text; the language that needs the fewest
     bits (phrases times the bits that name a place in its text) wins, the first in order on ties.
     lang_score is one less the ratio of the best to the second best cost (1.0 with one language).
-    The samples are broadcast: TRAIN_BYTES a language.
+    The samples are broadcast: TRAIN_BYTES a language, or one longer text.
 
     Null, empty or letterless text, or no samples: ``und`` with score 0. Repeated rows stay; an
     empty table gives an empty result; other columns are kept, but lang_pred and lang_score
