@@ -18,8 +18,8 @@ SAMPLE = 4096
 LEAST = 1024
 #: Members of a bucket whose pairs one task compares at once; larger buckets are compared in tiles.
 TILE = 1024
-#: Hash tables at most.
-TABLES = 200
+#: Hash tables at most; where more would be needed for the recall asked for, that is an error.
+TABLES = 400
 
 
 class Quantiser:
@@ -80,16 +80,18 @@ def table_masks(n: int, bits: int, changed: np.ndarray, missed: float = 0.01, mo
     Keys have about log2(n) - 5 bits, so that buckets of unrelated vectors keep their size as n
     grows. Tables are added until no more than ``missed`` of the pairs whose codes differ in the bits
     ``changed`` agree on no key; as these are whole codes, tables that fail together are counted so.
-    At ``most`` tables are made: beyond some 1e9 vectors a lower recall is taken for that.
+    Needing more than ``most`` tables is an error: codes of more bits, or a larger ``missed``, need fewer.
     """
     width = min(bits, max(1, math.ceil(math.log2(max(2, n))) - 5))
     rng, out, left = np.random.default_rng(seed), [], changed
     order: list[int] = list(range(bits))
-    while not out or (len(left) > missed * len(changed) and len(out) < most):
+    while not out or len(left) > missed * len(changed):
+        if len(out) >= most:
+            raise ValueError(f"{most} tables miss {len(left) / len(changed):.3f} of the pairs at the threshold among {n} vectors; {missed} is asked for")
         for i in range(0, bits - width + 1, width):
             out.append(sum(1 << b for b in order[i : i + width]))
             left = left[(left & np.uint64(out[-1])) != 0]
-            if len(left) <= missed * len(changed) or len(out) >= most:
+            if len(left) <= missed * len(changed):
                 break
         order = rng.permutation(bits).tolist()
     return out
@@ -101,7 +103,7 @@ def signed(mask: int) -> int:
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-    bits: int = 64, missed: float = 0.01, sample: int = SAMPLE, tile: int = TILE,
+    bits: int = 64, missed: float = 0.01, sample: int = SAMPLE, tile: int = TILE, tables: int = TABLES,
 ) -> DataFrame:
     """vectors with n_links, component_id and kept.
 
@@ -111,7 +113,7 @@ def near_duplicates(
     pair below the threshold links. A pair counts in the first table only in which it meets. Equal
     vectors, told by 96 bits of hash, are one node with a count. The rotation, and the number of tables
     that misses a share ``missed`` of pairs at the threshold, are learnt from ``sample`` vectors and made-up
-    partners of theirs; all vectors are indexed, at any number in the same way.
+    partners of theirs; all vectors are indexed, at any number in the same way. Needing over ``tables`` is an error.
 
     Buckets of over ``tile`` vectors are cut into tiles, and each pair of tiles is one group, so a
     bucket with many of all rows is spread. A bucket gives one row a member, not its pairs.
@@ -142,7 +144,7 @@ def near_duplicates(
         quantiser = Quantiser(np.vstack([drawn, beside]), bits)
         changed = quantiser.codes(drawn) ^ quantiser.codes(beside)
         radius = int(np.quantile(np.bitwise_count(changed), 0.999, method="higher"))
-        c, s = _links(spark, own, quantiser, threshold, table_masks(n_nodes, bits, changed, missed), radius, tile)
+        c, s = _links(spark, own, quantiser, threshold, table_masks(n_nodes, bits, changed, missed, tables), radius, tile)
         counts, edges = counts.union(c), edges.union(s)
     found = components(edges)
     counts = counts.groupBy("node").agg(F.sum("n").alias("n"))
