@@ -23,8 +23,10 @@ SEED = 42
 FEW, COMMON, TILE = 32, 32, 1024
 #: Hashes that are told to come last, which is a matter of order only; rounds of looking for them.
 LATE, ROUNDS = 1_000_000, 6
+#: Comparisons for each set up to which new common hashes are few.
+PER_SET = 1000
 #: Hashes that a task counts at a time.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Bytes of texts whose sets are made at once.
 SET_BYTES = 500_000
 _set_words, _set_shingles = Rolling(31), Rolling(32)
@@ -354,9 +356,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
         discard(counts)
         key, times = (often.column(c).to_numpy() for c in ("key", "times"))
         new = ~np.isin(key, last)
-        if len(last) + int(new.sum()) > LATE or int(times[new].sum()) * 100 <= n_sets * (k > 0):
-            break
         last = np.union1d(last, key[new])
+        # what comparing the sets of each new one in pairs would cost
+        if len(last) >= LATE or float((times[new].astype(float) ** 2).sum()) <= PER_SET * n_sets:
+            break
     keys = prefixes(1 - threshold, 1, last)
     found = saved(_pairs(keys, threshold, few))
     pairs = saved(found.where("is_pair").select("u", "v").distinct())
