@@ -30,6 +30,8 @@ SHARD_BYTES = 32_000_000
 BLOCK = 512
 #: Query terms, over all queries, that are broadcast at a time; more queries are searched in several passes over the index.
 QUERY_TERMS = 200_000
+#: Tasks at most that one pass of a search has.
+MOST_TASKS = 20_000
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The same for columns; a class of what terms hold, as negated classes are read differently by engines.
@@ -247,7 +249,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, item_id: str = "it
     """
     spark = index.sparkSession
     shards = index.where("term IS NULL")
-    stats = shards.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("l")).first()
+    stats = shards.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("l"), F.count("*").alias("shards")).first()
+    # a task for each shard, as its work depends on the queries and not on the bytes that it reads
+    tasks = max(1, min(stats.shards, MOST_TASKS))
     corpus = Corpus(stats.n, stats.l)
     asked = saved(queries.select(F.monotonically_increasing_id().alias("query"), F.col(f"`{item_id}`").alias("item_id"), query_terms(text).alias("terms")))
     times = saved(asked.select("query", F.explode("terms").alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")))
@@ -264,7 +268,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, item_id: str = "it
             room = query_terms_at_once
         passes[-1].append(row.query)
         room -= row.n_terms
-    found = [_one_pass(index, weighted, p[0], p[-1], corpus, k) for p in passes if p]
+    found = [_one_pass(index, weighted, p[0], p[-1], corpus, k, tasks) for p in passes if p]
     if not found:
         schema = asked.select("item_id").schema.add("rank", "integer").add("doc_id", "long").add("score", "long")
         return spark.createDataFrame([], schema)
@@ -282,7 +286,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, item_id: str = "it
     return out
 
 
-def _one_pass(index: DataFrame, weighted: DataFrame, first: int, last: int, corpus: Corpus, k: int) -> DataFrame:
+def _one_pass(index: DataFrame, weighted: DataFrame, first: int, last: int, corpus: Corpus, k: int, tasks: int) -> DataFrame:
     """query, shard, doc_id and score of each shard's best documents for the queries from first to last."""
     spark = index.sparkSession
     queries: dict[int, list[tuple[str, int]]] = defaultdict(list)
@@ -291,8 +295,8 @@ def _one_pass(index: DataFrame, weighted: DataFrame, first: int, last: int, corp
             queries[row.query].append((row.term, row.weight))
     sent = spark.sparkContext.broadcast(dict(queries))
     terms = spark.createDataFrame([(t,) for t in sorted({t for q in queries.values() for t, _ in q})], "term string")
-    asked = index.where("term IS NOT NULL").join(F.broadcast(terms), "term", "left_semi").select("shard", "term", "lasts", "sizes", "data")
-    shards = index.where("term IS NULL").select(F.col("shard").alias("of"), F.col("data").alias("lengths"), F.col("ids").alias("doc_ids"))
+    asked = index.where("term IS NOT NULL").join(F.broadcast(terms), "term", "left_semi").select("shard", "term", "lasts", "sizes", "data").repartition(tasks, "shard")
+    shards = index.where("term IS NULL").select(F.col("shard").alias("of"), F.col("data").alias("lengths"), F.col("ids").alias("doc_ids")).repartition(tasks, "of")
 
     def run(key: tuple, postings: pa.Table, documents: pa.Table) -> pa.Table:
         found = list(search_shard(postings.to_pylist(), documents.to_pylist()[0], corpus, sent.value, k)) if postings.num_rows else []
