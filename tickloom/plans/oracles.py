@@ -327,6 +327,12 @@ oracle("template_strategy", "panel ordinals", ORDERS, """SELECT 'template' AS po
     FROM (SELECT ticker, min(date) AS date FROM panel GROUP BY 1) JOIN ordinals USING (ticker)""")
 oracle("template_engine", "panel", "portfolio_id date:d portfolio_value:f", """SELECT 'template' AS portfolio_id, date, 1000000 - sum(spent) OVER (ORDER BY date) AS portfolio_value FROM (
     SELECT date, sum(adj_close) AS spent FROM panel p WHERE date = (SELECT min(date) FROM panel q WHERE q.ticker = p.ticker) GROUP BY 1)""")
+oracle("template_fills", "panel ordinals", "portfolio_id ticker date:d quantity:f", """WITH RECURSIVE firsts AS (SELECT ticker, min(date) AS date FROM panel GROUP BY 1),
+    listed AS (SELECT ticker, date, adj_close AS price, row_number() OVER (ORDER BY date, ordinal) AS i FROM firsts JOIN panel USING (ticker, date) JOIN ordinals USING (ticker)),
+    run(i, ticker, date, cash, filled) AS (
+        SELECT 0::BIGINT, NULL::VARCHAR, NULL::DATE, 100000.0::DOUBLE, false UNION ALL
+        SELECT l.i, l.ticker, l.date, CASE WHEN r.cash >= l.price * 3 THEN r.cash - l.price * 3 ELSE r.cash END, r.cash >= l.price * 3 FROM run r JOIN listed l ON l.i = r.i + 1)
+    SELECT 'template' AS portfolio_id, ticker, date, 3.0::DOUBLE AS quantity FROM run WHERE filled""")
 oracle("metrics_display", "returns_reversion values_reversion", "portfolio_id cumulative_return volatility", """SELECT portfolio_id, printf('%.4f%%', (product(1 + r) - 1) * 100) AS cumulative_return, printf('%.2f', stddev_samp(r) * sqrt(252.0)) AS volatility
     FROM returns_reversion GROUP BY 1""")
 oracle("verify_record", "checked idx market", "max_diff:f mean_diff:f within_threshold pearson:f n_days spearman:f fund_missing index_missing worst_days error", f"""SELECT max(diff) AS max_diff, avg(diff) AS mean_diff,

@@ -659,6 +659,13 @@ def template_engine(spark, sf_dir):
     return templates.TemplateEngine(1_000_000).run(templates.TemplateStrategy(1).orders(panel), panel).values
 
 
+@query
+def template_fills(spark, sf_dir):
+    """Which of all tickers' orders are filled, in the list's order, with cash for about half of them."""
+    panel = kept_panel(spark, sf_dir)
+    return templates.TemplateEngine(100_000).run(templates.TemplateStrategy(3).orders(panel), panel).holdings
+
+
 @query
 def metrics_display(spark, sf_dir):
     result, _ = _reversion(spark, sf_dir)
