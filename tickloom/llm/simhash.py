@@ -294,11 +294,12 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     """
     spark = docs.sparkSession
 
-    def prefixes(share: float, more: int, last: np.ndarray, counted: bool = False) -> DataFrame:
+    def prefixes(share: float, more: int, last: np.ndarray, counted: int = 0) -> DataFrame:
         """The first hashes of every set, in an order in which ``last`` come last: key, fp and the set's size n.
 
-        With ``counted`` key and times instead, and beside the first hashes those others, of sets that have
-        any of ``last``, that a task sees in two sets or more: such sets tend to have more common ones."""
+        With ``counted`` key and times instead, of hashes that are in so many of the sets that a task counts
+        at a time, and beside the first hashes of sets that have any of ``last`` those others that are
+        in two or more: such sets tend to have more common ones."""
         held = spark.sparkContext.broadcast(last)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +310,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
 
             def counts() -> pa.RecordBatch:
                 key, times = np.unique(np.concatenate([*sure, np.zeros(0, np.int64)]), return_counts=True)
+                key, times = key[times >= counted], times[times >= counted]
                 too, often = np.unique(np.concatenate([*other, np.zeros(0, np.int64)]), return_counts=True)
                 too, often = too[often > 1], often[often > 1]
                 sure.clear()
@@ -350,8 +352,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     # hashes that move up when others come last can be common too: keys are counted anew until few are
     last, n_sets = np.zeros(0, np.int64), sets.count()
     for k in range(ROUNDS):
+        # a count in the first round is exact; later ones, for hashes further back, look for those that tasks see twice
         first = (1 - threshold, 1) if k else (1.25 * (1 - threshold), 3)
-        counts = saved(prefixes(*first, last, counted=True).groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > common))
+        counts = saved(prefixes(*first, last, counted=2 if k else 1).groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > common))
         often = counts.orderBy(F.desc("times"), "key").limit(LATE).toArrow()
         discard(counts)
         key, times = (often.column(c).to_numpy() for c in ("key", "times"))
