@@ -218,6 +218,22 @@ def test_fractions_of_a_share_read_as_fractions_of_the_portfolio(spark):
     assert [r.quantity for r in got] == [100_000 / 8 / 10] * 2
 
 
+def test_the_legs_of_long_lists_stay_apart(spark):
+    """Over 100,000 holdings: every BUY still stands before every SELL, and no place is taken twice."""
+    names = spark.range(100_005).select(F.format_string("T%06d", "id").alias("ticker"))
+    panel = names.withColumn("date", F.explode(F.array(F.lit(day(0)), F.lit(day(1))))).withColumn("adj_close", F.lit(0.5))
+    orders = WeightedHold(names.withColumn("weight", F.lit(1.0)), cash=1e9).orders(panel)
+    got = orders.agg(F.max(F.when(F.col("side") == "BUY", F.col("seq"))).alias("buy"), F.min(F.when(F.col("side") == "SELL", F.col("seq"))).alias("sell"), F.count_distinct("seq").alias("n")).first()
+    assert got.buy < got.sell and got.n == 2 * 100_005
+
+
+def test_orders_snap_to_the_next_day_with_trade(spark):
+    panel = panel_of(spark, A=[10.0, 20.0, 30.0, 40.0]).where(F.col("date") != day(1))
+    orders = orders_of(spark, (1, "BUY", "A", 1, "shares"), (0, "BUY", "A", 2, "shares"), (9, "BUY", "A", 1, "shares"))
+    assert values(EquityEngine(100, "sorted").run(orders, panel)) == [100, 140, 160]
+    assert values(EquityEngine(100, "snap").run(orders, panel)) == [100, 140, 170]
+
+
 def test_metrics(spark):
     panel = panel_of(spark, A=[10.0, 20.0, 10.0, 15.0])
     result = EquityEngine(100).run(orders_of(spark, (0, "BUY", "A", 10, "shares"), (2, "SELL", "A", 5, "shares")), panel)

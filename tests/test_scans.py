@@ -62,6 +62,14 @@ def test_scan_by_keys_of_unequal_length_and_decimals(spark):
         assert r.v == sum(j % 7 for j in range(r.i + 1)) and (r.was is None) == (r.i == 0)
 
 
+def test_ranges_are_of_numbers_and_times(spark):
+    df = spark.createDataFrame([("a", 1)], "name string, n int")
+    with pytest.raises(TypeError, match="name is string"):
+        scans.scan(df, "name", {"s": ("sum", F.col("n"))})
+    with pytest.raises(TypeError, match="name is string"):
+        scans.average_ranks(df, "name")
+
+
 def test_scan_of_nothing(spark):
     df = spark.createDataFrame([], "date date, x double")
     assert scans.scan(df, "date", {"s": ("sum", F.col("x")), "g": ("lag", F.col("x"))}).collect() == []

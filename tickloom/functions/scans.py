@@ -26,6 +26,8 @@ def with_range(df: DataFrame, order: str, ranges: int = RANGES, name: str = "ran
     The borders are quantiles, looked up at once: ``ranges`` values at most. Null is before all."""
     shares = [i / ranges for i in range(1, ranges)]
     kind = dict(df.dtypes)[order]
+    if not kind.startswith(("date", "timestamp", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        raise TypeError(f"ranges are of numbers, dates or timestamps; {order} is {kind}")
     number = F.unix_date(order) if kind == "date" else F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.col(order)
     borders = sorted(set(df.agg(F.percentile_approx(number, shares, 10_000).alias("b")).first().b or []))
     at_or_below = F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= number) if borders else F.array()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
+from functools import cache
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException, PythonException
@@ -19,13 +22,21 @@ from .workbooks import read_workbooks, with_header
 TICKER_SPELLING = {"BRK.B": "BRK-B", "BF.B": "BF-B", "-": "USD"}
 
 
+@cache
+def _local_folder() -> str:
+    """One temporary folder for a process on a local master; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where the cluster's executors share files. Where none is set: a temporary one on a
     local master, as in tests; on a cluster, whose executors could not see that, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = base or _local_folder()
     return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
