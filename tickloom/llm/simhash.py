@@ -278,6 +278,11 @@ def with_set(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame
     return with_arrow_columns(docs, "fp long", compute, text)
 
 
+def keys_shared(n: np.ndarray) -> np.ndarray:
+    """How many keys a set of n hashes shares with a similar one: few for small sets, whose keys would else be all their hashes."""
+    return np.clip(n // 25, 1, 8)
+
+
 def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shingle: int = 5, few: int = FEW, common: int = COMMON) -> DataFrame:
     """(u, v): links of distinct sets (``fp``) that connect just those connected by pairs with a Jaccard
     similarity of at least threshold, counted over the whole sets.
@@ -285,11 +290,12 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     docs: row_a, row_b and text; sets: row_a, row_b and fp, of the same rows, from with_set. Sets of
     hashes are made from the texts whenever they are needed and never stored for all documents.
 
-    In any one order of all hashes, two such sets share one of the first n - ceil(threshold * n) + 1 of
-    each, n being its own size: those are the keys, and sets that share a key are candidates, so none
-    is missed. In the order, hashes found in over ``common`` texts come last. So a passage that many
-    texts share gives keys only to those of which it is all but a part of 1 - threshold. Keys with up
-    to ``few`` sets give all pairs. The sets of larger ones, with all that these are joined to by
+    In any one order of all hashes, two such sets share k (if they share so many at all) of the first
+    n - ceil(threshold * n) + k of each, n being its own size, for any k: those are the keys, and sets that
+    share k keys, or one large one, are candidates, so none is missed. k follows the size (keys_shared):
+    the smaller of two sets tells it. In the order, hashes found in over ``common`` texts come last. So a
+    passage that many texts share gives keys only to those of which it is about three quarters or more.
+    Keys with up to ``few`` sets give all pairs. The sets of larger ones, with all that these are joined to by
     further large keys, are compared in pairs of tiles, each pair of sets once, however many keys it shares.
     """
     spark = docs.sparkSession
@@ -333,7 +339,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
                     for i, x in enumerate(fp.tolist()):
                         fresh[i] = x not in seen
                         seen.add(x)
-                    most = np.where(fresh, np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + more), 0)
+                    most = np.where(fresh, np.minimum(n, np.floor(n * share + 1e-9).astype(np.int64) + keys_shared(n) + more), 0)
                     at = np.arange(len(key)) - first[row]
                     take = at < most[row]
                     if counted:
@@ -353,7 +359,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     last, n_sets = np.zeros(0, np.int64), sets.count()
     for k in range(ROUNDS):
         # a count in the first round is exact; later ones, for hashes further back, look for those that tasks see twice
-        first = (1 - threshold, 1) if k else (1.25 * (1 - threshold), 3)
+        first = (1 - threshold, 0) if k else (1.25 * (1 - threshold), 2)
         counts = saved(prefixes(*first, last, counted=2 if k else 1).groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > common))
         often = counts.orderBy(F.desc("times"), "key").limit(LATE).toArrow()
         discard(counts)
@@ -363,10 +369,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
         # what comparing the sets of each new one in pairs would cost
         if len(last) >= LATE or float((times[new].astype(float) ** 2).sum()) <= PER_SET * n_sets:
             break
-    keys = prefixes(1 - threshold, 1, last)
+    keys = prefixes(1 - threshold, 0, last)
     found = saved(_pairs(keys, threshold, few))
-    pairs = saved(found.where("is_pair").select("u", "v").distinct())
-    large = saved(found.where("NOT is_pair").select("u", "v"))
+    pairs = saved(found.where("need > 0").groupBy("u", "v", "need").count().where("count >= need").select("u", "v"))
+    large = saved(found.where("need = 0").select("u", "v").distinct())
     discard(found)
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(large.select("u")).union(large.select("v")).distinct()
     own = _sets_of(docs, sets, nodes, shingle)
@@ -399,23 +405,24 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -
 
 
 def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
-    """(u, v, is_pair): pairs of sets of one key whose sizes allow the threshold. The sets of a key with
-    over ``few`` are only named as one group, by links to the first of them that are no pairs; what a
-    task holds of a key is bounded by ``few``."""
+    """(u, v, need): pairs of sets of one key whose sizes allow the threshold, and the keys that such a
+    pair shares at least. The sets of a key with over ``few`` are only named as one group, by links to
+    the first of them with need 0; what a task holds of a key is bounded by ``few``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
         size = 0
 
-        def emit(u: np.ndarray, v: np.ndarray, is_pair: bool) -> None:
+        def emit(u: np.ndarray, v: np.ndarray, need: np.ndarray) -> None:
             nonlocal size
-            out.append([u, v, np.full(len(u), is_pair)])
+            out.append([u, v, need.astype(np.int32)])
             size += len(u)
 
         def pairs(fp: np.ndarray, n: np.ndarray) -> None:
             i, j = np.triu_indices(len(fp), 1)
-            fits = np.minimum(n[i], n[j]) >= np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
-            emit(fp[i[fits]], fp[j[fits]], True)
+            least = np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
+            fits = np.minimum(n[i], n[j]) >= least
+            emit(fp[i[fits]], fp[j[fits]], np.minimum(keys_shared(np.minimum(n[i], n[j])), least)[fits])
 
         last, fps, ns, many = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
@@ -442,17 +449,17 @@ def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
                 else:
                     fps, ns = np.concatenate([fps, fp[a:b]]), np.concatenate([ns, n[a:b]])
                 if len(fps) > few or many:
-                    emit(np.full(len(fps) - 1, fps[0]), fps[1:], False)
+                    emit(np.full(len(fps) - 1, fps[0]), fps[1:], np.zeros(len(fps) - 1))
                     fps, ns, many = fps[[0, -1]], ns[[0, -1]], True  # the first, and the last to tell repeats
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "is_pair"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
                 out, size = [], 0
         if len(fps) > 1 and not many:
             pairs(fps, ns)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "is_pair"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, is_pair boolean")
+    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, need int")
 
 
 def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
