@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, saved
 
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 BLOCK = 512
+#: Rows of a batch of an index.
+ROWS = 20_000
 #: Query terms, over all queries, that are broadcast at a time; more queries are searched in several passes over the index.
 QUERY_TERMS = 200_000
 #: Tasks at most that one pass of a search has.
@@ -101,10 +103,12 @@ def shard_rows(shard: str, ids: list[int | None], texts: list[bytes]) -> Iterato
     lists = lambda values: pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(values, pa.int32()))
     bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(terms), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
     n = len(terms)
-    yield pa.RecordBatch.from_arrays(
+    rows = pa.RecordBatch.from_arrays(
         [pa.array([shard] * n), pa.array([t.decode() for t in terms]), pa.array(df, pa.int64()), pa.nulls(n, pa.int64()), lists(lasts), lists(block_sizes), bytes_.cast(pa.binary()), pa.nulls(n, pa.binary())],
         schema=INDEX_TYPES,
     )
+    for at in range(0, n, ROWS):
+        yield rows.slice(at, ROWS)
 
 
 INDEX = "shard string, term string, df long, n_terms long, lasts array<int>, sizes array<int>, data binary, ids binary"
