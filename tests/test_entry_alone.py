@@ -26,6 +26,13 @@ def test_without_folders_and_pipeline(tmp_path):
     assert set(queries) == set(oracles) == set(QUERIES)
 
 
+def test_core_tests_run_without_the_folders(tmp_path):
+    folder = copy(tmp_path, "llm", "corpus_pipeline.py")
+    wanted = ["tests/test_xls.py::test_all_kinds_of_cells", "tests/test_queries.py::test_query_equals_sql[scan_filter_panel]", "tests/test_queries.py::test_entry"]
+    done = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider", *wanted], cwd=folder, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout[-2000:]
+
+
 def test_without_the_folders_only(tmp_path):
     from tickloom.plans.queries import QUERIES
 
