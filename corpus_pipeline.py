@@ -36,7 +36,8 @@ def row_hashes(docs: DataFrame) -> list[Column]:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents linked by a Jaccard similarity of 0.8 or more of their sets of
     five-word shingles one row: the one with the smallest doc_id (null last), set hash and row
-    hash. Groups are told apart by their sets, not their ids, so unlike texts of one or no doc_id
+    hash. Links are found as op6 does, by SimHash fingerprints in BK-trees over key shards, within a radius
+    that 0.8 needs, and then counted over the whole sets. Groups are told apart by their sets, not their ids, so unlike texts of one or no doc_id
     all stay."""
     keyed = docs.select("doc_id", "text", *row_hashes(docs))
     sets = saved(with_set(keyed, 5).drop("text"))

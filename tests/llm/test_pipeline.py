@@ -159,3 +159,33 @@ def test_a_phrase_in_all_texts_compares_none_of_them(spark, results, monkeypatch
     docs = spark.createDataFrame(rows, results[0].schema).repartition(6)
     assert corpus_pipeline.STAGES[1][1](spark, docs, SF).count() == 3000
     assert sum(groups) + sum(pairs) < 30
+
+
+def test_only_sets_with_near_fingerprints_are_compared(spark, results, monkeypatch):
+    """Pairs of texts that share a phrase meet by a common key; those whose SimHashes are far apart go no further."""
+    import numpy as np
+
+    from tickloom.llm import simhash
+
+    pairs = []
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda own, found, *a: pairs.extend(map(tuple, found.collect())) or verified(own, found, *a))
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    texts = []
+    for _ in range(400):
+        phrase = words(8)
+        texts += [words(16) + " " + phrase + " " + words(16) for _ in range(2)]
+    for _ in range(100):
+        base = words(40)
+        texts += [base, base + " more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], results[0].schema).repartition(6)
+    got = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()}
+    assert got == {i for i in range(1000) if i < 800 or i % 2 == 0}
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hashes, first = simhash.shingle_sets(data, np.cumsum([0, *map(len, texts)]), 5)
+    ones = [(hashes[a:b].view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(0) * 2 > b - a for a, b in zip(first[:-1], first[1:], strict=True)]
+    bits = dict(zip(simhash._set_hashes(hashes, first).tolist(), ones, strict=True))
+    apart = [int((bits[u] != bits[v]).sum()) for u, v in pairs]
+    # the phrases alone would give some 200 further pairs, half of them more than 30 of 64 bits apart
+    assert len([d for d in apart if d < 12]) >= 100 and len([d for d in apart if d > 30]) < 25

@@ -84,3 +84,47 @@ def test_shards_cut_again_lose_no_link(spark):
         ours = [got.get(v, v) for v in values]
         theirs = groups([v & (2**64 - 1) for v in values])
         assert len(set(zip(ours, theirs, strict=True))) == len(set(ours)) == len(set(theirs))
+
+
+def test_search_of_sets_loses_no_similar_pair():
+    """The exact chance that a bit differs, for all small sets with a Jaccard similarity of 0.8 or more."""
+    from math import comb
+
+    from tickloom.llm.simhash import MISS, near_pairs, safe_radius
+
+    def set_in_most(ones, n):
+        return 2 * ones > n
+
+    def differs(both, a, b):
+        chance = [[comb(n, k) / 2**n for k in range(n + 1)] for n in (both, a, b)]
+        return sum(
+            x * y * z
+            for i, x in enumerate(chance[0]) for j, y in enumerate(chance[1]) for k, z in enumerate(chance[2])
+            if set_in_most(i + j, both + a) != set_in_most(i + k, both + b)
+        )
+
+    radius = safe_radius(0.8)
+    most = max(differs(n - n // 5, a, n // 5 - a) for n in range(5, 60) for a in range(n // 5 + 1))
+    assert sum(comb(128, k) * most**k * (1 - most) ** (128 - k) for k in range(radius + 1, 129)) < MISS
+    assert radius < 64 - 5 and safe_radius(0.95) < radius < safe_radius(0.6)
+    rng = random.Random(8)
+    values = [rng.getrandbits(128) for _ in range(40)]
+    values += [v ^ (1 << rng.randrange(128)) for v in values] + values[:5]
+    pairs = {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 57}
+    found = list(zip(*near_pairs(values, 57), strict=True))
+    assert set(found) == pairs and len(found) == len(pairs)
+
+
+def test_prints_of_sets():
+    from tickloom.llm.common import mix
+    from tickloom.llm.simhash import set_prints, shingle_sets
+
+    texts = ["", "a b c", "a b c d e f g h", "A b c d  e f g h a b c d e f g h", "x y z " * 50]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hashes, first = shingle_sets(data, np.cumsum([0, *map(len, texts)]), 5)
+    high, low = (x.view(np.uint64).tolist() for x in set_prints(hashes, first))
+    for k in range(len(texts)):
+        own = hashes[first[k] : first[k + 1]].view(np.uint64)
+        assert len(set(own.tolist())) == len(own)
+        for got, values in ((high[k], own.tolist()), (low[k], mix(own).tolist())):
+            assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in values) > len(values))

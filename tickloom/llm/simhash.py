@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    IS_SPACE, LOWER, Rolling, components, discard, local_components, release, saved, slices, span_hashes, spans, with_arrow_columns, with_row_key,
+    IS_SPACE, LOWER, Rolling, components, discard, local_components, mix, release, saved, slices, span_hashes, spans, with_arrow_columns, with_row_key,
 )
 
 #: Fingerprints of one shard that a tree holds; larger shards are cut by further bits.
 SHARD = 512
 SEED = 42
-#: Sets of a key that give all their pairs at once; sets with a hash from which on it comes last;
+#: Sets of a key that one tree takes; sets with a hash from which on it comes last;
 #: sets of a larger group that one task compares with as many others.
 FEW, COMMON, TILE = 32, 32, 1024
 #: Hashes that are told to come last, which is a matter of order only; rounds of looking for them.
@@ -27,6 +28,8 @@ LATE, ROUNDS = 1_000_000, 6
 PER_SET = 1000
 #: Hashes that a task counts at a time.
 COUNTED = 1_000_000
+#: Bits of a set's SimHash, and the chance of a similar pair to lie beyond the radius of the search.
+PRINT_BITS, MISS = 128, 1e-10
 #: Bytes of texts whose sets are made at once.
 SET_BYTES = 500_000
 _set_words, _set_shingles = Rolling(31), Rolling(32)
@@ -65,7 +68,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: in
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = SEED) -> np.ndarray:
     """A 64-bit fingerprint for each row of text bytes."""
-    hashes, first = shingle_hashes(data, offsets, shingle, seed)
+    return majority(*shingle_hashes(data, offsets, shingle, seed))
+
+
+def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row of hashes the bits that are set in over half of them; none for a row without any."""
     n_shingles = np.diff(first)
     full = np.flatnonzero(n_shingles)
     out = np.zeros(len(n_shingles), np.uint64)
@@ -97,17 +104,22 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", name
 class BKTree:
     """Children hang on edges labelled with their Hamming distance to the parent."""
 
-    def __init__(self, values: list[int]) -> None:
-        self.values = values
-        self.edges: list[dict[int, int]] = [{} for _ in values]
-        for i in range(1, len(values)):
-            at, value = 0, values[i]
-            while (to := self.edges[at].setdefault((values[at] ^ value).bit_count(), i)) != i:
-                at = to
+    def __init__(self, values: Iterable[int] = ()) -> None:
+        self.values: list[int] = []
+        self.edges: list[dict[int, int]] = []
+        for value in values:
+            self.add(value)
+
+    def add(self, value: int) -> None:
+        i, at = len(self.values), 0
+        self.values.append(value)
+        self.edges.append({})
+        while at != i:
+            at = self.edges[at].setdefault((self.values[at] ^ value).bit_count(), i)
 
     def within(self, value: int, radius: int) -> Iterator[int]:
         """Indexes of values at most radius away; only edges that can lead to one are followed."""
-        todo = [0]
+        todo = [0] if self.values else []
         while todo:
             at = todo.pop()
             d = (self.values[at] ^ value).bit_count()
@@ -120,15 +132,22 @@ class BKTree:
                 todo += [edges[label] for label in range(d - radius, d + radius + 1) if label in edges]
 
 
+def near_pairs(values: Iterable[int], radius: int) -> tuple[list[int], list[int]]:
+    """Indexes, the smaller ones first, of each pair of values at most radius apart, from a tree that each joins after its search."""
+    tree = BKTree()
+    u: list[int] = []
+    v: list[int] = []
+    for i, value in enumerate(values):
+        near = list(tree.within(value, radius))
+        u += near
+        v += [i] * len(near)
+        tree.add(value)
+    return u, v
+
+
 def linked(values: np.ndarray, radius: int) -> np.ndarray:
     """For each of the distinct values the index of one that stands for all it is linked with here."""
-    tree = BKTree(values.view(np.uint64).tolist())
-    u, v = [], []
-    for i, value in enumerate(tree.values):
-        for j in tree.within(value, radius):
-            if j < i:
-                u.append(i)
-                v.append(j)
+    u, v = near_pairs(values.view(np.uint64).tolist(), radius)
     return local_components(len(values), np.array(u, np.int64), np.array(v, np.int64))
 
 
@@ -269,6 +288,28 @@ def _set_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(raw[8 * a : 8 * b], SEED) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)), np.uint64, len(first) - 1).view(np.int64)
 
 
+def set_prints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each set of hashes, of PRINT_BITS bits in two longs; every hash counts once, however often its shingle stands in the text."""
+    hashes = hashes.view(np.uint64)
+    return majority(hashes, first).view(np.int64), majority(mix(hashes), first).view(np.int64)
+
+
+def _prints(high: np.ndarray, low: np.ndarray) -> list[int]:
+    return [a << 64 | b for a, b in zip(high.view(np.uint64).tolist(), low.view(np.uint64).tolist(), strict=True)]
+
+
+def safe_radius(threshold: float, bits: int = PRINT_BITS, miss: float = MISS) -> int:
+    """The least radius beyond which the SimHashes of two sets with a Jaccard similarity of threshold lie with a chance of less than miss.
+
+    The bits of a hash are independent, so the bits that differ are binomial. One differs with the
+    chance that the sets' angle gives, and by rounding in sets of a few hashes at most sqrt(pi / 2) times as often."""
+    differs = min(0.5, math.sqrt(math.pi / 2) * math.acos(2 * threshold / (1 + threshold)) / math.pi)
+    beyond, radius = 0.0, bits
+    while radius and (more := beyond + math.comb(bits, radius) * differs**radius * (1 - differs) ** (bits - radius)) < miss:
+        beyond, radius = more, radius - 1
+    return radius
+
+
 def with_set(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
     """docs and ``fp``, a 64-bit hash of the set of each text's shingles; null and blank texts have the empty set."""
 
@@ -290,18 +331,23 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     docs: row_a, row_b and text; sets: row_a, row_b and fp, of the same rows, from with_set. Sets of
     hashes are made from the texts whenever they are needed and never stored for all documents.
 
+    Pairs are found by SimHash: a BK-tree over each shard of sets with a common key gives those whose
+    fingerprints, of 128 bits of their distinct shingles, are within safe_radius(threshold), and only these are counted.
+    Keys stand in for op6's blocks of equal bits: at 0.8 about a bit in seven differs, so blocks wide enough to
+    tell sets apart would miss similar ones. A pair lies beyond the radius with a chance of less than MISS.
+
     In any one order of all hashes, two such sets share k (if they share so many at all) of the first
     n - ceil(threshold * n) + k of each, n being its own size, for any k: those are the keys, and sets that
-    share k keys, or one large one, are candidates, so none is missed. k follows the size (keys_shared):
+    share k keys, or one large one, meet in a tree, so the keys miss none. k follows the size (keys_shared):
     the smaller of two sets tells it. In the order, hashes found in over ``common`` texts come last. So a
     passage that many texts share gives keys only to those of which it is about three quarters or more.
-    Keys with up to ``few`` sets give all pairs. The sets of larger ones, with all that these are joined to by
-    further large keys, are compared in pairs of tiles, each pair of sets once, however many keys it shares.
+    Keys with up to ``few`` sets are a shard each. The sets of larger ones, with all that these are joined to by
+    further large keys, are one shard, searched in pairs of tiles, each pair of sets once, however many keys it shares.
     """
-    spark = docs.sparkSession
+    spark, radius = docs.sparkSession, safe_radius(threshold)
 
     def prefixes(share: float, more: int, last: np.ndarray, counted: int = 0) -> DataFrame:
-        """The first hashes of every set, in an order in which ``last`` come last: key, fp and the set's size n.
+        """The first hashes of every set, in an order in which ``last`` come last: key, fp, the set's size n and its SimHash.
 
         With ``counted`` key and times instead, of hashes that are in so many of the sets that a task counts
         at a time, and beside the first hashes of sets that have any of ``last`` those others that are
@@ -327,6 +373,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
                 for _, data, offsets in slices(batch, size=SET_BYTES):
                     key, first = shingle_sets(data, offsets, shingle)
                     fp, n = _set_hashes(key, first), np.diff(first)
+                    high, low = (None, None) if counted else set_prints(key, first)
                     row, n_late = np.repeat(np.arange(len(n)), n), np.zeros(len(n), np.int64)
                     if len(late):
                         place = np.minimum(np.searchsorted(late, key), len(late) - 1)
@@ -349,11 +396,12 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
                             yield counts()
                         continue
                     row = row[take]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(fp[row]), pa.array(n[row].astype(np.int32))], names=["key", "fp", "n"])
+                    columns = {"key": key[take], "fp": fp[row], "n": n[row].astype(np.int32), "high": high[row], "low": low[row]}
+                    yield pa.RecordBatch.from_pydict({name: pa.array(column) for name, column in columns.items()})
             if sure:
                 yield counts()
 
-        return docs.select("text").mapInArrow(run, "key long, times long" if counted else "key long, fp long, n int")
+        return docs.select("text").mapInArrow(run, "key long, times long" if counted else "key long, fp long, n int, high long, low long")
 
     # hashes that move up when others come last can be common too: keys are counted anew until few are
     last, n_sets = np.zeros(0, np.int64), sets.count()
@@ -370,7 +418,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
         if len(last) >= LATE or float((times[new].astype(float) ** 2).sum()) <= PER_SET * n_sets:
             break
     keys = prefixes(1 - threshold, 0, last)
-    found = saved(_pairs(keys, threshold, few))
+    found = saved(_pairs(keys, threshold, few, radius))
     pairs = saved(found.where("need > 0").groupBy("u", "v", "need").count().where("count >= need").select("u", "v"))
     large = saved(found.where("need = 0").select("u", "v").distinct())
     discard(found)
@@ -378,13 +426,13 @@ def similar_links(docs: DataFrame, sets: DataFrame, threshold: float = 0.8, shin
     own = _sets_of(docs, sets, nodes, shingle)
     links = _verified(own, pairs, threshold)
     if not large.isEmpty():
-        links = links.union(_compared(own, components(large), threshold))
+        links = links.union(_compared(own, components(large), threshold, radius))
     discard(own, pairs, large)
     return links
 
 
 def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(fp, shingles) of the nodes, from one text for each."""
+    """(fp, shingles, high, low) of the nodes, from one text for each."""
     # copies, however many, are one row before they meet the nodes
     one = sets.groupBy("fp").agg(F.min(F.struct("row_a", "row_b")).alias("one")).join(nodes, F.col("fp") == F.col("node"), "left_semi")
     one = one.select(F.col("fp").alias("own"), F.col("one.row_a").alias("own_a"), F.col("one.row_b").alias("own_b"))
@@ -398,66 +446,73 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, shingle: int) -
                 seen.add(fp)
             for part, data, offsets in slices(batch.filter(pa.array(fresh, pa.bool_())), size=SET_BYTES):
                 hashes, first = shingle_sets(data, offsets, shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes))], names=["fp", "shingles"])
+                held = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([part.column(0), held, *map(pa.array, set_prints(hashes, first))], names=["fp", "shingles", "high", "low"])
 
     texts = docs.select("row_a", "row_b", "text").join(one, (F.col("row_a") == F.col("own_a")) & (F.col("row_b") == F.col("own_b")))
-    return saved(texts.select("own", "text").mapInArrow(run, "fp long, shingles array<long>"))
+    return saved(texts.select("own", "text").mapInArrow(run, "fp long, shingles array<long>, high long, low long"))
 
 
-def _pairs(keys: DataFrame, threshold: float, few: int) -> DataFrame:
-    """(u, v, need): pairs of sets of one key whose sizes allow the threshold, and the keys that such a
-    pair shares at least. The sets of a key with over ``few`` are only named as one group, by links to
-    the first of them with need 0; what a task holds of a key is bounded by ``few``."""
+def _pairs(keys: DataFrame, threshold: float, few: int, radius: int) -> DataFrame:
+    """(u, v, need): pairs of sets of one key that its BK-tree finds within radius and whose sizes allow the
+    threshold, and the keys that such a pair shares at least. The sets of a key with over ``few`` are only
+    named as one group, by links to the first of them with need 0; what a task holds of a key is bounded by ``few``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = []
-        size = 0
-
-        def emit(u: np.ndarray, v: np.ndarray, need: np.ndarray) -> None:
-            nonlocal size
-            out.append([u, v, need.astype(np.int32)])
-            size += len(u)
-
-        def pairs(fp: np.ndarray, n: np.ndarray) -> None:
-            i, j = np.triu_indices(len(fp), 1)
-            least = np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
-            fits = np.minimum(n[i], n[j]) >= least
-            emit(fp[i[fits]], fp[j[fits]], np.minimum(keys_shared(np.minimum(n[i], n[j])), least)[fits])
-
-        last, fps, ns, many = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        near: list[tuple] = []  # two sets, each with its size
+        named: list[tuple[int, int]] = []
+
+        def search(held: list[tuple[int, int, int]]) -> None:
+            for i, j in zip(*near_pairs((x[2] for x in held), radius), strict=True):
+                near.append(held[i][:2] + held[j][:2])
+
+        def rows() -> pa.RecordBatch:
+            u, n, v, m = np.array(near, np.int64).reshape(-1, 4).T
+            least = np.ceil(threshold * np.maximum(n, m) - 1e-9)
+            fits = np.minimum(n, m) >= least
+            need = np.minimum(keys_shared(np.minimum(n, m)), least)[fits]
+            first, other = np.array(named, np.int64).reshape(-1, 2).T
+            near.clear()
+            named.clear()
+            need = np.concatenate([need, np.zeros(len(first))]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[fits], first])), pa.array(np.concatenate([v[fits], other])), pa.array(need)], names=["u", "v", "need"])
+
+        last, held, many = None, [], False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp, n = (batch.column(i).to_numpy() for i in range(3))
+            key, fp, n, high, low = (batch.column(i).to_numpy() for i in range(5))
             # sorted: sets that several tasks have sent come once
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            new[0] = not (key[0] == last and len(fps) and fps[-1] == fp[0])
-            key, fp, n = key[new], fp[new], n[new].astype(np.int64)
+            new[0] = not (key[0] == last and held and held[-1][0] == fp[0])
+            key = key[new]
             if not len(key):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            end = np.concatenate([begin[1:], [len(key)]])
+            size = np.diff(np.concatenate([begin, [len(key)]]))
             # keys of one set, but for the first and last of a batch, have no pair
-            stay = end - begin > 1
+            stay = size > 1
             stay[[0, -1]] = True
-            for a, b in zip(begin[stay].tolist(), end[stay].tolist(), strict=True):
-                if key[a] != last:
-                    if len(fps) > 1 and not many:
-                        pairs(fps, ns)
-                    last, fps, ns, many = key[a], fp[a:b], n[a:b], False
+            of = np.flatnonzero(new)[np.repeat(stay, size)]
+            sets = list(zip(fp[of].tolist(), n[of].tolist(), _prints(high[of], low[of]), strict=True))
+            end = np.cumsum(size[stay]).tolist()
+            for k, a, b in zip(key[begin[stay]].tolist(), [0, *end], end, strict=False):
+                if k != last:
+                    if len(held) > 1 and not many:
+                        search(held)
+                    last, held, many = k, sets[a:b], False
                 else:
-                    fps, ns = np.concatenate([fps, fp[a:b]]), np.concatenate([ns, n[a:b]])
-                if len(fps) > few or many:
-                    emit(np.full(len(fps) - 1, fps[0]), fps[1:], np.zeros(len(fps) - 1))
-                    fps, ns, many = fps[[0, -1]], ns[[0, -1]], True  # the first, and the last to tell repeats
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
-                out, size = [], 0
-        if len(fps) > 1 and not many:
-            pairs(fps, ns)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "need"])
+                    held += sets[a:b]
+                if len(held) > few or many:
+                    named += [(held[0][0], x[0]) for x in held[1:]]
+                    held, many = [held[0], held[-1]], True  # the first, and the last to tell repeats
+            if len(near) + len(named) > 50_000:
+                yield rows()
+        if len(held) > 1 and not many:
+            search(held)
+        if near or named:
+            yield rows()
 
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long, need int")
 
@@ -471,22 +526,34 @@ def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return saved(both.where(alike).select("u", "v"))
 
 
-def _compared(own: DataFrame, clusters: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """(u, v): links of the sets within each component of clusters (node, component)."""
+def _compared(own: DataFrame, clusters: DataFrame, threshold: float, radius: int, tile: int = TILE) -> DataFrame:
+    """(u, v): links of the sets within each component of clusters (node, component): of those that the
+    BK-tree of a tile finds within radius, the ones whose whole sets have the similarity."""
     clusters = saved(clusters)
     tiles = clusters.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     members = saved(clusters.join(tiles, "component").join(own, F.col("node") == F.col("fp")).select(
-        "component", "fp", "shingles", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")
+        "component", "fp", "shingles", "high", "low", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")
     ))
     # a member goes to every pair of tiles that has its own
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fp", "shingles"
+        "component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fp", "shingles", "high", "low"
     )
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         a, b = (table.column(c)[0].as_py() for c in "ab")
         fp, of_tile = table.column("fp").to_numpy(), table.column("tile").to_numpy()
+        left, right = np.flatnonzero(of_tile == a), np.flatnonzero(of_tile == b)
+        prints = _prints(table.column("high").to_numpy(), table.column("low").to_numpy())
+        if a == b:
+            i, j = near_pairs(prints, radius)
+        else:
+            tree = BKTree(prints[x] for x in left.tolist())
+            near = [list(tree.within(prints[x], radius)) for x in right.tolist()]
+            i, j = [x for found in near for x in found], np.repeat(np.arange(len(right)), [len(found) for found in near])
+        if not len(i):
+            return pa.table({"u": fp[:0], "v": fp[:0]})
+        i, j = np.array(i, np.int64), np.array(j, np.int64)
         lists = table.column("shingles").chunk(0)
         n = lists.value_lengths().to_numpy().astype(np.int64)
         _, col, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -494,14 +561,14 @@ def _compared(own: DataFrame, clusters: DataFrame, threshold: float, tile: int =
         row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        left, right = np.flatnonzero(of_tile == a), np.flatnonzero(of_tile == b)
         both = np.zeros((len(left), len(right)), np.float32)
         for lo in range(0, int(shared.sum()), 2048):
             part = slice(*np.searchsorted(col, [lo, lo + 2048]))
             has = np.zeros((len(n), 2048), np.float32)
             has[row[part], col[part] - lo] = 1
             both += has[left] @ has[right].T
-        i, j = np.nonzero(both >= threshold * (n[left][:, None] + n[right][None, :] - both) - 1e-9)
+        alike = both[i, j] >= threshold * (n[left[i]] + n[right[j]] - both[i, j]) - 1e-9
+        i, j = i[alike], j[alike]
         label = local_components(len(n), left[i], right[j])
         keep = label != np.arange(len(n))
         return pa.table({"u": fp[keep], "v": fp[label[keep]]})
