@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import components, discard, saved, table
+from tickloom.llm.common import bounded_batches, components, discard, saved, table
 from tickloom.llm.curriculum import curriculum, in_training_order
 from tickloom.llm.decontaminate import contaminated, find_benchmark
 from tickloom.llm.language_id import held_out, identify_language, train
@@ -21,6 +21,7 @@ from tickloom.llm.substring_dedup import remove_repeats
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; lang becomes the predicted one. Rejected, as ``und``,
     are null, empty and letterless texts. Nothing but text and the labels of the training folds is learnt from."""
+    bounded_batches(spark)
     samples = train(docs.where(~F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False))))
     found = identify_language(docs, samples).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -39,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     hash. Links are found as op6 does, by SimHash fingerprints in BK-trees over key shards, within a radius
     that 0.8 needs, and then counted over the whole sets. Groups are told apart by their sets, not their ids, so unlike texts of one or no doc_id
     all stay."""
+    bounded_batches(spark)
     keyed = docs.select("doc_id", "text", *row_hashes(docs))
     sets = saved(with_set(keyed, 5).drop("text"))
     found = components(similar_links(keyed, sets, 0.8))
@@ -59,6 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of 35-word windows that also stand elsewhere; texts that
     lose nothing stay as they are, and the others' kept words are joined by one space."""
+    bounded_batches(spark)
     found = remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
@@ -66,6 +69,7 @@ def remove_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in 20 lies in a benchmark window of 13 words."""
+    bounded_batches(spark)
     found = find_benchmark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.where(~contaminated(F.col("n_words"), F.col("n_hit"))).select(*docs.columns)
 

@@ -189,3 +189,26 @@ def test_only_sets_with_near_fingerprints_are_compared(spark, results, monkeypat
     apart = [int((bits[u] != bits[v]).sum()) for u, v in pairs]
     # the phrases alone would give some 200 further pairs, half of them more than 30 of 64 bits apart
     assert len([d for d in apart if d < 12]) >= 100 and len([d for d in apart if d > 30]) < 25
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_bound_the_bytes_of_batches(spark, results, k):
+    """A task of 20 MB of text does not go to its Python worker at once; a bound that the session has stays."""
+    import pyarrow as pa
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("ab cd "), 850).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    before = spark.conf.get(bound, None)
+    try:
+        for own, most in ((None, 4_000_000), (200_000, 200_000)):  # the row that reaches it is the last
+            spark.conf.set(bound, str(own)) if own else spark.conf.unset(bound)
+            corpus_pipeline.STAGES[k][1](spark, results[k].limit(20), SF)
+            sent = long.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r.rows for r in sent) == 4000 and max(r.bytes for r in sent) < most + 6000
+    finally:
+        spark.conf.set(bound, before) if before else spark.conf.unset(bound)

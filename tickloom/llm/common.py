@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one slice of a batch holds at most (a longer single text is a slice of its own).
 SLICE_BYTES = 1_000_000
+#: Bytes of an Arrow batch that a task sends its Python worker, or one longer row; else it is 10,000 rows, whatever their texts hold.
+BATCH_BYTES = 4_000_000
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +43,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared or sc.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's tasks send Python batches of at most BATCH_BYTES, unless the session has a bound of its
+    own. Both sides hold a batch whole, and the JVM twice while its buffer grows. Spark reads the setting when a
+    query runs, so it stays set."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written once as a table in the shared folder, so that later jobs do not compute it again,
     also after executors were lost. The shuffle files of the job that writes it are removed after."""
